@@ -105,9 +105,10 @@ def exact_topk(
         .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
     )
-    keys = ["part", "block", "dim"]
-    best = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(
-        lambda left, right: tile_top(left, right, k), PART
+    # names of their own: a cogroup of two forms of one table mixes up columns that both have
+    right = rows.select(*(F.col(c).alias(f"row_{c}") for c in rows.columns))
+    best = queries.groupBy("part", "block", "dim").cogroup(right.groupBy("row_part", "row_block", "row_dim")).applyInPandas(
+        lambda left, right: tile_top(left, right.rename(columns=lambda c: c.removeprefix("row_")), k), PART
     )
     return merge_top(best, tiles, k, fan_in)
 
