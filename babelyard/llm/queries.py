@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from babelyard.llm import langid, licenses, mixing, packing, quality, sharding, topk, toxicity, urls
+from babelyard.llm import langid, licenses, mixing, neardup, packing, quality, sharding, topk, toxicity, urls
 from babelyard.llm.tables import read_table
 
 
@@ -24,6 +24,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.jaccard_classes(read_table(spark, sf_dir, "documents")).drop("content")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -55,7 +59,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filters, op2_quality_rules, op3_packing, op5_toxicity, op6_language_id, op7_mixing,
+        op1_url_filters, op2_quality_rules, op3_packing, op4_jaccard_join, op5_toxicity, op6_language_id, op7_mixing,
         op8_sharding, op9_license_scans, op10_exact_topk,
     )
 }
