@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,8 +54,8 @@ def telling_words(docs: DataFrame, sample: DataFrame, most: int, least_docs: int
     return [r[0] for r in best.collect()]
 
 
-def features(docs: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id, content, n_tokens, features (array of names: one bin of each statistic, and the telling words held)."""
+def features(docs: DataFrame, words: list[str], keep: tuple[Column, ...]) -> DataFrame:
+    """The columns to keep, n_tokens, features (array of names: one bin of each statistic, and the telling words held)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     cleared = lambda chars: F.length(F.translate(text, chars, ""))
     solid = cleared(" \t\n\x0b\x0c\r")
@@ -64,7 +65,7 @@ def features(docs: DataFrame, words: list[str]) -> DataFrame:
     lines = F.split(text, "\n")
     share = lambda part, of, bins: F.when(of > 0, F.floor(F.sqrt(part / of) * bins)).otherwise(0)
     rows = docs.select(
-        "doc_id", F.xxhash64("text").alias("content"), held.alias("held"), n_words.cast("long").alias("n_tokens"), solid.alias("solid"),
+        F.struct(*keep).alias("row"), held.alias("held"), n_words.cast("long").alias("n_tokens"), solid.alias("solid"),
         (F.length(text) - cleared("#*$%&|<>")).alias("symbols"), (F.length(text) - cleared(UPPER)).alias("capitals"),
         (F.length(text) - cleared("0123456789")).alias("digits"), F.size(lines).alias("lines"), F.size(F.array_distinct(lines)).alias("distinct"),
     )
@@ -78,7 +79,7 @@ def features(docs: DataFrame, words: list[str]) -> DataFrame:
     }
     named = [F.concat(F.lit(f"{name}="), x.cast("string")) for name, x in bins.items()]
     return rows.select(
-        "doc_id", "content", "n_tokens",
+        "row", "n_tokens",
         F.concat(F.array(*named), F.transform("held", lambda w: F.concat(F.lit("word="), w))).alias("features"),
     )
 
@@ -187,7 +188,32 @@ def fit_rates(members: DataFrame, totals: list[float], ridge: float, max_rate: f
     return rate, reached
 
 
-def mix(
+@dataclass
+class Mixer:
+    """A fitted classifier and the rates that follow from it."""
+
+    words: list[str]
+    weights: dict[str, list[float]]
+    priors: list[float]
+    sharpness: float
+    rate: Column | None = None
+
+    def posteriors(self, rows: DataFrame) -> DataFrame:
+        """row, n_tokens, p_0.. of the rows of features()."""
+        scored = rows.select("row", "n_tokens", evidence(self.weights).alias("said"))
+        scored = scored.select("row", "n_tokens", log_scores(F.col("said"), self.priors, self.sharpness).alias("logs"))
+        scored = scored.select("row", "n_tokens", softmax(F.col("logs")).alias("p"))
+        return scored.select("row", "n_tokens", *(F.get("p", F.lit(k)).alias(f"p_{k}") for k in range(len(DOMAINS))))
+
+    def repeat_rows(self, docs: DataFrame) -> DataFrame:
+        """docs with every row as often as its rate says. All of it is worked out from the row itself, so no text moves."""
+        rows = features(docs, self.words, tuple(docs[c] for c in docs.columns))
+        rated = self.posteriors(rows).withColumn("rate", self.rate)
+        times = copies(F.col("row.doc_id"), F.xxhash64("row.text"))
+        return rated.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
+
+
+def fit(
     docs: DataFrame,
     labels: DataFrame,
     targets: dict[str, float] | None = None,
@@ -198,31 +224,32 @@ def mix(
     tolerance: float = 1e-4,
     sample: int = 20_000,
     n_words: int = 256,
-) -> DataFrame:
-    """doc_id, content, n_tokens, a posterior of every domain, rate; one row for each row of docs.
+) -> tuple[Mixer, DataFrame]:
+    """The mixer, and row (doc_id), n_tokens, p_0.. of every row of docs."""
+    targets = targets or TARGETS
+    learn = materialise(labelled_sample(labels, sample), "mixing-sample")
+    words = telling_words(docs, learn, n_words)
+    rows = materialise(features(docs, words, (F.col("doc_id"),)), "mixing-features")
+    mixer = Mixer(words, *calibrated(rows.select("row.doc_id", "features"), learn))
+    members = materialise(mixer.posteriors(rows), "mixing-members")
+    tokens = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
+    mixer.rate, _ = fit_rates(members, [targets[d] * budget * tokens for d in DOMAINS], ridge, max_rate, rounds, tolerance)
+    return mixer, members
+
+
+def mix(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """doc_id, n_tokens, a posterior of every domain, rate; one row for each row of docs.
 
     The classifier learns from at most `sample` labelled documents and holds n_words words. The
     targets are shares of budget times the input's tokens. Without labels every document has the same
     posteriors. Null and empty texts have no tokens and a rate like others; rates say how often a document is to be used on average.
     Labels without a document and null labels don't count. Repeated rows have equal rates; an empty table gives no rows.
     """
-    targets = targets or TARGETS
-    learn = materialise(labelled_sample(labels, sample), "mixing-sample")
-    rows = materialise(features(docs, telling_words(docs, learn, n_words)), "mixing-features")
-    weights, priors, sharpness = calibrated(rows, learn)
-    scored = rows.select("doc_id", "content", "n_tokens", evidence(weights).alias("said"))
-    scored = scored.select("doc_id", "content", "n_tokens", log_scores(F.col("said"), priors, sharpness).alias("logs"))
-    scored = scored.withColumn("p", softmax(F.col("logs")))
-    members = materialise(
-        scored.select("doc_id", "content", "n_tokens", *(F.get("p", F.lit(k)).alias(f"p_{k}") for k in range(len(DOMAINS)))),
-        "mixing-members",
-    )
-    tokens = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
-    rate, _ = fit_rates(members, [targets[d] * budget * tokens for d in DOMAINS], ridge, max_rate, rounds, tolerance)
-    return members.select("doc_id", "content", "n_tokens", *(F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)), rate.alias("rate"))
+    mixer, members = fit(docs, labels, **how)
+    return members.select("row.doc_id", "n_tokens", *(F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)), mixer.rate.alias("rate"))
 
 
-def copies(seed: int = 11) -> Column:
+def copies(doc_id: Column, content: Column, seed: int = 11) -> Column:
     """How often a row is to stand: its rate, rounded up or down by a hash of the row, so that the mean is the rate."""
-    part = F.pmod(F.xxhash64("doc_id", "content", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    part = F.pmod(F.xxhash64(doc_id, content, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return F.floor(F.col("rate") + part).cast("int")

@@ -314,7 +314,8 @@ def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     chosen = chosen.groupBy("doc_id", "content").agg(F.count("*").alias("times"))
     lone = classes.where("class_id is null").select(F.lit(None).cast("long").alias("doc_id"), "content").groupBy("content").agg(F.count("*").alias("times"))
     kept = chosen.select("doc_id", "content", "times").union(lone.select(F.lit(None).cast("long"), "content", "times"))
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("content").alias("kept_content"), "times")
-    marked = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(docs["text"]) == F.col("kept_content")))
-    once = marked.where("times = 1").select(*docs.columns)
-    return once.unionByName(marked.where("times > 1").dropDuplicates(["kept_id", "kept_content"]).select(*docs.columns))
+    # names that no table of documents has
+    kept = kept.select(F.col("doc_id").alias("__kept_id"), F.col("content").alias("__kept_content"), F.col("times").alias("__times"))
+    marked = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(docs["text"]) == F.col("__kept_content")))
+    once = marked.where("__times = 1").select(*docs.columns)
+    return once.unionByName(marked.where("__times > 1").dropDuplicates(["__kept_id", "__kept_content"]).select(*docs.columns))

@@ -37,7 +37,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).drop("content")
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
