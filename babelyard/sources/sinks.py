@@ -1,0 +1,36 @@
+"""Writers. Each writes a whole folder by Spark's committer: readers see all of it or nothing."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def messages_json(messages: DataFrame) -> DataFrame:
+    """locale, json: one object a locale, its keys sorted. A locale's messages are one document, so they meet in one row."""
+    entries = F.array_sort(F.collect_list(F.struct("key", "value")))
+    return messages.groupBy("locale").agg(F.to_json(F.map_from_entries(entries), {"pretty": "true"}).alias("json"))
+
+
+def write_messages(messages: DataFrame, path: str) -> None:
+    """One folder for each locale, with the locale's JSON text."""
+    messages_json(messages).select("locale", F.col("json").alias("value")).write.mode("overwrite").partitionBy("locale").text(path)
+
+
+def write_locale_tables(messages: DataFrame, path: str) -> None:
+    messages.write.mode("overwrite").partitionBy("locale").parquet(path)
+
+
+def missing_locale_files(locales: DataFrame, messages: DataFrame) -> DataFrame:
+    """Locales without messages."""
+    return locales.join(messages.select(F.col("locale").alias("code")).distinct(), "code", "left_anti")
+
+
+def write_version(df: DataFrame, path: str, version: int) -> None:
+    """One version of a state table; a failed write leaves the versions before it."""
+    df.write.mode("errorifexists").parquet(f"{path}/version={version}")
+
+
+def checked(new: Column, old: Column, valid: Column) -> Column:
+    """The new text where it is valid, else the old one."""
+    return F.when(valid, new).otherwise(old)
