@@ -1 +1,293 @@
-SQL: dict[str, str] = {}
+"""SQL of the queries in babelyard.plans.queries, for an engine that has no part of this library."""
+
+from __future__ import annotations
+
+from babelyard.functions import lookups as L
+
+KEY = "source || '-' || CAST(n_chars // 500 AS VARCHAR)"
+CATALOGUE = f"""
+    messages AS (
+        SELECT lang AS locale, {KEY} AS key, arg_min(text, doc_id) AS value FROM documents
+        WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL GROUP BY 1, 2
+    ), valid AS (
+        SELECT DISTINCT {KEY} AS key FROM documents
+        WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels)
+    ), locales AS (SELECT DISTINCT locale FROM messages)
+"""
+CELLS = """
+    cells AS (
+        SELECT l.locale, k.key, m.key IS NOT NULL AS present, coalesce(m.value, '') <> '' AS filled
+        FROM (SELECT DISTINCT key FROM messages WHERE locale = 'en' {semi}) k
+        JOIN locales l ON l.locale <> 'en'
+        LEFT JOIN messages m ON m.locale = l.locale AND m.key = k.key
+    )
+"""
+VALID_CELLS = CELLS.format(semi="AND key IN (SELECT key FROM valid)")
+NEW = "SELECT key FROM valid WHERE key NOT IN (SELECT key FROM messages WHERE locale = 'en')"
+ORPHANS = "SELECT key FROM messages WHERE locale = 'en' AND key NOT IN (SELECT key FROM valid)"
+
+PAGES = """
+    p0 AS (SELECT page_id, html AS h0 FROM pages WHERE html IS NOT NULL),
+    p1 AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(h0, '<body>', '<body><header></header>') ELSE h0 END AS h1 FROM p0),
+    p2 AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(h1, '<html', '<html dir="ltr"') ELSE h1 END AS h2 FROM p1),
+    p AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN replace(h2, '<head>', '<head><meta name="viewport" content="x">') ELSE h2 END AS html FROM p2)
+"""
+
+
+def _missing(test: str, code: str) -> str:
+    return f"SELECT page_id, '{code}' AS code FROM p WHERE NOT regexp_matches(html, '{test}', 'i')"
+
+
+FINDINGS = "findings AS (" + " UNION ALL ".join(
+    [_missing(f"<{t}[\\s>/]", f"MISSING_{t.upper()}") for t in ("header", "nav", "footer")]
+    + [_missing("<meta\\b[^>]*\\bcharset\\b", "MISSING_META_CHARSET")]
+    + [_missing(f"""<meta\\b[^>]*\\bname\\s*=\\s*["'']?{m}["''\\s/>]""", f"MISSING_META_{m.upper()}") for m in ("viewport", "description", "keywords", "author")]
+    + [
+        _missing(f"""<html\\b[^>]*\\s{a}\\s*=\\s*(?:"[^"]+"|''[^'']+''|[^\\s"''>]+)""", f"MISSING_{a.upper()}_ATTRIBUTE")
+        + " AND regexp_matches(html, '<html[\\s>]', 'i')"
+        for a in ("lang", "dir")
+    ]
+) + ")"
+POINTS = "CASE WHEN code IN ('MISSING_HEADER', 'MISSING_NAV', 'MISSING_FOOTER') THEN 20 ELSE 5 END"
+SCORED = f"""scored AS (
+    SELECT p.page_id, greatest(0, 100 - coalesce(sum({POINTS}), 0)) AS score, count(code) AS n_findings
+    FROM p LEFT JOIN findings f ON p.page_id = f.page_id GROUP BY p.page_id
+)"""
+
+TOKENS = [p + "4" for p, _ in L.CLASS_PREFIXES] + ["text-left", "text-right", "flex", "rtl:ml-2"]
+VARIANT_STEPS = ["", "md:", "hover:", "md:hover:", "print:"]
+
+
+def _pick(values: list[str], by: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][1 + CAST({by} AS BIGINT) % {len(values)}]"
+
+
+CLASS_TOKENS = f"t AS (SELECT p_partkey, {_pick(VARIANT_STEPS, 'p_partkey // 22')} || {_pick(TOKENS, 'p_partkey')} AS token FROM part)"
+SPLIT = "u AS (SELECT *, regexp_extract(token, '^((?:(?:sm|md|lg|xl|2xl|hover|focus|dark):)*)(.*)$', 1) AS variants, regexp_extract(token, '^((?:(?:sm|md|lg|xl|2xl|hover|focus|dark):)*)(.*)$', 2) AS utility FROM t)"
+
+
+def _rewrite(v2: bool) -> str:
+    cases = " ".join(f"WHEN utility = '{a}' THEN '{b}'" for a, b in L.CLASS_EXACT)
+    for a, b in L.CLASS_PREFIXES:
+        new = L.CLASS_PREFIXES_V2.get(a, b) if v2 else b
+        cases += f" WHEN starts_with(utility, '{a}') THEN '{new}' || substr(utility, {len(a) + 1})"
+    return f"variants || CASE {cases} ELSE utility END"
+
+
+CLASSIFY = """CASE
+    WHEN word IS NULL THEN NULL
+    WHEN NOT regexp_matches(word, '\\S') THEN 'skip'
+    WHEN regexp_matches(word, '^\\s*(?:[+-]?(?:Infinity|(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+)\\s*$') THEN 'skip'
+    WHEN word IN ('true', 'false') THEN 'skip'
+    WHEN regexp_matches(word, '^https?://', 'i') THEN 'skip'
+    WHEN regexp_matches(word, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') THEN 'skip'
+    WHEN regexp_matches(word, '^[0-9\\s()\\-+.]+$') AND length(regexp_replace(word, '[^0-9]', '', 'g')) >= 4 THEN 'skip'
+    WHEN regexp_matches(word, '^\\s*[a-z][a-z0-9-]*(?:\\s+[a-z][a-z0-9-]+)+\\s*$') AND regexp_matches(word, '[-0-9]') THEN 'identifier'
+    WHEN regexp_matches(word, '(/|\\\\|\\.[a-z]{2,4}$)', 'i') AND NOT contains(word, ' ') THEN 'skip'
+    WHEN contains(word, ' ') THEN 'translatable'
+    WHEN regexp_matches(word, '^[$€£¥]\\s?[0-9]+(?:\\.[0-9]+)?$') THEN 'translatable'
+    WHEN regexp_matches(word, '^[A-Z][a-z]+$') THEN 'translatable'
+    ELSE 'identifier' END"""
+
+FIRST_WORDS = "SELECT source AS path, regexp_extract(text, '^([^ \\n]*)', 1) AS word, doc_id FROM documents WHERE text IS NOT NULL"
+BASE = "role || '.' || lower(regexp_replace(regexp_extract(text, '^([^ ]*)', 1), '[^a-zA-Z]', '', 'g'))"
+MARKED = "'Hi {{ ' || role || ' }} {{{' || CAST(conv_id AS VARCHAR) || '}}} {{open ' || substr(text, 1, 10)"
+DIR = "CASE WHEN code IN ('" + "', '".join(L.RTL_LOCALES) + "') THEN 'rtl' ELSE 'ltr' END"
+LABEL = "CASE code " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in L.LOCALE_LABELS.items()) + " ELSE upper(code) END"
+CODES = "CASE prop " + " ".join(f"WHEN '{p}' THEN '{c}'" for p, _, c in L.CSS_PROPS) + " WHEN 'text-align' THEN 'FIX_TEXT_ALIGN' WHEN 'float' THEN 'FIX_FLOAT' ELSE 'none' END"
+LOGICAL = "CASE prop " + " ".join(f"WHEN '{p}' THEN '{q}'" for p, q, _ in L.CSS_PROPS) + " ELSE prop END"
+CSS_NAMES = [p for p, _, _ in L.CSS_PROPS] + ["text-align", "float", "color"]
+RANGES = "r AS (SELECT CAST(conv_id AS VARCHAR) AS path, CAST(turn * 4 AS INTEGER) AS s, CAST(turn * 4 + 2 + length(text) % 5 AS INTEGER) AS e, role, turn FROM conversations WHERE text IS NOT NULL)"
+SNAPSHOTS = """
+    old AS (SELECT CAST(conv_id AS VARCHAR) AS path, 'turns.' || CAST(turn // 2 AS VARCHAR) AS dot_path, text AS v FROM conversations WHERE text IS NOT NULL AND turn % 2 = 0),
+    new AS (SELECT CAST(conv_id AS VARCHAR) AS path, 'turns.' || CAST(turn // 2 AS VARCHAR) AS dot_path, text AS v FROM conversations WHERE text IS NOT NULL AND turn % 2 = 1)
+"""
+
+SHEET_PROPS = [p for p, _, _ in L.CSS_PROPS] + ["color"]
+SHEETS = f"""
+    rows AS (
+        SELECT {_pick(SHEET_PROPS, 'p_partkey')} AS a, {_pick(['left', 'right', 'center'], 'p_partkey')} AS side,
+               {_pick(['left', 'none', 'right'], 'p_partkey // 3')} AS fl, {_pick(['margin', 'padding', 'border-radius'], 'p_partkey')} AS sh,
+               p_partkey % 2 = 0 AS four FROM part
+    ), codes AS (
+        SELECT CASE a {" ".join(f"WHEN '{p}' THEN '{c}'" for p, _, c in L.CSS_PROPS)} END AS code FROM rows
+        UNION ALL SELECT 'FIX_TEXT_ALIGN' FROM rows WHERE side IN ('left', 'right')
+        UNION ALL SELECT 'FIX_FLOAT' FROM rows WHERE fl IN ('left', 'right')
+        UNION ALL SELECT 'FIX_' || upper(replace(sh, '-', '_')) || '_SHORTHAND' FROM rows WHERE four
+    )
+"""
+
+PROJECTS = """
+    k AS (SELECT c_custkey AS k FROM customer),
+    d AS (
+        SELECT k, ['^15.1.0', '^18.2.0', '~17.0'][1 + k % 3] AS react,
+               CASE WHEN k % 2 = 0 THEN ['^4.9', '^5.3.0'][1 + (k // 2) % 2] END AS ts,
+               CASE WHEN k % 3 = 0 THEN ['12.1', '^14.0'][1 + (k // 3) % 2] END AS nxt,
+               k % 5 = 0 AS intl, k % 7 = 0 AS i18n,
+               CASE WHEN k % 4 = 0 THEN ['^2.2', '^3.4', '>=4.0', 'latest'][1 + (k // 4) % 4] END AS tw,
+               k % 2 = 0 AS app, k % 6 < 2 AS pgs FROM k
+    )
+"""
+
+SQL: dict[str, str] = {
+    "coverage_by_lang": f"""
+        WITH {CATALOGUE}, {CELLS.format(semi="")}
+        SELECT coalesce(locale, 'all') AS locale, count(key) AS total, count(*) FILTER (present) AS covered, count(*) FILTER (filled) AS filled,
+               round(CASE WHEN count(key) = 0 THEN 100.0 ELSE 100.0 * CAST(count(*) FILTER (present) AS DOUBLE) / count(key) END, 6) AS percent
+        FROM cells GROUP BY ROLLUP (locale)""",
+    "reconciliation_report": f"""
+        WITH {CATALOGUE}, {VALID_CELLS}, c AS (SELECT count(*) AS total, count(*) FILTER (present) AS covered FROM cells)
+        SELECT (SELECT count(*) FROM ({NEW})) AS n_new, (SELECT count(*) FROM ({ORPHANS})) AS n_orphans, total - covered AS n_missing, total, covered,
+               round(CASE WHEN total = 0 THEN 100.0 ELSE 100.0 * CAST(covered AS DOUBLE) / total END, 2) AS percent,
+               (covered = total) AND (SELECT count(*) FROM ({ORPHANS})) = 0 AS ok FROM c""",
+    "new_keys": f"WITH {CATALOGUE} {NEW}",
+    "orphan_keys": f"WITH {CATALOGUE} {ORPHANS}",
+    "missing_keys": f"WITH {CATALOGUE}, {VALID_CELLS} SELECT locale, key FROM cells WHERE NOT present",
+    "write_back_pruned": f"""
+        WITH {CATALOGUE}, out AS (
+            SELECT locale, key, value FROM messages UNION ALL SELECT 'en', key, key FROM ({NEW})
+        ) SELECT locale, key, sha256(value) AS value_hash FROM out WHERE NOT (locale = 'en' AND key IN ({ORPHANS}))""",
+    "seed_locales": f"""
+        WITH {CATALOGUE} SELECT locale, key, length(value) AS n_chars FROM messages
+        UNION ALL SELECT l.locale, 'item-' || CAST(item_id AS VARCHAR), CASE WHEN l.locale = 'en' THEN length(text) ELSE 0 END
+        FROM benchmark, locales l WHERE text IS NOT NULL""",
+    "last_wins": "SELECT role AS key, sha256(arg_max(text, conv_id * 100000 + turn)) AS value_hash FROM conversations WHERE text IS NOT NULL GROUP BY role",
+    "value_edits": f"""
+        WITH {SNAPSHOTS} SELECT path, dot_path, sha256(o.v) AS old_hash, sha256(n.v) AS new_hash FROM old o JOIN new n USING (path, dot_path)
+        WHERE o.v <> '' AND o.v <> n.v AND o.v NOT IN (SELECT v FROM new) AND n.v NOT IN (SELECT v FROM old)""",
+    "migrated_messages": f"""
+        WITH {CATALOGUE} SELECT m.locale, CASE WHEN v.key IS NULL THEN m.key ELSE m.key || '*' END AS key,
+            sha256(CASE WHEN v.key IS NOT NULL AND m.locale = 'en' THEN m.key || '*' ELSE m.value END) AS value_hash
+        FROM messages m LEFT JOIN valid v ON m.key = v.key""",
+    "delta_merge": f"""
+        WITH {CATALOGUE}, n AS (SELECT locale, key, 'new: ' || substr(value, 1, 20) AS v FROM messages WHERE length(value) > 1000),
+             o AS (SELECT locale, key, substr(value, 1, 20) AS v FROM messages WHERE length(value) < 3000)
+        SELECT locale, key, coalesce(n.v, o.v) AS value FROM o FULL JOIN n USING (locale, key)""",
+    "incremental_changed": """
+        SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL AND (doc_id % 2 = 1 OR doc_id % 20 = 0)""",
+    "html_findings_by_code": f"WITH {PAGES}, {FINDINGS} SELECT code, count(*) AS n FROM findings GROUP BY code",
+    "html_score_histogram": f"""
+        WITH {PAGES}, {FINDINGS}, {SCORED}
+        SELECT CAST(score AS INTEGER) AS score, count(*) AS n_pages, CAST(sum(n_findings) AS BIGINT) AS n_findings FROM scored GROUP BY score""",
+    "html_scores_parsed": f"WITH {PAGES}, {FINDINGS}, {SCORED} SELECT page_id AS doc, CAST(score AS INTEGER) AS score, n_findings FROM scored",
+    "html_found_tags": f"""
+        WITH {PAGES} SELECT tag, count(*) AS n FROM (SELECT html, unnest(['header', 'nav', 'main', 'footer']) AS tag FROM p)
+        WHERE regexp_matches(html, '<' || tag || '[\\s>/]', 'i') GROUP BY tag""",
+    "page_class_tokens": """
+        SELECT token, count(*) AS n FROM (SELECT unnest(string_split(v, ' ')) AS token FROM (SELECT unnest(regexp_extract_all(html, 'class="([^"]*)"', 1)) AS v FROM pages))
+        WHERE token <> '' GROUP BY token""",
+    "page_shown_attributes": """
+        SELECT value, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, ' (?:placeholder|title|alt|aria-label)="([^"]+)"', 1)) AS value FROM pages) GROUP BY value""",
+    "css_findings_by_code": f"WITH {SHEETS} SELECT code, count(*) AS n FROM codes WHERE code IS NOT NULL GROUP BY code",
+    "css_fixed": "SELECT 100 AS score, count(*) AS n FROM part HAVING count(*) > 0",
+    "css_property_map": f"""
+        WITH r AS (SELECT {_pick(CSS_NAMES, 'p_partkey')} AS prop, CASE WHEN p_size % 2 = 0 THEN 'left' ELSE 'right' END AS value FROM part)
+        SELECT prop, value, {CODES} AS code, {LOGICAL} AS new_prop,
+               CASE prop WHEN 'text-align' THEN CASE value WHEN 'left' THEN 'start' ELSE 'end' END
+                         WHEN 'float' THEN CASE value WHEN 'left' THEN 'inline-start' ELSE 'inline-end' END ELSE value END AS new_value, count(*) AS n
+        FROM r GROUP BY ALL""",
+    "class_token_rewrite": f"WITH {CLASS_TOKENS}, {SPLIT} SELECT token, {_rewrite(False)} AS v3, {_rewrite(True)} AS v2, count(*) AS n FROM u GROUP BY ALL",
+    "class_variants": f"WITH {CLASS_TOKENS}, {SPLIT} SELECT variants, utility, count(*) AS n FROM u GROUP BY ALL",
+    "class_value_rewrite": f"""
+        WITH {CLASS_TOKENS}, {SPLIT}, w AS (SELECT p_partkey, token, {_rewrite(False)} AS new, p_partkey % 4 = 0 AS abs, p_partkey % 3 = 0 AS moved FROM u),
+        x AS (
+            SELECT *, regexp_extract(new, '^((?:(?:sm|md|lg|xl|2xl|hover|focus|dark):)*)(.*)$', 2) AS own,
+                   regexp_matches(new, '^-?(?:start-|end-|left-|right-|inset-|inline-start-|inline-end-)') AS placed FROM w
+        ), y AS (SELECT *, token <> new AND regexp_matches(own, '^-?(?:inline-end-|inline-start-|inset-inline-|start-|end-)') AND moved AS mirror FROM x)
+        SELECT p_partkey, CASE WHEN abs THEN 'absolute  ' ELSE '' END || new || CASE WHEN moved THEN ' -translate-x-2' ELSE '' END
+               || CASE WHEN abs AND NOT placed THEN ' start-0 top-0' ELSE '' END || CASE WHEN mirror THEN ' rtl-mirror' ELSE '' END AS value,
+               CAST((token <> new) AS INTEGER) + CASE WHEN abs AND NOT placed THEN 2 ELSE 0 END AS replacements, mirror AS needs_mirror FROM y""",
+    "class_findings": f"""
+        WITH {CLASS_TOKENS}, v AS (SELECT token || CASE WHEN p_partkey % 2 = 0 THEN ' text-right float-left' ELSE '' END AS v FROM t), c AS (
+            SELECT 'DETECTED_DIRECTIONAL_CLASS_NAME' AS code FROM v WHERE regexp_matches(v, '\\b(?:text-left|text-right)\\b')
+            UNION ALL SELECT 'DETECTED_DIRECTIONAL_CLASS_NAME' FROM v WHERE regexp_matches(v, '\\b(?:float-left|float-right)\\b')
+            UNION ALL SELECT 'AVOID_PHYSICAL_MARGIN_PADDING_CLASS' FROM v WHERE regexp_matches(v, '\\b(?:ml-|mr-|pl-|pr-)[0-9]+')
+        ) SELECT code, count(*) AS n FROM c GROUP BY code""",
+    "classify_words_by_lang": f"""
+        WITH w AS (SELECT lang, unnest(string_split(text, ' ')) AS word FROM documents) SELECT lang, {CLASSIFY} AS class, count(*) AS n FROM w GROUP BY ALL""",
+    "text_slug_keys": """
+        WITH a AS (SELECT doc_id, string_split_regex(trim(regexp_replace(regexp_replace(text, '[^ -~]', '', 'g'), '\\s+', ' ', 'g')), ' ')[1:4] AS w FROM documents WHERE text IS NOT NULL),
+        b AS (SELECT doc_id, list_transform(w, lambda x, i: CASE WHEN i = 1 THEN lower(regexp_replace(x, '[^a-zA-Z0-9]', '', 'g'))
+            ELSE upper(substr(regexp_replace(x, '[^a-zA-Z0-9]', '', 'g'), 1, 1)) || lower(substr(regexp_replace(x, '[^a-zA-Z0-9]', '', 'g'), 2)) END) AS p FROM a)
+        SELECT doc_id, coalesce(array_to_string(list_filter(p, lambda x: x <> ''), ''), '') AS slug FROM b""",
+    "text_hash_prefix": "SELECT doc_id, substr(sha256(text), 1, 8) AS text_hash FROM documents WHERE text IS NOT NULL",
+    "duplicate_text_keys": "SELECT sha256(text) AS sha, count(*) AS n, max(doc_id) AS last_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "collision_counters": f"""
+        WITH b AS (SELECT conv_id, turn, role, {BASE} AS base FROM conversations WHERE text IS NOT NULL),
+             n AS (SELECT *, row_number() OVER (PARTITION BY role, base ORDER BY conv_id, turn) AS n FROM b)
+        SELECT conv_id, turn, base || CASE WHEN n > 1 THEN CAST(n AS VARCHAR) ELSE '' END AS key FROM n""",
+    "key_allocation": f"""
+        WITH b AS (SELECT conv_id, lpad(CAST(conv_id AS VARCHAR), 12, '0') AS path, CAST(turn AS INTEGER) AS pos, role, {BASE} AS base FROM conversations WHERE text IS NOT NULL),
+             n AS (SELECT *, row_number() OVER (PARTITION BY role, base ORDER BY path, pos) AS n FROM b WHERE conv_id % 10 <> 0)
+        SELECT path, pos, base || '_' || path || '_' || CAST(pos AS VARCHAR) AS key FROM b WHERE conv_id % 10 = 0
+        UNION ALL SELECT path, pos, base || CASE WHEN n > 1 THEN CAST(n AS VARCHAR) ELSE '' END FROM n""",
+    "namespaces": """
+        WITH p AS (SELECT page_id, regexp_extract(url, '/([a-z]+)/[0-9]+', 1) AS folder, 'page' || CAST(page_id % 40 AS VARCHAR) AS stem FROM pages WHERE url IS NOT NULL),
+             s AS (SELECT stem, count(DISTINCT folder) AS n FROM p GROUP BY stem)
+        SELECT page_id, CASE WHEN n > 1 AND folder <> '' THEN folder || '_' || stem ELSE stem END AS namespace FROM p JOIN s USING (stem)""",
+    "element_roles": """
+        WITH a AS (SELECT unnest(regexp_extract_all(html, '<(h1|h2|h3|p|li|a|span|td)[^>]*>[^<]+', 1)) AS tag FROM pages WHERE html IS NOT NULL)
+        SELECT tag, CASE tag WHEN 'h1' THEN 'title' WHEN 'h2' THEN 'subtitle' WHEN 'h3' THEN 'heading' WHEN 'p' THEN 'body' WHEN 'a' THEN 'cta'
+               WHEN 'li' THEN 'item' WHEN 'span' THEN 'label' ELSE 'slug' END AS role, count(*) AS n FROM a GROUP BY ALL""",
+    "sibling_index": "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS INTEGER) AS idx FROM conversations",
+    "locale_dir": f"""
+        WITH c AS (SELECT CASE doc_id % 7 WHEN 0 THEN 'ar' WHEN 1 THEN 'he' ELSE lang END AS code FROM documents WHERE lang IS NOT NULL)
+        SELECT code, {DIR} AS dir, {LABEL} AS label, count(*) AS n FROM c GROUP BY ALL""",
+    "token_roundtrip": f"""
+        SELECT conv_id, turn, replace(replace({MARKED}, '{{{{ ' || role || ' }}}}', '<v id="0" />'), '{{{{{{' || CAST(conv_id AS VARCHAR) || '}}}}}}', '<v id="1" />') AS tokenized,
+               2 AS n_vars, role AS first_var, true AS same FROM conversations WHERE text IS NOT NULL""",
+    "mock_translate": f"""
+        WITH m AS (SELECT CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS key, {MARKED} AS value FROM conversations WHERE text IS NOT NULL)
+        SELECT 'en' AS locale, key, value FROM m UNION ALL SELECT 'ar', key, '[TEST_AR] ' || value FROM m UNION ALL SELECT 'es', key, '[TEST_ES] ' || value FROM m""",
+    "mock_translate_delta": """
+        WITH m AS (SELECT turn, CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS key, substr(text, 1, 30) AS value FROM conversations WHERE text IS NOT NULL)
+        SELECT 'en' AS locale, key, value FROM m UNION ALL SELECT 'ar', key, '[TEST_AR] ' || value FROM m WHERE turn = 0""",
+    "translation_chunks": """
+        WITH n AS (SELECT role, conv_id, (row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1) // 100 AS chunk FROM conversations)
+        SELECT role, CAST(chunk AS INTEGER) AS chunk, count(*) AS n, min(conv_id) AS first_conv FROM n GROUP BY ALL""",
+    "answers_by_position": """
+        WITH n AS (SELECT conv_id, substr(text, 1, 12) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, substr(text, 1, 12)) - 1 AS k FROM conversations WHERE text IS NOT NULL)
+        SELECT conv_id, string_agg(CASE WHEN k % 3 <> 2 THEN upper(regexp_replace(t, '[^ -~]', '', 'g')) ELSE t END, '|' ORDER BY k) AS joined FROM n GROUP BY conv_id""",
+    "promote_insert_only": f"""
+        WITH f AS ({FIRST_WORDS}), k AS (SELECT DISTINCT word FROM f WHERE {CLASSIFY} = 'translatable')
+        SELECT 'en' AS locale, word AS key, word AS value FROM k WHERE word NOT IN (SELECT word FROM f WHERE doc_id % 3 = 0)""",
+    "registry_values_per_file": f"WITH f AS ({FIRST_WORDS}) SELECT path, count(DISTINCT word) AS n_values FROM f WHERE {CLASSIFY} = 'translatable' GROUP BY path",
+    "props_flatten": """
+        SELECT 'v.kind' AS dot_path, 'kind' AS field, event_type AS value, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY event_type
+        UNION ALL SELECT 'v.list.0', 'list', 'a', count(*) FROM events WHERE props IS NOT NULL
+        UNION ALL SELECT 'v.list.1.n', 'n', 'x', count(*) FROM events WHERE props IS NOT NULL""",
+    "edit_overlap": f"""
+        WITH {RANGES}, n AS (SELECT path, s, e, lead(e) OVER (PARTITION BY path ORDER BY s DESC, e DESC) AS next_end FROM r)
+        SELECT path, s AS start, e AS "end", next_end FROM n WHERE next_end > s""",
+    "edit_first_of_range": f"""
+        WITH {RANGES} SELECT path, s % 8 AS start, s % 8 + 3 AS "end", arg_min(role, turn) AS replacement FROM r GROUP BY path, s % 8""",
+    "edit_apply": """
+        SELECT doc_id, substr(text, 1, 2) || '<A>' || substr(text, 5, 6) || '<B>' || substr(text, 11, 10) AS edited FROM documents WHERE text IS NOT NULL AND length(text) > 20""",
+    "project_adapter": f"""
+        WITH {PROJECTS}, v AS (SELECT CASE
+            WHEN k % 13 = 0 THEN ['next-i18next', 'flag', '-'] WHEN k % 17 = 0 THEN ['-', '-', 'Invalid --adapter value']
+            WHEN intl AND NOT i18n THEN ['next-intl', 'dependency', '-'] WHEN i18n AND NOT intl THEN ['next-i18next', 'dependency', '-']
+            WHEN intl AND i18n THEN ['-', '-', 'Ambiguous project: both packages are dependencies']
+            WHEN app AND NOT pgs THEN ['next-intl', 'app directory', '-'] WHEN pgs AND NOT app THEN ['next-i18next', 'pages directory', '-']
+            WHEN app AND pgs THEN ['-', '-', 'Ambiguous project: both app/ and pages/ exist']
+            WHEN k % 11 = 0 THEN ['next-intl', 'appDir in configuration', '-'] ELSE ['-', '-', 'Detection failed or is ambiguous'] END AS v FROM d)
+        SELECT v[1] AS name, v[2] AS reason, v[3] AS error, count(*) AS n FROM v GROUP BY ALL""",
+    "project_environment": f"""
+        WITH {PROJECTS}, s AS (SELECT nxt, CASE WHEN react = '^15.1.0' THEN 'unsupported' WHEN ts = '^4.9' THEN 'legacy' ELSE 'supported' END AS status FROM d)
+        SELECT status, CASE status WHEN 'legacy' THEN '^22.5.1' WHEN 'supported' THEN 'latest' ELSE '-' END AS i18next,
+               status <> 'unsupported' AND coalesce(nxt = '12.1', false) AS noted, count(*) AS n FROM s GROUP BY ALL""",
+    "project_tailwind": f"""
+        WITH {PROJECTS}, v AS (SELECT k, CAST(nullif(regexp_extract(coalesce(tw, ''), '([0-9]+)', 1), '') AS INTEGER) AS version FROM d)
+        SELECT version IS NOT NULL AS has_tailwind, coalesce(version, 0) AS version, CASE WHEN version IN (2, 3) AND k % 4 = 0 THEN 'tailwind.config.ts' ELSE '-' END AS config_path,
+               CASE WHEN version = 4 AND k % 8 = 0 THEN 'src/index.css' ELSE '-' END AS css_entry_path, count(*) AS n FROM v GROUP BY ALL""",
+    "project_frameworks": f"WITH {PROJECTS} SELECT k % 3 = 0 AND nxt IS NOT NULL AND (k % 2 = 0 OR k % 6 = 0) AS is_next, count(*) AS n FROM d GROUP BY ALL",
+    "snapshot_history": """
+        WITH b AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE text IS NOT NULL)
+        SELECT conv_id, turn, text <> before AS changed FROM b WHERE before IS NOT NULL""",
+    "class_report": """
+        SELECT count(*) AS files_modified, count(*) AS classes_replaced, 0 AS dynamic, 0 AS needs_mirror
+        FROM (SELECT DISTINCT conv_id FROM conversations WHERE text IS NOT NULL)""",
+    "jsx_rewrite_scores": """
+        WITH c AS (SELECT count(DISTINCT conv_id) AS n FROM conversations WHERE text IS NOT NULL)
+        SELECT 90 AS score, n, 'before' AS "when" FROM c UNION ALL SELECT 95, n, 'after' FROM c""",
+}

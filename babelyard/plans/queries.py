@@ -109,7 +109,7 @@ def migrated_messages(spark, sf_dir):
 
 def delta_merge(spark, sf_dir):
     m = _messages(spark, sf_dir)
-    new = m.where(F.length("value") > 1000).select("locale", "key", F.upper(F.substring("value", 1, 20)).alias("value"))
+    new = m.where(F.length("value") > 1000).select("locale", "key", F.concat(F.lit("new: "), F.substring("value", 1, 20)).alias("value"))
     old = m.where(F.length("value") < 3000).select("locale", "key", F.substring("value", 1, 20).alias("value"))
     return sync.deep_merge(old, new)
 
