@@ -186,7 +186,7 @@ class Source:
 
     def _code(self, at: int, closer: str, elements: list) -> int:
         """Reads code up to closer, and returns the place after it."""
-        text, before, declared, exported, is_default, since = self.text, "", "", None, False, 0
+        text, before, declared, exported, is_default, since = self.text, "(" if closer in (")", "]") else "", "", None, False, 0
         while True:
             comments: list[str] = []
             line = text.count("\n", since, at) if since else 0
@@ -206,10 +206,7 @@ class Source:
             if new_line and not expression and IDENTIFIER.match(text, at) and not closer.strip(")]"):
                 declared = ""
             if sign in "\"'":
-                own = self._string(at)
-                if before == "(" or before == "":
-                    pass
-                at, before = own.end, sign
+                at, before = self._string(at).end, sign
             elif sign == "`":
                 at, before = self._template(at, elements), sign
             elif sign == "/" and expression:
