@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 
 from babelyard.llm.tables import materialise
 
+BIAS = "bias"
 DOMAINS = ("good", "poor", "toxic")
 #: Share of all tokens that each domain is to have.
 TARGETS = {"good": 0.85, "poor": 0.07, "toxic": 0.08}
-WORDS = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What stands between words: all ASCII characters but letters and digits.
+APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def domain_column() -> Column:
@@ -30,7 +32,8 @@ def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER + ".,;:!?", LOWER), WORDS)
+    """Words in lower case; the first and the last part may be empty."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), APART)
 
 
 def telling_words(docs: DataFrame, sample: DataFrame, most: int, least_docs: int = 5) -> list[str]:
@@ -57,25 +60,31 @@ def telling_words(docs: DataFrame, sample: DataFrame, most: int, least_docs: int
 def features(docs: DataFrame, words: list[str], keep: tuple[Column, ...]) -> DataFrame:
     """The columns to keep, n_tokens, features (array of names: one bin of each statistic, and the telling words held)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cleared = lambda chars: F.length(F.translate(text, chars, ""))
-    solid = cleared(" \t\n\x0b\x0c\r")
-    split = _words(F.col("text"))
-    held = F.array_intersect(split, F.array(*(F.lit(w) for w in words)) if words else F.array().cast("array<string>"))
-    n_words = F.size(F.filter(split, lambda w: w != ""))
-    lines = F.split(text, "\n")
-    share = lambda part, of, bins: F.when(of > 0, F.floor(F.sqrt(part / of) * bins)).otherwise(0)
-    rows = docs.select(
-        F.struct(*keep).alias("row"), held.alias("held"), n_words.cast("long").alias("n_tokens"), solid.alias("solid"),
-        (F.length(text) - cleared("#*$%&|<>")).alias("symbols"), (F.length(text) - cleared(UPPER)).alias("capitals"),
-        (F.length(text) - cleared("0123456789")).alias("digits"), F.size(lines).alias("lines"), F.size(F.array_distinct(lines)).alias("distinct"),
+    chosen = F.array(*(F.lit(w) for w in words)) if words else F.array().cast("array<string>")
+
+    def count(signs: str) -> Column:
+        """How many characters of a class stand in the text."""
+        return F.length(F.regexp_replace(text, f"[^{signs}]+", ""))
+
+    parts = docs.select(
+        F.struct(*keep).alias("row"), _words(F.col("text")).alias("words"), F.split(text, "\n").alias("split_lines"),
+        F.length(text).alias("chars"), count("#*$%&|<>").alias("symbols"), count("!").alias("calls"), count("A-Z").alias("capitals"), count("0-9").alias("digits"),
     )
+    empty = lambda x: F.when(x == "", 1).otherwise(0)
+    n_words = F.size("words") - empty(F.get("words", F.lit(0))) - F.when(F.size("words") > 1, empty(F.element_at("words", -1))).otherwise(0)
+    rows = parts.select(
+        "row", "chars", "symbols", "calls", "capitals", "digits", F.array_intersect("words", chosen).alias("held"), n_words.cast("long").alias("n_tokens"),
+        F.size("split_lines").alias("lines"), F.size(F.array_distinct("split_lines")).alias("distinct"),
+    )
+    share = lambda part, of, bins: F.when(of > 0, F.floor(F.sqrt(part / of) * bins)).otherwise(0)
     bins = {
         "length": F.floor(F.log2(F.col("n_tokens") + 1)),
-        "symbols": share(F.col("symbols"), F.col("solid"), 12),
-        "capitals": share(F.col("capitals"), F.col("solid"), 12),
-        "digits": share(F.col("digits"), F.col("solid"), 12),
+        "symbols": share(F.col("symbols"), F.col("chars"), 12),
+        "calls": share(F.col("calls"), F.col("chars"), 12),
+        "capitals": share(F.col("capitals"), F.col("chars"), 12),
+        "digits": share(F.col("digits"), F.col("chars"), 12),
         "repeats": share(F.col("lines") - F.col("distinct"), F.col("lines"), 12),
-        "width": F.least(F.floor(F.when(F.col("n_tokens") > 0, F.col("solid") / F.col("n_tokens") * 2).otherwise(0)), F.lit(40)),
+        "width": F.least(F.floor(F.when(F.col("n_tokens") > 0, F.col("chars") / F.col("n_tokens") * 2).otherwise(0)), F.lit(40)),
     }
     named = [F.concat(F.lit(f"{name}="), x.cast("string")) for name, x in bins.items()]
     return rows.select(
@@ -84,22 +93,27 @@ def features(docs: DataFrame, words: list[str], keep: tuple[Column, ...]) -> Dat
     )
 
 
-def fit_classifier(rows: DataFrame, sample: DataFrame, alpha: float = 1.0) -> tuple[dict[str, list[float]], list[float]]:
-    """Naive Bayes: weights of each feature in each domain, and the log priors. The features are
-    bins and telling words, so both have a bounded size."""
-    held = rows.join(F.broadcast(sample), "doc_id")
-    totals = {r[0]: r[1] for r in held.groupBy("domain").count().collect()}
-    every = sum(totals.values())
-    counts = held.select("domain", F.explode("features").alias("f")).groupBy("f").agg(
-        *(F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS)
-    )
-    weights = {}
-    for row in counts.collect():
-        logs = [math.log((row[d] + alpha) / (totals.get(d, 0) + 2 * alpha)) for d in DOMAINS]
-        middle = sum(logs) / len(logs)
-        weights[row["f"]] = [x - middle for x in logs]
-    priors = [math.log((totals.get(d, 0) + alpha) / (every + alpha * len(DOMAINS))) for d in DOMAINS]
-    return weights, priors
+def fit_logistic(rows: list[tuple[str, list[str]]], rounds: int = 12, rate: float = 0.3, decay: float = 1e-3) -> tuple[dict[str, list[float]], list[float]]:
+    """Multinomial logistic regression on (domain, features) by adaptive gradient steps: weights of each
+    feature for each domain, and the domains' constants. The features are bins and telling words, so the weights have a bounded size."""
+    k = range(len(DOMAINS))
+    weights: dict[str, list[float]] = {}
+    seen: dict[str, list[float]] = {}
+    for step in range(rounds):
+        for domain, names in rows:
+            own = [BIAS, *names]
+            logs = [sum(weights[f][i] for f in own if f in weights) for i in k]
+            top = max(logs)
+            powers = [math.exp(x - top) for x in logs]
+            whole = sum(powers)
+            slope = [p / whole - (DOMAINS[i] == domain) for i, p in enumerate(powers)]
+            for f in own:
+                w, g = weights.setdefault(f, [0.0] * len(DOMAINS)), seen.setdefault(f, [1e-3] * len(DOMAINS))
+                for i in k:
+                    pull = slope[i] + (decay * w[i] if f != BIAS else 0.0)
+                    g[i] += pull * pull
+                    w[i] -= rate / (1 + step / 4) * pull / math.sqrt(g[i])
+    return {f: w for f, w in weights.items() if f != BIAS}, weights.get(BIAS, [0.0] * len(DOMAINS))
 
 
 def evidence(weights: dict[str, list[float]]) -> Column:
@@ -116,10 +130,9 @@ def evidence(weights: dict[str, list[float]]) -> Column:
     return F.aggregate(known, none, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
 
 
-def log_scores(said: Column, priors: list[float], sharpness: float) -> Column:
-    """Logs of the posteriors but for one constant a document. Features depend on one another, so
-    what they say together is damped by sharpness."""
-    return F.zip_with(said, F.array(*(F.lit(p) for p in priors)), lambda x, p: x * sharpness + p)
+def log_scores(said: Column, constants: list[float]) -> Column:
+    """Logs of the posteriors but for one constant a document."""
+    return F.zip_with(said, F.array(*(F.lit(p) for p in constants)), lambda x, p: x + p)
 
 
 def softmax(logs: Column) -> Column:
@@ -128,16 +141,15 @@ def softmax(logs: Column) -> Column:
     return F.transform(powers, lambda x: x / whole)
 
 
-def calibrated(rows: DataFrame, sample: DataFrame, choices=(1.0, 0.7, 0.5, 0.35, 0.25, 0.15, 0.1)):
-    """(weights, priors, sharpness) of a classifier: learnt from one half of the sample, with the sharpness that predicts the other half best."""
-    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
-    weights, priors = fit_classifier(rows, sample.where(half == 0))
-    other = rows.join(F.broadcast(sample.where(half == 1)), "doc_id").withColumn("domain", F.array_position(F.array(*(F.lit(d) for d in DOMAINS)), F.col("domain")).cast("int") - 1)
-    other = other.select("domain", evidence(weights).alias("said"))
-    surprise = [F.sum(-F.log(F.get(softmax(log_scores(F.col("said"), priors, c)), F.col("domain")) + 1e-12)) for c in choices]
-    got = other.agg(*surprise).first()
-    best = min(range(len(choices)), key=lambda k: got[k] if got[k] is not None else 0.0)
-    return weights, priors, choices[best]
+def learn_classifier(rows: DataFrame, sample: DataFrame) -> tuple[dict[str, list[float]], list[float]]:
+    # the sample's size is a parameter, so both the broadcast and the rows that come back are bounded
+    held = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "domain", "features").distinct()
+    return fit_logistic([(r["domain"], r["features"]) for r in sorted(held.collect(), key=lambda r: (hash_order(r["doc_id"]), r["features"]))])
+
+
+def hash_order(doc_id: int) -> int:
+    """An order of documents that has nothing to do with how they were numbered."""
+    return zlib.crc32(str(doc_id).encode())
 
 
 def _inverse(matrix: list[list[float]]) -> list[list[float]]:
@@ -194,14 +206,13 @@ class Mixer:
 
     words: list[str]
     weights: dict[str, list[float]]
-    priors: list[float]
-    sharpness: float
+    constants: list[float]
     rate: Column | None = None
 
     def posteriors(self, rows: DataFrame) -> DataFrame:
         """row, n_tokens, p_0.. of the rows of features()."""
         scored = rows.select("row", "n_tokens", evidence(self.weights).alias("said"))
-        scored = scored.select("row", "n_tokens", log_scores(F.col("said"), self.priors, self.sharpness).alias("logs"))
+        scored = scored.select("row", "n_tokens", log_scores(F.col("said"), self.constants).alias("logs"))
         scored = scored.select("row", "n_tokens", softmax(F.col("logs")).alias("p"))
         return scored.select("row", "n_tokens", *(F.get("p", F.lit(k)).alias(f"p_{k}") for k in range(len(DOMAINS))))
 
@@ -230,7 +241,7 @@ def fit(
     learn = materialise(labelled_sample(labels, sample), "mixing-sample")
     words = telling_words(docs, learn, n_words)
     rows = materialise(features(docs, words, (F.col("doc_id"),)), "mixing-features")
-    mixer = Mixer(words, *calibrated(rows.select("row.doc_id", "features"), learn))
+    mixer = Mixer(words, *learn_classifier(rows.select("row.doc_id", "features"), learn))
     members = materialise(mixer.posteriors(rows), "mixing-members")
     tokens = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
     mixer.rate, _ = fit_rates(members, [targets[d] * budget * tokens for d in DOMAINS], ridge, max_rate, rounds, tolerance)
