@@ -6,7 +6,8 @@ one set with a member count. Links between sets are found without listing the pa
 1. In every bucket each set meets the bucket's least set only (as many pairs as rows). What is
    similar is linked, and the links' components are taken.
 2. Only buckets whose sets lie in several components can hide a link that joins two of them. Their sets are
-   compared pair by pair inside tasks that return what passes the pruning, cut into blocks of bounded size.
+   compared pair by pair inside tasks, in blocks of bounded size; a task verifies what passes the pruning
+   and returns only links between components that it has not linked yet.
 3. If asked for, the links of every set are counted: a component is cut into blocks of bounded size, and
    each block adds the members of similar sets, so a large group gives counts and not pairs.
 
@@ -132,27 +133,55 @@ def _starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def compare_blocks(threshold: float, tolerance: float):
-    """For mapInPandas over sorted blocks of buckets: pairs of sets of different components that stay after pruning."""
+def _first_shared_band(signatures: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    equal = (signatures[a] == signatures[b]).reshape(-1, BANDS, ROWS).all(axis=2)
+    return np.argmax(equal, axis=1)
+
+
+def link_components(threshold: float, tolerance: float):
+    """For mapInPandas over sorted blocks of buckets: verified links (a, b) that join components.
+
+    A pair that shares several buckets is looked at in the first of them only.
+    """
     keys = ["key", "low", "high"]
 
     def run(frames):
-        for frame in _whole_blocks(frames, keys):
+        for frame in _whole_blocks(frames, keys, 4_000):
             starts = _starts(frame, keys)
             ends = np.repeat(np.append(starts[1:], len(frame)), np.diff(np.append(starts, len(frame))))
             signatures = _matrix(frame["signature"])
-            rep, comp, chunk = (frame[c].to_numpy() for c in ("rep", "comp", "chunk"))
+            rep, comp, chunk, band = (frame[c].to_numpy() for c in ("rep", "comp", "chunk", "band"))
             same = frame["low"].to_numpy() == frame["high"].to_numpy()
+            texts, sets, root = frame["text"].to_numpy(), {}, {}
+
+            def find(x, root=root):
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            def shingled(row, texts=texts, sets=sets, rep=rep):
+                own = sets.get(rep[row])
+                if own is None:
+                    own = sets[rep[row]] = shingles.shingle_set(texts[row])
+                return own
+
             at, step, found = np.arange(len(frame)), 1, []
             while len(at := at[at + step < ends[at]]):
                 a, b = at, at + step
                 pick = (comp[a] != comp[b]) & (same[a] | (chunk[a] != chunk[b]))
                 a, b = a[pick], b[pick]
                 left = prune(signatures, a, b, threshold, tolerance)
-                found.append((np.minimum(rep[a[left]], rep[b[left]]), np.maximum(rep[a[left]], rep[b[left]])))
+                a, b = a[left], b[left]
+                if len(a):
+                    first = _first_shared_band(signatures, a, b) == band[a]
+                    for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True):
+                        p, q = find(comp[x]), find(comp[y])
+                        if p != q and shingles.jaccard(shingled(x), shingled(y)) >= threshold:
+                            root[max(p, q)] = min(p, q)
+                            found.append((rep[x], rep[y]))
                 step += 1
             if found:
-                yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])}).drop_duplicates()
+                yield pd.DataFrame(found, columns=["a", "b"])
 
     return run
 
@@ -203,23 +232,23 @@ class JaccardJoin:
         self.sets = materialise(sets.withColumn("rep", F.monotonically_increasing_id()), "jaccard-sets")
 
     def find_buckets(self) -> DataFrame:
-        """key, rep, lead: the rows of buckets that hold several sets, and the bucket's least set."""
+        """key, band, rep, lead, n: the rows of buckets that hold several sets, and the bucket's least set."""
         keyed = self.sets.select("rep", "signature").mapInPandas(band_keys, "rep long, keys array<long>")
-        keyed = materialise(keyed.select("rep", F.explode("keys").alias("key")), "jaccard-keys")
+        keyed = materialise(keyed.select("rep", F.posexplode("keys").alias("band", "key")), "jaccard-keys")
         shared = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1")
         return materialise(keyed.join(shared, "key"), "jaccard-buckets")
 
     def read_texts(self, buckets: DataFrame) -> DataFrame:
-        """rep, text of every set that shares a bucket: the one time that texts are dealt by key."""
-        wanted = self.sets.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("first.doc_id").alias("id"), F.col("first.content").alias("content"))
+        """rep, signature, text of every set that shares a bucket: the one time that all texts are dealt by key."""
+        wanted = self.sets.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("first.doc_id").alias("id"), F.col("first.content").alias("content"), "signature")
         rows = self.docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("content"), "text")
-        got = rows.join(wanted, ["id", "content"]).select("rep", "text")
+        got = rows.join(wanted, ["id", "content"]).select("rep", "signature", "text")
         if self.rows.groupBy("doc_id", "content").count().where("count > 1").limit(1).count():
             got = got.dropDuplicates(["rep"])  # rows that repeat a document
         return materialise(got, "jaccard-texts")
 
-    def verify(self, pairs: DataFrame, texts: DataFrame, pruned: bool) -> DataFrame:
-        """The pairs (a, b) whose exact similarity reaches the threshold."""
+    def verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The pairs (a, b) that stay after pruning and whose exact similarity reaches the threshold."""
         threshold, tolerance = self.threshold, self.tolerance
 
         def drop(frames):
@@ -240,30 +269,29 @@ class JaccardJoin:
                     keep.append(shingles.jaccard(shingles.shingle_set(text_a), held[b]) >= threshold)
                 yield frame.loc[keep, ["a", "b"]]
 
-        if not pruned:
-            signed = self.sets.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a"))
-            other = self.sets.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b"))
-            pairs = pairs.join(signed, "a").join(other, "b").select("a", "b", "sig_a", "sig_b").mapInPandas(drop, "a long, b long")
-            pairs = materialise(pairs, "jaccard-candidates")
+        signed = self.sets.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a"))
+        other = self.sets.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b"))
+        pairs = pairs.join(signed, "a").join(other, "b").select("a", "b", "sig_a", "sig_b").mapInPandas(drop, "a long, b long")
+        pairs = materialise(pairs, "jaccard-candidates")
         text_a = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
         text_b = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
         return materialise(pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b").mapInPandas(exact, "a long, b long"), "jaccard-links")
 
-    def crossing_pairs(self, buckets: DataFrame, components: DataFrame) -> DataFrame:
-        """Pairs of sets that share a bucket, lie in different components and stay after pruning."""
-        named = buckets.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("comp"), "n")
+    def crossing_links(self, buckets: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
+        """Verified links between sets that share a bucket and lie in different components."""
+        named = buckets.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("root", "rep").alias("comp"), "n")
         mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-        rows = named.join(mixed, "key", "left_semi").join(self.sets.select("rep", "signature"), "rep")
+        rows = named.join(mixed, "key", "left_semi").join(texts, "rep")
         dealt = block_rows(rows, "key", "n", self.chunk_rows)
         parts = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-        columns = ["key", "low", "high", "chunk", "rep", "comp", "signature"]
-        return parts.select(*columns).mapInPandas(compare_blocks(self.threshold, self.tolerance), "a long, b long").distinct()
+        columns = ["key", "low", "high", "chunk", "band", "rep", "comp", "signature", "text"]
+        return parts.select(*columns).mapInPandas(link_components(self.threshold, self.tolerance), "a long, b long").distinct()
 
     def links_of(self, components: DataFrame, texts: DataFrame) -> DataFrame:
         """rep, links: documents of other sets that are similar to it."""
         sized = components.groupBy("root").agg(F.count("*").alias("n"))
         rows = components.join(sized, "root").select(F.col("node").alias("rep"), F.col("root").alias("comp"), "n")
-        rows = rows.join(self.sets.select("rep", "n_docs"), "rep").join(texts, "rep")
+        rows = rows.join(self.sets.select("rep", "n_docs"), "rep").join(texts.select("rep", "text"), "rep")
         dealt = block_rows(rows, "comp", "n", self.chunk_rows // 2)
         parts = dealt.repartition("comp", "low", "high").sortWithinPartitions("comp", "low", "high")
         columns = ["comp", "low", "high", "chunk", "rep", "n_docs", "text"]
@@ -273,9 +301,9 @@ class JaccardJoin:
         """doc_id, content, class_id, n_copies, n_links (if asked for) of every row."""
         buckets = self.find_buckets()
         texts = self.read_texts(buckets)
-        starred = self.verify(buckets.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), texts, pruned=False)
+        starred = self.verify(buckets.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), texts)
         parts = connected_components(starred, "a", "b")
-        crossing = self.verify(materialise(self.crossing_pairs(buckets, parts), "jaccard-crossing"), texts, pruned=True)
+        crossing = materialise(self.crossing_links(buckets, parts, texts), "jaccard-crossing")
         if not crossing.isEmpty():
             parts = connected_components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(crossing), "a", "b")
         parts = materialise(parts, "jaccard-parts")
