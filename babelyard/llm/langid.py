@@ -141,13 +141,23 @@ def normalise(counts: np.ndarray, smoothing: float) -> np.ndarray:
 
 def learning_rows(docs: DataFrame, held_out: int | None, folds: int, per_language: int) -> DataFrame:
     """text, lang of at most per_language documents of each language, the first by a hash of the id.
-    Only the documents' folds, ids and languages pass through the window, not their texts."""
+
+    Languages are counted first. What lies far beyond a language's share of the hash is left out where it
+    is read, so few rows of each language are ranked, however many it has.
+    """
     allowed = docs.where("lang is not null and text is not null and doc_id is not null")
     if held_out is not None:
         allowed = allowed.where(fold("doc_id", folds) != held_out)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    chosen = allowed.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    return allowed.select("doc_id", "lang", "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").select("lang", "text")
+    counts = allowed.groupBy("lang").count().collect()  # a row for each language
+    if not counts:
+        return allowed.select("lang", "text")
+    space = 1 << 40
+    cuts = {r[0]: min(space, space * (2 * per_language + 100) // r[1]) for r in counts}
+    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(space))
+    cut = F.create_map(*(F.lit(x) for pair in cuts.items() for x in pair))
+    few = allowed.select("lang", "text", "doc_id", place.alias("place")).where(F.col("place") < F.element_at(cut, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    return few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "text")
 
 
 class Model:
