@@ -173,7 +173,7 @@ def fit_rates(members: DataFrame, totals: list[float], ridge: float, max_rate: f
     moments, plus ridge times the token-weighted square of rate - 1, over 0 <= rate <= max_rate.
     Each step of projected gradient needs one number a domain from all documents: their totals
     under the present rates. A document's rate is the steps so far, written as one expression, so nothing is kept for a document
-    between steps.
+    between steps; in this metric a step goes nearly all the way, and rounds should stay below 50, as each makes the expression deeper.
     """
     k = range(len(totals))
     p = [F.col(f"p_{i}") for i in k]

@@ -33,7 +33,8 @@ from babelyard.llm.tables import materialise
 BANDS, ROWS = 26, 5
 STEP = 26
 TOLERANCE = 1e-6
-SETS = "doc_id long, content long, k1 long, k2 long, n_shingles long, signature binary"
+#: doc_id as text: whole numbers beside nulls would become floating ones on their way.
+SETS = "doc_id string, content long, k1 long, k2 long, n_shingles long, signature binary"
 
 
 @lru_cache
@@ -74,8 +75,9 @@ def describe(frames):
                 continue
             key = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype="<i8")
             rows.append((doc_id, content, int(key[0]), int(key[1]), len(own), shingles.minhash(own, a, b).tobytes()))
-        got = pd.DataFrame(rows, columns=[c.split()[0] for c in SETS.split(", ")])
-        yield got.astype({"doc_id": "Int64", "k1": "Int64", "k2": "Int64"})
+        got = dict(zip((c.split()[0] for c in SETS.split(", ")), zip(*rows, strict=True) if rows else [()] * 6, strict=True))
+        whole = {c: pd.array(list(got[c]), dtype="Int64") for c in ("k1", "k2")}
+        yield pd.DataFrame({c: whole.get(c, list(got[c])) for c in got})
 
 
 def _matrix(signatures) -> np.ndarray:
@@ -224,8 +226,9 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, threshold: float = 0.8, tolerance: float = TOLERANCE, chunk_rows: int = 256):
         self.docs, self.threshold, self.tolerance, self.chunk_rows = docs, threshold, tolerance, chunk_rows
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
-        self.rows = materialise(rows.mapInPandas(describe, SETS), "jaccard-rows")
+        rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
+        described = rows.mapInPandas(describe, SETS)
+        self.rows = materialise(described.withColumn("doc_id", F.col("doc_id").cast("long")), "jaccard-rows")
         first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "content")).alias("first")
         sets = self.rows.where("k1 is not null").groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), first, F.first("signature").alias("signature"))
         # the number is kept with the table, so it stays whatever is computed again

@@ -12,8 +12,9 @@ from babelyard.llm import vocab
 from babelyard.llm.tables import materialise
 
 END_ID = 2
-DOCUMENT = "doc_id long, doc_tokens long, full_crcs array<long>, rest_crc long, part_crcs array<long>"
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: doc_id as text: whole numbers beside nulls would become floating ones on their way.
+DOCUMENT = "doc_id string, doc_tokens long, full_crcs array<long>, rest_crc long, part_crcs array<long>"
+PIECE = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class CapacityTree:
@@ -75,8 +76,7 @@ def tokenise(capacity: int, vocabulary):
                     parts.append(vocab.crc(ids[4 * at : 4 * (at + size)]))
                     at += size
                 rows.append((doc_id, n, full, vocab.crc(rest), parts))
-            got = pd.DataFrame(rows, columns=["doc_id", "doc_tokens", "full_crcs", "rest_crc", "part_crcs"])
-            yield got.assign(doc_id=got["doc_id"].astype("Int64"))
+            yield pd.DataFrame(rows, columns=["doc_id", "doc_tokens", "full_crcs", "rest_crc", "part_crcs"])
 
     return run
 
@@ -143,7 +143,7 @@ def pack_documents(
     spark = docs.sparkSession
     words = spark.sparkContext.broadcast(vocab.read_text(vocabulary_path or vocab.vocabulary_path()))
     counted = materialise(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tokenise(capacity, words), DOCUMENT),
+        docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(tokenise(capacity, words), DOCUMENT),
         "packing-documents",
     )
     groups = max(1, math.ceil(counted.count() / group_docs))
@@ -154,8 +154,8 @@ def pack_documents(
         columns = [frame[c].tolist() for c in ("full_crcs", "rest_crc", "part_crcs")]
         pieces = pack_group(list(zip(tokens, *columns, strict=True)), capacity, slack)
         rows = [(ids[n], at, size, code, tokens[n], (int(key[0]) << 32) + seq, off) for n, at, size, code, seq, off in pieces]
-        got = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE.split(", ")])
-        return got.assign(doc_id=got["doc_id"].astype("Int64"))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE.split(", ")])
 
     place = F.pmod(F.xxhash64("doc_id", "rest_crc", F.lit(seed)), F.lit(groups))
-    return counted.withColumn("group", place).groupBy("group").applyInPandas(pack, PIECE)
+    pieces = counted.withColumn("group", place).groupBy("group").applyInPandas(pack, PIECE)
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))

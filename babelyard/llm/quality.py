@@ -27,11 +27,11 @@ class Rule:
 
 
 RULES = (
-    Rule("symbols", "n_symbols / word_chars", tuple(x / 100 for x in range(2, 42, 2))),
-    Rule("repeated_lines", "n_dup_lines / n_lines", tuple(x / 20 for x in range(1, 20))),
-    Rule("repeated_words", "n_repeat_words / n_words", tuple(x / 20 for x in range(1, 20))),
-    Rule("long_words", "word_chars / n_words", (8, 9, 10, 11, 12, 14, 16, 20, 30)),
-    Rule("capitals", "n_capitals / word_chars", tuple(x / 20 for x in range(2, 20))),
+    Rule("symbols", "try_divide(n_symbols, word_chars)", tuple(x / 100 for x in range(2, 42, 2))),
+    Rule("repeated_lines", "try_divide(n_dup_lines, n_lines)", tuple(x / 20 for x in range(1, 20))),
+    Rule("repeated_words", "try_divide(n_repeat_words, n_words)", tuple(x / 20 for x in range(1, 20))),
+    Rule("long_words", "try_divide(word_chars, n_words)", (8, 9, 10, 11, 12, 14, 16, 20, 30)),
+    Rule("capitals", "try_divide(n_capitals, word_chars)", tuple(x / 20 for x in range(2, 20))),
 )
 
 
