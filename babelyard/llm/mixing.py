@@ -39,7 +39,7 @@ def _words(text: Column) -> Column:
 def telling_words(docs: DataFrame, sample: DataFrame, most: int, least_docs: int = 5) -> list[str]:
     """The words whose presence says most about the domain (mutual information), from the sample."""
     # the sample's size is a parameter, so its broadcast is bounded
-    held = docs.join(F.broadcast(sample), "doc_id").select("domain", F.array_distinct(_words(F.col("text"))).alias("words"))
+    held = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", F.array_distinct(_words(F.col("text"))).alias("words"))
     totals = {r[0]: r[1] for r in held.groupBy("domain").count().collect()}
     every = sum(totals.values())
     if not every:

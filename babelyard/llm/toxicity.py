@@ -108,7 +108,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, most: int, held_out: int,
     chosen = one.where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(most)
     half = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(2)).alias("half")
     # its size is a parameter, so its broadcast is bounded
-    return docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic", half)
+    return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", half)
 
 
 def count_terms(frames):

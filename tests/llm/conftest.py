@@ -16,7 +16,7 @@ def make_docs(spark):
         if extra:
             from pyspark.sql import functions as F
 
-            for name in ("content", "rep", "key", "row", "features", "score", "slot", "shard", "words", "rate", "group", "stratum", "times", "quality", "toxic"):
+            for name in ("content", "rep", "key", "row", "features", "score", "slot", "shard", "words", "rate", "group", "stratum", "times", "quality", "toxic", "domain", "n_tokens", "half", "place", "fit", "id"):
                 df = df.withColumn(name, F.lit("x"))
         return df
 
