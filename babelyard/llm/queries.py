@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from babelyard.llm import langid, licenses, mixing, neardup, packing, quality, sharding, topk, toxicity, urls
+from babelyard.llm import langid, licenses, mixing, neardup, oracles, packing, quality, sharding, topk, toxicity, urls
 from babelyard.llm.tables import read_table
 
 
@@ -64,21 +64,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {
-    "op10_exact_topk": """
-        WITH clean AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
-            FROM embeddings
-            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-        ), ranked AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-                   CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score,
-                   row_number() OVER (PARTITION BY q.vec_id
-                                      ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) AS rank
-            FROM clean q JOIN clean c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
-            WHERE q.vec_id % 50 = 0
-        )
-        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
-    """,
-}
+ORACLE_SQL = oracles.SQL
