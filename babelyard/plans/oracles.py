@@ -91,7 +91,7 @@ CLASSIFY = """CASE
 
 FIRST_WORDS = "SELECT source AS path, regexp_extract(text, '^([^ \\n]*)', 1) AS word, doc_id FROM documents WHERE text IS NOT NULL"
 BASE = "role || '.' || lower(regexp_replace(regexp_extract(text, '^([^ ]*)', 1), '[^a-zA-Z]', '', 'g'))"
-MARKED = "'Hi {{ ' || role || ' }} {{{' || CAST(conv_id AS VARCHAR) || '}}} {{open ' || substr(text, 1, 10)"
+MARKED = "'Hi {{ ' || role || ' }} {{{' || CAST(conv_id AS VARCHAR) || '}}} {{open ' || text"
 DIR = "CASE WHEN code IN ('" + "', '".join(L.RTL_LOCALES) + "') THEN 'rtl' ELSE 'ltr' END"
 LABEL = "CASE code " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in L.LOCALE_LABELS.items()) + " ELSE upper(code) END"
 CODES = "CASE prop " + " ".join(f"WHEN '{p}' THEN '{c}'" for p, _, c in L.CSS_PROPS) + " WHEN 'text-align' THEN 'FIX_TEXT_ALIGN' WHEN 'float' THEN 'FIX_FLOAT' ELSE 'none' END"
@@ -160,9 +160,9 @@ SQL: dict[str, str] = {
             sha256(CASE WHEN v.key IS NOT NULL AND m.locale = 'en' THEN m.key || '*' ELSE m.value END) AS value_hash
         FROM messages m LEFT JOIN valid v ON m.key = v.key""",
     "delta_merge": f"""
-        WITH {CATALOGUE}, n AS (SELECT locale, key, 'new: ' || substr(value, 1, 20) AS v FROM messages WHERE length(value) > 1000),
-             o AS (SELECT locale, key, substr(value, 1, 20) AS v FROM messages WHERE length(value) < 3000)
-        SELECT locale, key, coalesce(n.v, o.v) AS value FROM o FULL JOIN n USING (locale, key)""",
+        WITH {CATALOGUE}, n AS (SELECT locale, key, 'new: ' || value AS v FROM messages WHERE length(value) > 1000),
+             o AS (SELECT locale, key, value AS v FROM messages WHERE length(value) < 3000)
+        SELECT locale, key, sha256(coalesce(n.v, o.v)) AS value_hash FROM o FULL JOIN n USING (locale, key)""",
     "incremental_changed": """
         SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL AND (doc_id % 2 = 1 OR doc_id % 20 = 0)""",
     "html_findings_by_code": f"WITH {PAGES}, {FINDINGS} SELECT code, count(*) AS n FROM findings GROUP BY code",
@@ -240,14 +240,14 @@ SQL: dict[str, str] = {
         WITH m AS (SELECT CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS key, {MARKED} AS value FROM conversations WHERE text IS NOT NULL)
         SELECT 'en' AS locale, key, value FROM m UNION ALL SELECT 'ar', key, '[TEST_AR] ' || value FROM m UNION ALL SELECT 'es', key, '[TEST_ES] ' || value FROM m""",
     "mock_translate_delta": """
-        WITH m AS (SELECT turn, CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS key, substr(text, 1, 30) AS value FROM conversations WHERE text IS NOT NULL)
+        WITH m AS (SELECT turn, CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS key, text AS value FROM conversations WHERE text IS NOT NULL)
         SELECT 'en' AS locale, key, value FROM m UNION ALL SELECT 'ar', key, '[TEST_AR] ' || value FROM m WHERE turn = 0""",
     "translation_chunks": """
         WITH n AS (SELECT role, conv_id, (row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1) // 100 AS chunk FROM conversations)
         SELECT role, CAST(chunk AS INTEGER) AS chunk, count(*) AS n, min(conv_id) AS first_conv FROM n GROUP BY ALL""",
     "answers_by_position": """
-        WITH n AS (SELECT conv_id, substr(text, 1, 12) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, substr(text, 1, 12)) - 1 AS k FROM conversations WHERE text IS NOT NULL)
-        SELECT conv_id, string_agg(CASE WHEN k % 3 <> 2 THEN upper(regexp_replace(t, '[^ -~]', '', 'g')) ELSE t END, '|' ORDER BY k) AS joined FROM n GROUP BY conv_id""",
+        WITH n AS (SELECT conv_id, text AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS k FROM conversations WHERE text IS NOT NULL)
+        SELECT conv_id, sha256(string_agg(CASE WHEN k % 3 <> 2 THEN upper(regexp_replace(t, '[^ -~]', '', 'g')) ELSE t END, '|' ORDER BY k)) AS joined FROM n GROUP BY conv_id""",
     "promote_insert_only": f"""
         WITH f AS ({FIRST_WORDS}), k AS (SELECT DISTINCT word FROM f WHERE {CLASSIFY} = 'translatable')
         SELECT 'en' AS locale, word AS key, word AS value FROM k WHERE word NOT IN (SELECT word FROM f WHERE doc_id % 3 = 0)""",
@@ -262,7 +262,8 @@ SQL: dict[str, str] = {
     "edit_first_of_range": f"""
         WITH {RANGES} SELECT path, s % 8 AS start, s % 8 + 3 AS "end", arg_min(role, turn) AS replacement FROM r GROUP BY path, s % 8""",
     "edit_apply": """
-        SELECT doc_id, substr(text, 1, 2) || '<A>' || substr(text, 5, 6) || '<B>' || substr(text, 11, 10) AS edited FROM documents WHERE text IS NOT NULL AND length(text) > 20""",
+        WITH b AS (SELECT doc_id, substr(text, 1, 10) || '<B>' || substr(text, 11) AS t FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, sha256(substr(t, 1, 2) || '<A>' || substr(t, 5)) AS edited FROM b""",
     "project_adapter": f"""
         WITH {PROJECTS}, v AS (SELECT CASE
             WHEN k % 13 = 0 THEN ['next-i18next', 'flag', '-'] WHEN k % 17 = 0 THEN ['-', '-', 'Invalid --adapter value']
@@ -290,4 +291,14 @@ SQL: dict[str, str] = {
     "jsx_rewrite_scores": """
         WITH c AS (SELECT count(DISTINCT conv_id) AS n FROM conversations WHERE text IS NOT NULL)
         SELECT 90 AS score, n, 'before' AS "when" FROM c UNION ALL SELECT 95, n, 'after' FROM c""",
+    "jsx_extract": """
+        WITH f AS (SELECT conv_id, arg_min(regexp_replace(text, '[^A-Za-z ]', '', 'g'), turn) AS t FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
+        n AS (SELECT CAST(conv_id AS VARCHAR) AS c, regexp_replace(trim('Say ' || trim(t)), '\\s+', ' ', 'g') AS t FROM f),
+        u AS (
+            SELECT c, 0 AS pos, 'string' AS kind, t AS value, 'title' AS role, NULL AS reason FROM n
+            UNION ALL SELECT c, 1, 'string', 'Dear {{name}}, ' || t, 'body', NULL FROM n
+            UNION ALL SELECT c, 2, 'string', 'You have <strong>{{count}}</strong> mails', 'body2', NULL FROM n
+            UNION ALL SELECT c, 3, 'skipped', NULL, NULL, 'complex-expression' FROM n
+            UNION ALL SELECT c, 4, 'string', 'A face', 'aFace', NULL FROM n
+        ) SELECT 'src/chats/Chat' || c || '.jsx' AS path, pos, kind, value, 'chat' || c || '.chat.' || role AS key, reason FROM u""",
 }

@@ -109,9 +109,9 @@ def migrated_messages(spark, sf_dir):
 
 def delta_merge(spark, sf_dir):
     m = _messages(spark, sf_dir)
-    new = m.where(F.length("value") > 1000).select("locale", "key", F.concat(F.lit("new: "), F.substring("value", 1, 20)).alias("value"))
-    old = m.where(F.length("value") < 3000).select("locale", "key", F.substring("value", 1, 20).alias("value"))
-    return sync.deep_merge(old, new)
+    new = m.where(F.length("value") > 1000).select("locale", "key", F.concat(F.lit("new: "), F.col("value")).alias("value"))
+    old = m.where(F.length("value") < 3000).select("locale", "key", "value")
+    return sync.deep_merge(old, new).select("locale", "key", F.sha2("value", 256).alias("value_hash"))
 
 
 def incremental_changed(spark, sf_dir):
@@ -316,7 +316,7 @@ def locale_dir(spark, sf_dir):
 
 
 def _marked(conversations: DataFrame) -> Column:
-    return F.concat(F.lit("Hi {{ "), F.col("role"), F.lit(" }} {{{"), F.col("conv_id").cast("string"), F.lit("}}} {{open "), F.substring("text", 1, 10))
+    return F.concat(F.lit("Hi {{ "), F.col("role"), F.lit(" }} {{{"), F.col("conv_id").cast("string"), F.lit("}}} {{open "), F.col("text"))
 
 
 def token_roundtrip(spark, sf_dir):
@@ -335,7 +335,7 @@ def mock_translate(spark, sf_dir):
 
 def mock_translate_delta(spark, sf_dir):
     c = _read(spark, sf_dir, "conversations").where("text is not null")
-    m = c.select(F.lit(DEFAULT).alias("locale"), F.concat_ws(".", "conv_id", "turn").alias("key"), F.substring("text", 1, 30).alias("value"))
+    m = c.select(F.lit(DEFAULT).alias("locale"), F.concat_ws(".", "conv_id", "turn").alias("key"), F.col("text").alias("value"))
     delta = c.where("turn = 0").select(F.concat_ws(".", "conv_id", "turn").alias("key"))
     return translate.run_translations(m, ["ar"], DEFAULT, translate.MockProvider(), delta)
 
@@ -348,9 +348,9 @@ def translation_chunks(spark, sf_dir):
 def answers_by_position(spark, sf_dir):
     """Answers in the source's order; each third is missing and keeps its source."""
     c = _read(spark, sf_dir, "conversations").where("text is not null")
-    listed = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 12).alias("t")))), lambda x: x["t"]).alias("src"))
+    listed = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))), lambda x: x["t"]).alias("src"))
     answer = F.transform("src", lambda x, k: F.when(k % 3 != 2, F.upper(F.regexp_replace(x, "[^ -~]", ""))))
-    return listed.select("conv_id", F.array_join(translate.by_position(F.col("src"), answer), "|").alias("joined"))
+    return listed.select("conv_id", F.sha2(F.array_join(translate.by_position(F.col("src"), answer), "|"), 256).alias("joined"))
 
 
 def promote_insert_only(spark, sf_dir):
@@ -392,20 +392,20 @@ def edit_first_of_range(spark, sf_dir):
 
 def edit_apply(spark, sf_dir):
     """Two marks set into every document."""
-    d = _read(spark, sf_dir, "documents").where("text is not null and length(text) > 20").select("doc_id", F.substring("text", 1, 20).alias("t"))
+    d = _read(spark, sf_dir, "documents").where("text is not null")
     e = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(r).alias("replacement")) for a, b, r in ((2, 4, "<A>"), (10, 10, "<B>"))))
-    return d.select("doc_id", edits.apply_edits(F.col("t"), e).alias("edited"))
+    return d.select("doc_id", F.sha2(edits.apply_edits(F.col("text"), e), 256).alias("edited"))
 
 
 # -- components: sources written around the tables' values ----------------------
 
 
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A component for each conversation, with its first turns as texts."""
+    """A component for each conversation, with its first turn as a text."""
     c = _read(spark, sf_dir, "conversations").where("text is not null")
-    plain = F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")
-    own = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", plain.alias("t")))).alias("turns"))
-    first = F.concat(F.lit("Say "), F.trim(F.get("turns", F.lit(0))["t"]))
+    plain = F.regexp_replace("text", "[^A-Za-z ]", "")
+    own = c.groupBy("conv_id").agg(F.min_by(plain, "turn").alias("first"))
+    first = F.concat(F.lit("Say "), F.trim("first"))
     body = F.concat(
         F.lit("export default function Chat() {\n    return (\n        <div className=\"ml-2 flex\" style={{marginLeft: 4}}>\n            <h1>"), first,
         F.lit("</h1>\n            <p>Dear {name}, "), first, F.lit("</p>\n            <p>You have <strong>{count}</strong> mails</p>\n            <p>{format(x)}!</p>\n"),
