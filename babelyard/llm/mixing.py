@@ -228,6 +228,7 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     targets: dict[str, float] | None = None,
+    tilts: dict[str, float] | None = None,
     budget: float = 1.0,
     max_rate: float = 4.0,
     ridge: float = 1e-3,
@@ -236,15 +237,24 @@ def fit(
     sample: int = 20_000,
     n_words: int = 256,
 ) -> tuple[Mixer, DataFrame]:
-    """The mixer, and row (doc_id), n_tokens, p_0.. of every row of docs."""
-    targets = targets or TARGETS
+    """The mixer, and row (doc_id), n_tokens, p_0.. of every row of docs.
+
+    With tilts the targets follow the input: each domain's own share times its tilt, made to add up to 1.
+    Such targets can be reached whatever the input holds, where a fixed share of a domain that is hardly there can't.
+    """
     learn = materialise(labelled_sample(labels, sample), "mixing-sample")
     words = telling_words(docs, learn, n_words)
     rows = materialise(features(docs, words, (F.col("doc_id"),)), "mixing-features")
     mixer = Mixer(words, *learn_classifier(rows.select("row.doc_id", "features"), learn))
     members = materialise(mixer.posteriors(rows), "mixing-members")
-    tokens = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
-    mixer.rate, _ = fit_rates(members, [targets[d] * budget * tokens for d in DOMAINS], ridge, max_rate, rounds, tolerance)
+    held = members.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(f"p_{k}")) for k in range(len(DOMAINS)))).first()
+    tokens, own = float(held[0] or 0), [float(x or 0) for x in held[1:]]
+    if tilts:
+        tilted = [tilts[d] * x for d, x in zip(DOMAINS, own, strict=True)]
+        shares = [x / (sum(tilted) or 1.0) for x in tilted]
+    else:
+        shares = [(targets or TARGETS)[d] for d in DOMAINS]
+    mixer.rate, _ = fit_rates(members, [share * budget * tokens for share in shares], ridge, max_rate, rounds, tolerance)
     return mixer, members
 
 

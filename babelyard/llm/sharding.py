@@ -70,7 +70,7 @@ class SlotMap:
 
 
 def shard_documents(
-    docs: DataFrame, n_shards: int = 40, slots: int = 4096, parts_per_shard: int = 16, path: str | None = None
+    docs: DataFrame, n_shards: int = 40, slots: int = 4096, parts_per_shard: int = 4, path: str | None = None
 ) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, sub, shard, slot: every row's shard and its place there.
 

@@ -44,6 +44,19 @@ def test_targets_are_met(spark, sf):
     assert all(sum(r[f"p_{d}"] for d in mixing.DOMAINS) == pytest.approx(1) and r.rate >= 0 for r in rows)
 
 
+def test_tilted_targets(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    tilts = {"good": 1.0, "poor": 0.7, "toxic": 0.5}
+    mixer, members = mixing.fit(docs, labels, tilts=tilts)
+    rows = members.withColumn("rate", mixer.rate).collect()
+    own = [sum(r.n_tokens * r[f"p_{k}"] for r in rows) for k in range(3)]
+    got = [sum(r.n_tokens * r.rate * r[f"p_{k}"] for r in rows) for k in range(3)]
+    tilted = [t * x for t, x in zip(tilts.values(), own, strict=True)]
+    for x, t in zip(got, tilted, strict=True):
+        assert x / sum(own) == pytest.approx(t / sum(tilted), abs=0.01)
+    assert all(r.rate >= 1 for r in rows if r.p_0 > 0.99)
+
+
 def test_classifier_separates(spark, make_docs):
     rows = [(k, f"plain words of text number {k} " * 5) for k in range(200)] + [(1000 + k, f"## noise ## {k} ## " * 5) for k in range(100)]
     labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 200, 2)] + [(1000 + k, 0, 0) for k in range(0, 100, 2)] + [(None, 1, 1), (3, None, None)], LABELS)
