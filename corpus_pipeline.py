@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from babelyard.llm import langid, mixing, neardup, packing, toxicity
 from babelyard.llm.tables import materialise, read_table
 
+#: How the domains' shares of all tokens are to change.
+TILTS = {"good": 1.0, "poor": 0.7, "toxic": 0.5}
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject_toxic(docs, read_table(spark, sf_dir, "labels"))
@@ -25,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixer, _ = mixing.fit(docs, read_table(spark, sf_dir, "labels"))
+    mixer, _ = mixing.fit(docs, read_table(spark, sf_dir, "labels"), tilts=TILTS)
     return mixer.repeat_rows(docs)
 
 
