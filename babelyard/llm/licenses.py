@@ -100,8 +100,15 @@ class Templates:
 
     def table(self, spark) -> DataFrame:
         """One row for each word of a prefix: bounded by the templates' words."""
-        rows = [(w, at, n, label, words, need) for n, label, words, need, prefix in self.rows for at, w in enumerate(prefix)]
-        return spark.createDataFrame(rows, "token string, at int, template int, label string, words array<string>, need int")
+        rows = [
+            F.struct(
+                F.lit(w).alias("token"), F.lit(at).alias("at"), F.lit(n).alias("template"), F.lit(label).alias("label"),
+                _literals(words).alias("words"), F.lit(need).alias("need"),
+            )
+            for n, label, words, need, prefix in self.rows for at, w in enumerate(prefix)
+        ]
+        none = "array<struct<token:string,at:int,template:int,label:string,words:array<string>,need:int>>"
+        return spark.range(1).select(F.inline(F.array(*rows) if rows else F.array().cast(none)))
 
 
 def word_frequency(docs: DataFrame, words: list[str]) -> dict[str, int]:

@@ -57,5 +57,10 @@ def test_lower_thresholds_find_more(make_docs):
         assert got == {k: brute(t, threshold)[5] for k, t in enumerate(TEXTS)}
 
 
+def test_without_templates(make_docs):
+    got = licenses.scan_licenses(make_docs(["Released under the MIT License."]), templates=()).collect()
+    assert [(r.labels, r.score) for r in got] == [("mit", 1.0)]
+
+
 def test_empty(empty):
     assert licenses.scan_licenses(empty).count() == 0
