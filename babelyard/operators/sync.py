@@ -74,8 +74,11 @@ def value_edits(previous: DataFrame, current: DataFrame) -> DataFrame:
     """path, dot_path, old_key, new_key: values that changed in place, where the old value is gone everywhere and the new one was nowhere before."""
     old, new = previous.select("path", "dot_path", F.col("value").alias("old_key")), current.select("path", "dot_path", F.col("value").alias("new_key"))
     changed = old.join(new, ["path", "dot_path"]).where("old_key <> '' and old_key <> new_key")
-    gone = changed.join(current.select(F.col("value").alias("old_key")).distinct(), "old_key", "left_anti")
-    return gone.join(previous.select(F.col("value").alias("new_key")).distinct(), "new_key", "left_anti").select("path", "dot_path", "old_key", "new_key")
+    # the values that are looked for are dealt by their hashes, so no text of the whole snapshots moves
+    hashed = lambda df, name: df.select(F.sha2("value", 256).alias(name)).distinct()
+    changed = changed.withColumn("old_hash", F.sha2("old_key", 256)).withColumn("new_hash", F.sha2("new_key", 256))
+    gone = changed.join(hashed(current, "old_hash"), "old_hash", "left_anti")
+    return gone.join(hashed(previous, "new_hash"), "new_hash", "left_anti").select("path", "dot_path", "old_key", "new_key")
 
 
 def migrate(messages: DataFrame, edits: DataFrame, default: str) -> DataFrame:

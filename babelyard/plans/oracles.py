@@ -216,10 +216,11 @@ SQL: dict[str, str] = {
         WITH b AS (SELECT conv_id, turn, role, {BASE} AS base FROM conversations WHERE text IS NOT NULL),
              n AS (SELECT *, row_number() OVER (PARTITION BY role, base ORDER BY conv_id, turn) AS n FROM b)
         SELECT conv_id, turn, base || CASE WHEN n > 1 THEN CAST(n AS VARCHAR) ELSE '' END AS key FROM n""",
-    "key_allocation": f"""
-        WITH b AS (SELECT conv_id, lpad(CAST(conv_id AS VARCHAR), 12, '0') AS path, CAST(turn AS INTEGER) AS pos, role, {BASE} AS base FROM conversations WHERE text IS NOT NULL),
-             n AS (SELECT *, row_number() OVER (PARTITION BY role, base ORDER BY path, pos) AS n FROM b WHERE conv_id % 10 <> 0)
-        SELECT path, pos, base || '_' || path || '_' || CAST(pos AS VARCHAR) AS key FROM b WHERE conv_id % 10 = 0
+    "key_allocation": """
+        WITH b AS (SELECT conv_id, lpad(CAST(conv_id AS VARCHAR), 12, '0') AS path, CAST(turn AS INTEGER) AS pos, 'chat' || CAST(conv_id AS VARCHAR) || '.' || role AS base
+                   FROM conversations WHERE text IS NOT NULL),
+             n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY pos) AS n FROM b WHERE conv_id % 10 <> 0)
+        SELECT path, pos, base || '_' || CAST(pos AS VARCHAR) AS key FROM b WHERE conv_id % 10 = 0
         UNION ALL SELECT path, pos, base || CASE WHEN n > 1 THEN CAST(n AS VARCHAR) ELSE '' END FROM n""",
     "namespaces": """
         WITH p AS (SELECT page_id, regexp_extract(url, '/([a-z]+)/[0-9]+', 1) AS folder, 'page' || CAST(page_id % 40 AS VARCHAR) AS stem FROM pages WHERE url IS NOT NULL),

@@ -274,14 +274,15 @@ def collision_counters(spark, sf_dir):
 
 
 def key_allocation(spark, sf_dir):
-    """The same by allocation, with every tenth conversation's keys from an earlier map."""
+    """Keys of turns by allocation: each conversation is a file, a turn's role its text's; every tenth
+    conversation has its keys from an earlier map."""
     c = _read(spark, sf_dir, "conversations").where("text is not null")
-    base = F.concat_ws(".", "role", F.lower(F.regexp_replace(F.regexp_extract("text", r"^([^ ]*)", 1), "[^a-zA-Z]", "")))
+    space = F.concat(F.lit("chat"), F.col("conv_id").cast("string"))
     rows = c.select(
-        F.col("role").alias("namespace"), F.format_string("%012d", F.col("conv_id")).alias("path"), F.col("turn").cast("int").alias("pos"),
-        "text", F.col("turn").cast("string").alias("ast_sig"), base.alias("base_key"), "conv_id",
+        space.alias("namespace"), F.format_string("%012d", F.col("conv_id")).alias("path"), F.col("turn").cast("int").alias("pos"),
+        "text", F.col("turn").cast("string").alias("ast_sig"), F.concat_ws(".", space, "role").alias("base_key"), "conv_id",
     )
-    old = rows.where("conv_id % 10 = 0").select("path", T.text_hash(F.col("text")).alias("text_hash"), "ast_sig", F.concat(F.col("base_key"), F.lit("_"), F.col("path"), F.lit("_"), F.col("pos").cast("string")).alias("key"))
+    old = rows.where("conv_id % 10 = 0").select("path", T.text_hash(F.col("text")).alias("text_hash"), "ast_sig", F.concat_ws("_", "base_key", F.col("pos").cast("string")).alias("key"))
     return keys.allocate(rows.drop("conv_id"), old).select("path", "pos", "key")
 
 
