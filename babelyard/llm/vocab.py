@@ -94,7 +94,7 @@ class CachedEncoder:
     letters and of others. Parts repeat, so their ids are kept.
     """
 
-    def __init__(self, vocabulary: str, most: int = 700_000):
+    def __init__(self, vocabulary: str, most: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
