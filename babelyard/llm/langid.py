@@ -163,7 +163,7 @@ def learning_rows(docs: DataFrame, held_out: int | None, folds: int, per_languag
 class Model:
     """Piece probabilities by language; scores texts with a cache of words."""
 
-    def __init__(self, pieces: tuple[str, ...], languages: list[str], theta: np.ndarray, most: int = 300_000):
+    def __init__(self, pieces: tuple[str, ...], languages: list[str], theta: np.ndarray, most: int = 200_000):
         self.lattice, self.languages, self.theta, self.most = _lattice(pieces), languages, theta, most
         self.known: dict[str, int] = {}
         self.table = np.empty((0, len(languages)))
