@@ -27,6 +27,8 @@ TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
 )
+#: Fewer common words across line ends are chance, however low the threshold.
+FEWEST = 3
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,6 +42,11 @@ def template_words(text: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(APART, text.lower()) if w))
 
 
+def window_length(text: str, threshold: float) -> int:
+    """Of blocks across line ends: as many words as leave the template's own a share of threshold."""
+    return math.ceil(len([w for w in re.split(APART, text.lower()) if w]) / max(threshold, 0.1) - 1e-9)
+
+
 def _literals(values) -> Column:
     return F.array(*(F.lit(v) for v in values)) if values else F.array().cast("array<string>")
 
@@ -94,20 +101,21 @@ class Templates:
             words = sorted(template_words(text), key=rank)
             need = max(1, math.ceil(threshold * len(words) - 1e-9))
             # a block with `need` of the words holds one of these at least
-            self.rows.append((number, label, words, need, words[: len(words) - need + 1]))
+            self.rows.append((number, label, words, need, window_length(text, threshold), words[: len(words) - need + 1]))
         self.universe = sorted({w for r in self.rows for w in r[2]}, key=rank)
-        self.prefix = sorted({w for r in self.rows for w in r[4]})
+        self.prefix = sorted({w for r in self.rows for w in r[5]})
+        self.longest = max((r[4] for r in self.rows), default=0)
 
     def table(self, spark) -> DataFrame:
         """One row for each word of a prefix: bounded by the templates' words."""
         rows = [
             F.struct(
                 F.lit(w).alias("token"), F.lit(at).alias("at"), F.lit(n).alias("template"), F.lit(label).alias("label"),
-                _literals(words).alias("words"), F.lit(need).alias("need"),
+                _literals(words).alias("words"), F.lit(need).alias("need"), F.lit(span).alias("span"),
             )
-            for n, label, words, need, prefix in self.rows for at, w in enumerate(prefix)
+            for n, label, words, need, span, prefix in self.rows for at, w in enumerate(prefix)
         ]
-        none = "array<struct<token:string,at:int,template:int,label:string,words:array<string>,need:int>>"
+        none = "array<struct<token:string,at:int,template:int,label:string,words:array<string>,need:int,span:int>>"
         return spark.range(1).select(F.inline(F.array(*rows) if rows else F.array().cast(none)))
 
 
@@ -118,11 +126,14 @@ def word_frequency(docs: DataFrame, words: list[str]) -> dict[str, int]:
     return {r[0]: r[1] for r in counted.collect()}  # at most as many rows as words
 
 
-def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def known_templates(docs: DataFrame, templates, threshold: float) -> Templates:
+    return Templates(templates, threshold, word_frequency(docs, sorted({w for _, t in templates for w in template_words(t)})))
+
+
+def similar_blocks(docs: DataFrame, known: Templates) -> DataFrame:
     """key columns, block (line number from 0), template, label, containment: every line that holds
     at least threshold of a template's distinct words. docs: doc_id, content, text, spaced."""
     spark = docs.sparkSession
-    known = Templates(templates, threshold, word_frequency(docs, sorted({w for _, t in templates for w in template_words(t)})))
     prefix = _literals(known.prefix)
     hits = docs.where(F.arrays_overlap(F.split("spaced", " "), prefix))
     blocks = hits.select("doc_id", "content", F.posexplode(F.split("text", "\n")).alias("block", "line")).withColumn(
@@ -143,17 +154,51 @@ def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8)
     )
 
 
+def wrapped_blocks(docs: DataFrame, known: Templates) -> DataFrame:
+    """key columns, template, label, containment of the word windows of a text, whatever lines they
+    cross, that hold at least threshold of a template's distinct words, and FEWEST of them. Its
+    length is window_length. docs: doc_id, content, text, spaced."""
+    words = F.split("spaced", " ")
+    hits = docs.where(F.contains("text", F.lit("\n")) & F.arrays_overlap(words, _literals(known.prefix)))
+    reach = max(known.longest - 1, 0)
+    # every window with enough of the words holds a prefix word: only what is around those is looked at
+    places = F.filter(F.transform(F.col("w"), lambda x, i: F.struct(x.alias("token"), i.alias("i"))), lambda x: x["token"].isin(known.prefix))
+    around = F.transform(
+        places,
+        lambda x: F.struct(
+            x["token"].alias("token"), F.least(x["i"], F.lit(reach)).alias("before"),
+            F.slice(F.col("w"), F.greatest(x["i"] - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("near"),
+        ),
+    )
+    pairs = (
+        hits.select("doc_id", "content", words.alias("w"))
+        .select("doc_id", "content", F.inline(around))
+        .join(F.broadcast(known.table(docs.sparkSession)), "token")
+        .withColumn("before_own", F.least("before", F.col("span") - 1))
+        .withColumn("own", F.slice("near", F.col("before") - F.col("before_own") + 1, F.col("before_own") + F.col("span")))
+    )
+    need = F.greatest("need", F.lit(FEWEST))
+    some = pairs.where(F.size(F.array_intersect("own", "words")) >= need)
+    held = F.transform(F.sequence(F.lit(1), F.col("before_own") + 1), lambda k: F.size(F.array_intersect(F.slice("own", k, F.col("span")), F.col("words"))))
+    found = some.withColumn("common", F.array_max(held)).where(F.col("common") >= need)
+    return found.select("doc_id", "content", "template", "label", (F.col("common") / F.size("words")).alias("containment"))
+
+
 def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
-    labels joins the phrases' labels with those of templates that a line of the text holds; score
+    labels joins the phrases' labels with those of templates that a line of the text holds, or a
+    bounded window of words where a notice is wrapped over lines; score
     is 1 where a phrase stands, else the largest containment found, else 0. Null and empty texts
     have no words and no labels (empty strings). Rows with a null doc_id and rows that share one are told apart by their text;
     repeated rows give equal rows; an empty table gives no rows.
     """
     rows = docs.select("doc_id", "text", spaced(F.col("text")).alias("spaced"), F.xxhash64("text").alias("content"))
+    known = known_templates(rows, templates, threshold)
+    found = [f.select("doc_id", "content", "label", "containment") for f in (similar_blocks(rows, known), wrapped_blocks(rows, known))]
     matches = (
-        similar_blocks(rows, templates, threshold)
+        found[0]
+        .unionByName(found[1])
         .groupBy("doc_id", "content")
         .agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
         .withColumnsRenamed({"doc_id": "m_id", "content": "m_content"})

@@ -64,3 +64,43 @@ def test_without_templates(make_docs):
 
 def test_empty(empty):
     assert licenses.scan_licenses(empty).count() == 0
+
+
+WRAPPED = {
+    "mit": "Copyright (c) someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n * 1. Redistributions",
+    "gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU\n# General Public License as published by\n# the Free Software Foundation, either",
+    "apache-2.0": "// you may not use this file except\n// in compliance with the License.\n// You may obtain a copy of\n// the License at\n//",
+}
+
+
+def test_notices_wrapped_over_lines(make_docs):
+    prose = "a word of the plain text\n" * 300
+    texts = [before + t + after for t in WRAPPED.values() for before, after in (("", ""), (prose, "\n" + prose))]
+    got = sorted((r.doc_id, r.labels, r.score) for r in licenses.scan_licenses(make_docs(texts)).collect())
+    assert [(k, label) for k, label, _ in got] == [(k, name) for k, name in enumerate(n for n in WRAPPED for _ in (0, 1))]
+    assert all(score == 1.0 for _, _, score in got)
+
+
+def test_words_far_apart_are_no_notice(make_docs):
+    scattered = "\n".join(w + " other words stand between" for w in licenses.template_words(licenses.TEMPLATES[2][1]))
+    assert [(r.labels, r.score) for r in licenses.scan_licenses(make_docs([scattered])).collect()] == [("", 0.0)]
+
+
+def window_brute(text, threshold):
+    own, out = words(text), {}
+    for label, template in licenses.TEMPLATES:
+        t, size = set(licenses.template_words(template)), licenses.window_length(template, threshold)
+        common = max((len(t & set(own[i : i + size])) for i in range(len(own))), default=0) if "\n" in text else 0
+        if common >= max(threshold * len(t) - 1e-9, licenses.FEWEST):
+            out[label] = max(out.get(label, 0), common / len(t))
+    return out
+
+
+def test_windows_against_brute_force(make_docs):
+    notices = [*WRAPPED.values(), "\n".join(WRAPPED.values()), "\n".join("x y " + w for w in WRAPPED["gpl"].split()), "\n".join(WRAPPED["mit"].split()[5:24])]
+    for threshold in (0.4, 0.8):
+        for r in licenses.scan_licenses(make_docs(notices), threshold=threshold).collect():
+            plain, windows = brute(notices[r.doc_id], threshold), window_brute(notices[r.doc_id], threshold)
+            assert set(filter(None, r.labels.split(","))) == set(filter(None, plain[5].split(","))) | set(windows)
+            assert round(r.score, 9) == round(max([plain[6], *windows.values()]), 9)
