@@ -16,9 +16,8 @@ from babelyard.llm.tables import fold, materialise
 PIECES = "piece_bpe_32k.model"
 START = "▁"
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST_PIECE = 8
-#: Longer words are scored in parts of this many letters.
-LONGEST_WORD = 40
+#: Longer words are summed in logarithms: products of so many probabilities would vanish.
+PLAIN = 40
 #: P of a letter that is in no piece, in every language.
 UNKNOWN = 1e-7
 _BASE = 1_000_003
@@ -31,7 +30,7 @@ def read_pieces(path: str | None = None) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=path or vocab.vocabulary_path(PIECES))
     own = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
     body = lambda p: p.removeprefix(START)
-    return sorted({p for p in own if len(p) <= LONGEST_PIECE and (p == START or WORD.fullmatch(body(p)))})
+    return sorted({p for p in own if p == START or WORD.fullmatch(body(p))})
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
@@ -47,7 +46,7 @@ class Lattice:
     """Which pieces stand where in words: the same for all languages."""
 
     def __init__(self, pieces: list[str]):
-        self.size = len(pieces)
+        self.size, self.lengths = len(pieces), sorted({1, *map(len, pieces)})
         hashes = np.array([_hash(np.array([ord(c) for c in p], dtype=np.uint64)) for p in pieces], dtype=np.uint64)
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
@@ -55,14 +54,21 @@ class Lattice:
             raise ValueError("two pieces have one hash")
 
     def edges(self, words: list[str]):
-        """For words of one length: (start, end, piece numbers or -1) of every span."""
+        """For words of one length, by end and start: (start, end, piece numbers or -1) of every span
+        of one letter or with a piece in some word."""
         n = len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), n)
+        found = {}
+        for size in (x for x in self.lengths if x <= n):
+            key = _hash(np.lib.stride_tricks.sliding_window_view(codes, size, axis=1))
+            at = np.minimum(np.searchsorted(self.sorted, key), self.size - 1)
+            ids = np.where(self.sorted[at] == key, self.order[at], -1).astype(np.int32)
+            found[size] = ids, (ids >= 0).any(axis=0) | (size == 1)
+        sizes = sorted(found, reverse=True)
         for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST_PIECE), end):
-                key = _hash(codes[:, start:end])
-                at = np.minimum(np.searchsorted(self.sorted, key), self.size - 1)
-                yield start, end, np.where(self.sorted[at] == key, self.order[at], -1)
+            for size in sizes:
+                if size <= end and found[size][1][end - size]:
+                    yield end - size, end, found[size][0][:, end - size]
 
 
 def by_length(words: list[str]) -> dict[int, list[int]]:
@@ -80,14 +86,27 @@ def _weights(theta: np.ndarray, ids: np.ndarray, single: bool) -> np.ndarray:
     return own
 
 
+def _log(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(p)
+
+
 def forward(lattice: Lattice, theta: np.ndarray, words: list[str]) -> np.ndarray:
     """log P(word | language), words by languages: the sum over all segmentations.
     theta: pieces by languages, and a last row of zeros."""
     out = np.empty((len(words), theta.shape[1]))
     for n, numbers in by_length(words).items():
+        edges = lattice.edges([words[k] for k in numbers])
+        if n > PLAIN:
+            logs = np.full((n + 1, len(numbers), theta.shape[1]), -np.inf)
+            logs[0] = 0.0
+            for start, end, ids in edges:
+                logs[end] = np.logaddexp(logs[end], logs[start] + _log(_weights(theta, ids, end - start == 1)))
+            out[numbers] = logs[n]
+            continue
         alpha = np.zeros((n + 1, len(numbers), theta.shape[1]))
         alpha[0] = 1.0
-        for start, end, ids in lattice.edges([words[k] for k in numbers]):
+        for start, end, ids in edges:
             alpha[end] += alpha[start] * _weights(theta, ids, end - start == 1)
         out[numbers] = np.log(alpha[n])
     return out
@@ -101,14 +120,18 @@ def expected_counts(lattice: Lattice, theta: np.ndarray, words: list[str], langu
     for n, numbers in by_length(words).items():
         own, count = languages[numbers], times[numbers].astype(float)
         edges = [(s, e, ids, _weights_of(theta, ids, own, e - s == 1)) for s, e, ids in lattice.edges([words[k] for k in numbers])]
-        alpha, beta = np.zeros((n + 1, len(numbers))), np.zeros((n + 1, len(numbers)))
-        alpha[0] = beta[n] = 1.0
+        logs = n > PLAIN
+        none, sure = (-np.inf, 0.0) if logs else (0.0, 1.0)
+        if logs:
+            edges = [(s, e, ids, _log(p)) for s, e, ids, p in edges]
+        alpha, beta = np.full((n + 1, len(numbers)), none), np.full((n + 1, len(numbers)), none)
+        alpha[0] = beta[n] = sure
         for s, e, _, p in edges:
-            alpha[e] += alpha[s] * p
+            alpha[e] = np.logaddexp(alpha[e], alpha[s] + p) if logs else alpha[e] + alpha[s] * p
         for s, e, _, p in sorted(edges, key=lambda x: -x[0]):
-            beta[s] += beta[e] * p
+            beta[s] = np.logaddexp(beta[s], beta[e] + p) if logs else beta[s] + beta[e] * p
         for s, e, ids, p in edges:
-            share = alpha[s] * p * beta[e] / alpha[n] * count
+            share = (np.exp(alpha[s] + p + beta[e] - alpha[n]) if logs else alpha[s] * p * beta[e] / alpha[n]) * count
             known = ids >= 0
             total += np.bincount(ids[known] * width + own[known], weights=share[known], minlength=len(total))
     return total.reshape(theta.shape)
@@ -120,12 +143,8 @@ def _weights_of(theta, ids, own, single):
 
 
 def split_words(text: str | None) -> list[str]:
-    """Marked words of a text, in lower case, the longest ones in parts."""
-    out = []
-    for w in WORD.findall(text.lower()) if text else ():
-        w = START + w
-        out += [w] if len(w) <= LONGEST_WORD else [w[at : at + LONGEST_WORD] for at in range(0, len(w), LONGEST_WORD)]
-    return out
+    """Marked words of a text, in lower case."""
+    return [START + w for w in WORD.findall(text.lower())] if text else []
 
 
 @lru_cache(maxsize=1)

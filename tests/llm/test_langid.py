@@ -77,3 +77,37 @@ def test_odd_rows(bilingual, odd, empty, spark):
 def test_filter_keeps_clean_documents(bilingual):
     kept = langid.reject_unknown(bilingual.unionByName(bilingual.limit(1).selectExpr("cast(999 as bigint) doc_id", "'12 34' text", "lang", "source", "n_chars", "score")))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(300)) and kept.columns == bilingual.columns
+
+
+def test_no_piece_of_letters_is_left_out():
+    pieces = langid.read_pieces()
+    assert {"▁university", "▁programming", "▁specified"} <= set(pieces)
+    assert langid.split_words("x" * 100) == ["▁" + "x" * 100]
+
+
+def log_sum(word, theta, place):
+    """log P(word) by plain sums, for one language."""
+    alpha = [0.0] + [-math.inf] * len(word)
+    for end in range(1, len(word) + 1):
+        terms = []
+        for start in range(end):
+            x = word[start:end]
+            p = theta[place[x]] if x in place else 0.0
+            p = max(p, langid.UNKNOWN) if len(x) == 1 else p
+            if p > 0 and alpha[start] > -math.inf:
+                terms.append(alpha[start] + math.log(p))
+        top = max(terms)
+        alpha[end] = top + math.log(sum(math.exp(t - top) for t in terms))
+    return alpha[-1]
+
+
+def test_long_pieces_and_long_words():
+    pieces = ["▁", "a", "b", "ab", "▁abababababab", "bababababa"]
+    theta = np.vstack([np.array([[0.1, 0.2], [0.2, 0.1], [0.1, 0.3], [0.1, 0.1], [0.3, 0.2], [0.2, 0.1]]), np.zeros((1, 2))])
+    lattice, place = langid.Lattice(pieces), {p: k for k, p in enumerate(pieces)}
+    words = ["▁abababababab", "▁" + "ab" * 10, "▁" + "ab" * 30 + "y", "▁" + "x" * 150]
+    got = langid.forward(lattice, theta, words)
+    assert got == pytest.approx(np.array([[log_sum(w, theta[:, k], place) for k in (0, 1)] for w in words]))
+    counts = langid.expected_counts(lattice, theta, words[:2] + ["▁" + "ab" * 200], np.array([0, 1, 0]), np.array([1, 1, 2]))
+    letters = sum(counts[k].sum() * len(p) for k, p in enumerate(pieces))
+    assert letters == pytest.approx(13 + 21 + 2 * 401)
