@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 import zlib
 from dataclasses import dataclass
 
@@ -166,11 +167,11 @@ def _inverse(matrix: list[list[float]]) -> list[list[float]]:
     return [r[n:] for r in rows]
 
 
-def fit_rates(members: DataFrame, totals: list[float], ridge: float, max_rate: float, rounds: int, tolerance: float) -> tuple[Column, list[float]]:
+def fit_rates(members: DataFrame, totals: list[float], ridge: float, max_rate: float | None, rounds: int, tolerance: float) -> tuple[Column, list[float]]:
     """(rate as a column over p_0.., what each domain's expected total comes to).
 
     Least squares of the expected totals against `totals`, in the metric of the members' second
-    moments, plus ridge times the token-weighted square of rate - 1, over 0 <= rate <= max_rate.
+    moments, plus ridge times the token-weighted square of rate - 1, over 0 <= rate, and rate <= max_rate where one is given.
     Each step of projected gradient needs one number a domain from all documents: their totals
     under the present rates. A document's rate is the steps so far, written as one expression, so nothing is kept for a document
     between steps; in this metric a step goes nearly all the way, and rounds should stay below 50, as each makes the expression deeper.
@@ -196,7 +197,11 @@ def fit_rates(members: DataFrame, totals: list[float], ridge: float, max_rate: f
         slope = p[0] * pull[0]
         for i in k[1:]:
             slope += p[i] * pull[i]
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), rate * (1 - step * ridge) + step * ridge - slope * step))
+        rate = rate * (1 - step * ridge) + step * ridge - slope * step
+        rate = F.greatest(F.lit(0.0), rate if max_rate is None else F.least(F.lit(float(max_rate)), rate))
+    else:
+        got = members.agg(*(F.sum(F.col("n_tokens") * p[i] * rate) for i in k)).first()
+        reached = [float(x or 0.0) for x in got]
     return rate, reached
 
 
@@ -208,6 +213,9 @@ class Mixer:
     weights: dict[str, list[float]]
     constants: list[float]
     rate: Column | None = None
+    #: Shares of the budget by domain: the targets, and what the rates come to.
+    wanted: list[float] | None = None
+    reached: list[float] | None = None
 
     def posteriors(self, rows: DataFrame) -> DataFrame:
         """row, n_tokens, p_0.. of the rows of features()."""
@@ -230,7 +238,7 @@ def fit(
     targets: dict[str, float] | None = None,
     tilts: dict[str, float] | None = None,
     budget: float = 1.0,
-    max_rate: float = 4.0,
+    max_rate: float | None = None,
     ridge: float = 1e-3,
     rounds: int = 25,
     tolerance: float = 1e-4,
@@ -240,7 +248,8 @@ def fit(
     """The mixer, and row (doc_id), n_tokens, p_0.. of every row of docs.
 
     With tilts the targets follow the input: each domain's own share times its tilt, made to add up to 1.
-    Such targets can be reached whatever the input holds, where a fixed share of a domain that is hardly there can't.
+    Such targets can be reached whatever the input holds, where a fixed share of a domain that isn't there can't: the mixer says what was
+    reached, and a miss by over a hundredth of the budget is a warning.
     """
     learn = materialise(labelled_sample(labels, sample), "mixing-sample")
     words = telling_words(docs, learn, n_words)
@@ -254,7 +263,10 @@ def fit(
         shares = [x / (sum(tilted) or 1.0) for x in tilted]
     else:
         shares = [(targets or TARGETS)[d] for d in DOMAINS]
-    mixer.rate, _ = fit_rates(members, [share * budget * tokens for share in shares], ridge, max_rate, rounds, tolerance)
+    mixer.rate, totals = fit_rates(members, [share * budget * tokens for share in shares], ridge, max_rate, rounds, tolerance)
+    mixer.wanted, mixer.reached = shares, [x / (budget * tokens or 1.0) for x in totals]
+    if tokens and max(abs(a - b) for a, b in zip(mixer.wanted, mixer.reached, strict=True)) > 0.01:
+        warnings.warn(f"mixing targets {mixer.wanted} are out of reach: the rates come to {mixer.reached}", stacklevel=2)
     return mixer, members
 
 

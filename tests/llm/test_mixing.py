@@ -83,3 +83,19 @@ def test_rows_are_repeated_by_rate(spark, make_docs, odd):
     assert counts == {1, 2} and 2500 < out.count() < 2700
     mixer.rate = F.lit(0.0)
     assert mixer.repeat_rows(odd).count() == 0
+
+
+def test_rare_domains_reach_their_targets(spark, make_docs):
+    rows = [(k, f"plain words of text number {k} " * 5) for k in range(600)] + [(1000 + k, f"## noise ## {k} ## " * 5) for k in range(6)] + [(2000 + k, f"bad nasty {k} vile " * 5) for k in range(6)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 600, 2)] + [(1000 + k, 0, 0) for k in range(6)] + [(2000 + k, 1, 1) for k in range(6)], LABELS)
+    docs = make_docs(rows)
+    mixer, members = mixing.fit(docs, labels)
+    got = members.withColumn("rate", mixer.rate).collect()
+    tokens = sum(r.n_tokens for r in got)
+    for k, d in enumerate(mixing.DOMAINS):
+        share = sum(r.n_tokens * r.rate * r[f"p_{k}"] for r in got) / tokens
+        assert share == pytest.approx(mixing.TARGETS[d], abs=0.01)
+        assert mixer.wanted[k] == mixing.TARGETS[d] and mixer.reached[k] == pytest.approx(share, abs=1e-6)
+    assert max(r.rate for r in got) > 4
+    with pytest.warns(UserWarning, match="out of reach"):
+        mixing.fit(docs, labels, max_rate=4.0)
