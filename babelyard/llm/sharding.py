@@ -75,7 +75,8 @@ def shard_documents(
     """doc_id, size, text_crc32, virtual_slot, sub, shard, slot: every row's shard and its place there.
 
     A row's virtual slot is a hash of its text, so equal texts share a slot. A slot that holds more
-    than 1 / parts_per_shard of a shard's fair share is dealt into sub-slots by doc_id. Slots and
+    than 1 / parts_per_shard of a shard's fair share is dealt into sub-slots by a number that each row is
+    written with, so rows that share an id or have none are spread too. Slots and
     sub-slots are cells (at most slots + n_shards * parts_per_shard, so the map is small whatever
     the input), and the map gives each cell a shard, largest first. `slot` counts the rows of a shard from 0.
     Null texts count as empty and hold 16 bytes; rows with a null doc_id are dealt like others;
@@ -89,6 +90,7 @@ def shard_documents(
             (F.octet_length(text).cast("long") + 16).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("v_slot"),
+            F.monotonically_increasing_id().alias("number"),
         ),
         "shard-rows",
     )
@@ -98,7 +100,7 @@ def shard_documents(
     parts = spark.createDataFrame(split, "v_slot int, n_sub int")
     # bounded by `slots` rows
     celled = rows.join(F.broadcast(parts), "v_slot").withColumn(
-        "sub", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.col("n_sub")).cast("int")
+        "sub", F.pmod(F.xxhash64("number", F.lit(17)), F.col("n_sub")).cast("int")
     )
     stats = celled.groupBy("v_slot", "sub").agg(F.sum("size"), F.count("*")).collect()
     cells, counts = {(r[0], r[1]): r[2] for r in stats}, {(r[0], r[1]): r[3] for r in stats}

@@ -30,6 +30,19 @@ def test_hot_text_is_split_and_others_stay_together(make_docs):
     assert len({r.shard for r in rows if r.text_crc32 == zlib.crc32(b"same text")}) > 1
 
 
+def test_hot_rows_without_ids_of_their_own_are_split(make_docs):
+    for one_id in (None, 7):
+        docs = make_docs([(one_id, "same text")] * 600 + [(1000 + k, f"text number {k} " * 4) for k in range(1000)])
+        rows = sharding.shard_documents(docs, n_shards=8).collect()
+        held, places = defaultdict(int), defaultdict(list)
+        for r in rows:
+            held[r.shard] += r.size
+            places[r.shard].append(r.slot)
+        assert len(rows) == 1600 and len({r.shard for r in rows if r.text_crc32 == zlib.crc32(b"same text")}) > 1
+        assert max(held.values()) <= 1.1 * sum(held.values()) / 8
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_odd_rows(odd, empty):
     rows = sharding.shard_documents(odd).collect()
     assert len(rows) == 9
