@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from babelyard.llm import vocab
+from babelyard.llm import vocab, workers
 from babelyard.llm.tables import fold, materialise
 
 PIECES = "piece_bpe_32k.model"
 START = "▁"
-WORD = re.compile(r"[^\W\d_]+")
-#: Longer words are summed in logarithms: products of so many probabilities would vanish.
+#: Letters and the marks on them; numbers written with signs of their own (a half, a circled one) are no letters.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+ASCII_WORD = re.compile(r"[a-z]+")
+#: Longer words are summed in logarithms, since products of so many probabilities would vanish, and are not kept in caches.
 PLAIN = 40
+#: Places of a long word that are looked up at once.
+STRETCH = 4096
 #: P of a letter that is in no piece, in every language.
 UNKNOWN = 1e-7
+MOST_LANGUAGES = 500
 _BASE = 1_000_003
 
 
@@ -53,6 +58,12 @@ class Lattice:
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two pieces have one hash")
 
+    def spans(self, codes: np.ndarray, size: int) -> np.ndarray:
+        """By start: the number of the piece of this size, or -1."""
+        key = _hash(np.lib.stride_tricks.sliding_window_view(codes, size, axis=-1))
+        at = np.minimum(np.searchsorted(self.sorted, key), self.size - 1)
+        return np.where(self.sorted[at] == key, self.order[at], -1).astype(np.int32)
+
     def edges(self, words: list[str]):
         """For words of one length, by end and start: (start, end, piece numbers or -1) of every span
         of one letter or with a piece in some word."""
@@ -60,9 +71,7 @@ class Lattice:
         codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), n)
         found = {}
         for size in (x for x in self.lengths if x <= n):
-            key = _hash(np.lib.stride_tricks.sliding_window_view(codes, size, axis=1))
-            at = np.minimum(np.searchsorted(self.sorted, key), self.size - 1)
-            ids = np.where(self.sorted[at] == key, self.order[at], -1).astype(np.int32)
+            ids = self.spans(codes, size)
             found[size] = ids, (ids >= 0).any(axis=0) | (size == 1)
         sizes = sorted(found, reverse=True)
         for end in range(1, n + 1):
@@ -91,19 +100,37 @@ def _log(p: np.ndarray) -> np.ndarray:
         return np.log(p)
 
 
+def forward_long(lattice: Lattice, theta: np.ndarray, word: str) -> np.ndarray:
+    """forward() of one word, in logarithms. Only the sums of as many places as the longest piece has are kept, and
+    pieces are looked up a stretch at a time, so a word of any length takes bounded memory besides its letters."""
+    codes, longest = np.frombuffer(word.encode("utf-32-le"), dtype="<u4"), lattice.lengths[-1]
+    single = _log(_weights(theta, np.arange(len(theta)), True))
+    longer = _log(theta)
+    ring = np.full((longest + 1, theta.shape[1]), -np.inf)
+    ring[0] = 0.0
+    for low in range(0, len(codes), STRETCH):
+        first = max(0, low - longest + 1)
+        part = codes[first : low + STRETCH]
+        found = [(size, lattice.spans(part, size)) for size in lattice.lengths if size <= len(part)]
+        for end in range(low + 1, min(low + STRETCH, len(codes)) + 1):
+            terms = [ring[(end - 1) % (longest + 1)] + single[found[0][1][end - 1 - first]]]
+            for size, ids in found[1:]:
+                if end - size >= first and (k := ids[end - size - first]) >= 0:
+                    terms.append(ring[(end - size) % (longest + 1)] + longer[k])
+            ring[end % (longest + 1)] = np.logaddexp.reduce(terms)
+    return ring[len(codes) % (longest + 1)]
+
+
 def forward(lattice: Lattice, theta: np.ndarray, words: list[str]) -> np.ndarray:
     """log P(word | language), words by languages: the sum over all segmentations.
     theta: pieces by languages, and a last row of zeros."""
     out = np.empty((len(words), theta.shape[1]))
     for n, numbers in by_length(words).items():
-        edges = lattice.edges([words[k] for k in numbers])
         if n > PLAIN:
-            logs = np.full((n + 1, len(numbers), theta.shape[1]), -np.inf)
-            logs[0] = 0.0
-            for start, end, ids in edges:
-                logs[end] = np.logaddexp(logs[end], logs[start] + _log(_weights(theta, ids, end - start == 1)))
-            out[numbers] = logs[n]
+            for k in numbers:
+                out[k] = forward_long(lattice, theta, words[k])
             continue
+        edges = lattice.edges([words[k] for k in numbers])
         alpha = np.zeros((n + 1, len(numbers), theta.shape[1]))
         alpha[0] = 1.0
         for start, end, ids in edges:
@@ -144,12 +171,10 @@ def _weights_of(theta, ids, own, single):
 
 def split_words(text: str | None) -> list[str]:
     """Marked words of a text, in lower case."""
-    return [START + w for w in WORD.findall(text.lower())] if text else []
-
-
-@lru_cache(maxsize=1)
-def _lattice(pieces: tuple[str, ...]) -> Lattice:
-    return Lattice(list(pieces))
+    if not text:
+        return []
+    text = text.lower()
+    return [START + w for w in (ASCII_WORD if text.isascii() else WORD).findall(text)]
 
 
 def normalise(counts: np.ndarray, smoothing: float) -> np.ndarray:
@@ -167,7 +192,9 @@ def learning_rows(docs: DataFrame, held_out: int | None, folds: int, per_languag
     allowed = docs.where("lang is not null and text is not null and doc_id is not null")
     if held_out is not None:
         allowed = allowed.where(fold("doc_id", folds) != held_out)
-    counts = allowed.groupBy("lang").count().collect()  # a row for each language
+    counts = allowed.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
     if not counts:
         return allowed.select("lang", "text")
     space = 1 << 40
@@ -180,23 +207,49 @@ def learning_rows(docs: DataFrame, held_out: int | None, folds: int, per_languag
 
 
 class Model:
-    """Piece probabilities by language; scores texts with a cache of words."""
+    """Piece probabilities by language; scores texts, and keeps the words that it has scored up to most_bytes."""
 
-    def __init__(self, pieces: tuple[str, ...], languages: list[str], theta: np.ndarray, most: int = 200_000):
-        self.lattice, self.languages, self.theta, self.most = _lattice(pieces), languages, theta, most
+    #: What a kept word takes besides a number for each language.
+    ENTRY = 230
+
+    def __init__(self, pieces: tuple[str, ...], languages: list[str], theta: np.ndarray, most_bytes: int = 48 << 20):
+        self.lattice, self.languages, self.theta = Lattice(list(pieces)), languages, theta
+        self.most = max(1, most_bytes // (self.ENTRY + 8 * len(languages)))
+        self.clear()
+
+    def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.empty((0, len(languages)))
+        self.table = np.empty((1024, len(self.languages)))
 
-    def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
-        new = list({w for own in texts for w in own if w not in self.known})
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.most:
-            self.known, self.table = {}, np.empty((0, len(self.languages)))
-            new = list({w for own in texts for w in own})
-        if new:
-            self.known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.vstack([self.table, forward(self.lattice, self.theta, new)])
-        get = self.known.__getitem__
-        return [np.fromiter(map(get, own), dtype=np.int64, count=len(own)) for own in texts]
+            self.clear()
+            new = list(words)
+        if not new:
+            return
+        at = len(self.known)
+        if at + len(new) > len(self.table):
+            grown = np.empty((max(at + len(new), 2 * len(self.table)), len(self.languages)))
+            grown[:at] = self.table[:at]
+            self.table = grown
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+        self.table[at : at + len(new)] = forward(self.lattice, self.theta, new)
+
+    def sums(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """log P of each text's words by language, added up."""
+        every = {w for own in texts for w in own}
+        long = {w: forward_long(self.lattice, self.theta, w) for w in every if len(w) > PLAIN}
+        self.learn(every - long.keys())
+        out, get = [], self.known.__getitem__
+        for own in texts:
+            kept = [w for w in own if w not in long] if long else own
+            total = self.table[np.fromiter(map(get, kept), dtype=np.int64, count=len(kept))].sum(axis=0)
+            for w in own if len(kept) < len(own) else ():
+                if w in long:
+                    total = total + long[w]
+            out.append(total)
+        return out
 
     def predict(self, texts: list[str | None], group: int = 256, enough: int = 20) -> tuple[list[str], list[float]]:
         """Language and confidence. Words depend on one another, so what a long text says counts
@@ -204,30 +257,37 @@ class Model:
         names, scores = [], []
         for at in range(0, len(texts), group):
             words = [split_words(t) for t in texts[at : at + group]]
-            for own in self.rows(words) if self.languages else [[]] * len(words):
-                if not len(own):
+            if not self.languages:
+                words = [[]] * len(words)
+            for own, total in zip(words, self.sums(words), strict=True):
+                if not own:
                     names.append("und")
                     scores.append(0.0)
                     continue
-                logs = self.table[own].sum(axis=0) / max(1.0, len(own) / enough)
+                logs = total / max(1.0, len(own) / enough)
                 best = int(np.argmax(logs))
                 names.append(self.languages[best])
                 scores.append(float(1 / np.exp(logs - logs[best]).sum()))
         return names, scores
 
 
-def fit(docs: DataFrame, held_out: int | None = 1, folds: int = 3, per_language: int = 400, rounds: int = 3, smoothing: float = 0.01, pieces_path: str | None = None):
+def fit(
+    docs: DataFrame, held_out: int | None = 1, folds: int = 3, per_language: int = 400, rounds: int = 3, smoothing: float = 0.01,
+    pieces_path: str | None = None, longest_learnt: int = 1000,
+):
     """(pieces, languages, theta) by expectation maximisation over the words of learning_rows.
 
     The words are counted once; each round sends the probabilities (pieces by languages) to all tasks and
-    adds up their expected counts.
+    adds up their expected counts. Words of over longest_learnt letters are scored like others but teach nothing. A table
+    that names over MOST_LANGUAGES languages is refused: its `lang` holds something else, and the model would have no bound.
     """
     spark = docs.sparkSession
+    workers.bound_batches(spark)
     pieces = tuple(read_pieces(pieces_path))
 
     def count(frames):
         for frame in frames:
-            rows = [(lang, w) for lang, text in zip(frame["lang"], frame["text"], strict=True) for w in split_words(text)]
+            rows = [(lang, w) for lang, text in zip(frame["lang"], frame["text"], strict=True) for w in split_words(text) if len(w) <= longest_learnt]
             got = pd.DataFrame(rows, columns=["lang", "word"]).groupby(["lang", "word"], as_index=False).size()
             yield got.rename(columns={"size": "n"})
 
@@ -241,7 +301,8 @@ def fit(docs: DataFrame, held_out: int | None = 1, folds: int = 3, per_language:
 
         def expect(frames, sent=sent):
             own_pieces, own_place, own_theta = sent.value
-            lattice, total = _lattice(own_pieces), np.zeros_like(own_theta)
+            lattice = workers.hold(("lattice", hash(own_pieces)), lambda: Lattice(list(own_pieces)))
+            total = np.zeros_like(own_theta)
             for frame in frames:
                 for at in range(0, len(frame), 5000):
                     part = frame.iloc[at : at + 5000]
@@ -276,20 +337,17 @@ def identify(docs: DataFrame, model=None, folds: int = 3, held_out: int = 1, **h
     return judged.select("doc_id", "held_out", F.col("got.lang").alias("lang_pred"), F.col("got.score").alias("score"))
 
 
-_models: dict[int, Model] = {}
-
-
 def _model(fitted) -> Model:
     """One model a worker and fit, so that its cache lasts."""
-    key = hash((fitted[0], tuple(fitted[1]), fitted[2].tobytes()))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(*fitted)
-    return _models[key]
+    return workers.hold(("language", hash((fitted[0], tuple(fitted[1]), fitted[2].tobytes()))), lambda: Model(*fitted))
 
 
 def reject_unknown(docs: DataFrame, least: float = 0.5, **how) -> DataFrame:
-    """docs without the rows whose text has no language: no letters, or no language that has at least `least` of the score."""
+    """docs without the rows whose text has no language: no letters, or no language that has at least `least` of the score.
+
+    The columns stay, whatever their names. Null, empty and letterless texts go; repeated rows stay or go together; without
+    a document to learn from all rows go; an empty table gives no rows.
+    """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(fit(docs, **how))
 

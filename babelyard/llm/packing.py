@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from babelyard.llm import vocab
+from babelyard.llm import vocab, workers
 from babelyard.llm.tables import materialise
 
 END_ID = 2
@@ -133,29 +133,29 @@ def pack_documents(
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document is its text's ids and then id 2. Documents are dealt at random, by a hash of the
-    id and the content, into groups of about group_docs, and every group is packed by
+    A document is its text's ids and then id 2. Documents are dealt at random, by a hash of a number that
+    each written row has, into groups of about group_docs, however many rows are equal, and every group is packed by
     itself: the tree is small, groups run side by side, and a lost task repeats one group. Every
     sequence is within slack tokens of capacity or has a power of two as its length.
     A null or empty text gives the one id 2; a null doc_id stays null; repeated rows are packed
     once each; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    workers.bound_batches(spark)
     words = spark.sparkContext.broadcast(vocab.read_text(vocabulary_path or vocab.vocabulary_path()))
-    counted = materialise(
-        docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(tokenise(capacity, words), DOCUMENT),
-        "packing-documents",
-    )
+    coded = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(tokenise(capacity, words), DOCUMENT)
+    # the number is written with its row, so a task that runs again deals the row as before
+    counted = materialise(coded.withColumn("number", F.monotonically_increasing_id()), "packing-documents")
     groups = max(1, math.ceil(counted.count() / group_docs))
 
     def pack(key, frame):
-        frame = frame.sort_values(["doc_id", "doc_tokens", "rest_crc"], kind="stable")
+        frame = frame.sort_values(["doc_id", "doc_tokens", "rest_crc", "number"])
         ids, tokens = frame["doc_id"].tolist(), frame["doc_tokens"].tolist()
         columns = [frame[c].tolist() for c in ("full_crcs", "rest_crc", "part_crcs")]
         pieces = pack_group(list(zip(tokens, *columns, strict=True)), capacity, slack)
         rows = [(ids[n], at, size, code, tokens[n], (int(key[0]) << 32) + seq, off) for n, at, size, code, seq, off in pieces]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE.split(", ")])
 
-    place = F.pmod(F.xxhash64("doc_id", "rest_crc", F.lit(seed)), F.lit(groups))
+    place = F.pmod(F.xxhash64("number", F.lit(seed)), F.lit(groups))
     pieces = counted.withColumn("group", place).groupBy("group").applyInPandas(pack, PIECE)
     return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))

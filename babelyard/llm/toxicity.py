@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from babelyard.llm import workers
 from babelyard.llm.tables import fold, materialise
 
 #: Letters of other scripts, and the Latin letter that each looks like.
@@ -71,16 +72,14 @@ class Lexicon:
         """Sum over the text's words of the largest weight of a term that starts there; none in exceptions."""
         if self.empty or not words:
             return 0.0
-        best, spared = {}, []
+        best, spared = {}, set()
         for end, (length, weight) in self.automaton.iter(f" {' '.join(words)} "):
             start = end - length + 1
             if weight is None:
-                spared.append((start, end))
+                spared.update(range(start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        if spared:
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
-        return sum(best.values())
+        return sum(w for start, w in best.items() if start not in spared)
 
 
 def features(total: float, n_words: int) -> tuple[float, float]:
@@ -103,12 +102,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int =
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, most: int, held_out: int, folds: int) -> DataFrame:
-    """text, toxic, half of at most `most` labelled documents outside the held-out fold, the first by a hash of the id."""
+    """text, toxic, half of at most `most` labelled documents outside the held-out fold, the first by a hash of the id.
+
+    A document is one row here, however many rows have its id: of several texts it is the least.
+    """
     one = labels.where((fold("doc_id", folds) != held_out) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = one.where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(most)
     half = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(2)).alias("half")
     # its size is a parameter, so its broadcast is bounded
-    return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", half)
+    held = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return held.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", half)
 
 
 def count_terms(frames):
@@ -150,9 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_terms: in
     """(weights of terms, exceptions, logistic weights).
 
     Terms are learnt from one half of the sample, and how their weight in a text speaks for the
-    label from the other half. Without labels of both kinds nothing is toxic.
+    label from the other half. Without labels of both kinds nothing is toxic. The sample and the lexicon's size
+    (the most_terms terms that differ most) are parameters that bound the model; all texts are scored by it.
     """
     spark = docs.sparkSession
+    workers.bound_batches(spark)
     learn = materialise(learning_rows(docs, labels.select("doc_id", "toxic"), sample, held_out, folds), "toxicity-sample")
     first = learn.where("half = 0")
     counted = first.mapInPandas(count_terms, TERM).groupBy("term").agg(*(F.sum(c).alias(c) for c in ("toxic_docs", "clean_docs", "toxic_times", "clean_times")))
@@ -178,19 +183,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_terms: in
     return weights, exceptions, logistic
 
 
-_lexicons: dict[int, Lexicon] = {}
-
-
 def score_texts(fitted, texts) -> list[float]:
     weights, exceptions, logistic = fitted
-    key = hash((tuple(weights.items()), tuple(exceptions)))
-    if key not in _lexicons:
-        _lexicons.clear()
-        _lexicons[key] = Lexicon(weights, exceptions)
+    lexicon = workers.hold(("lexicon", hash((tuple(weights.items()), tuple(exceptions)))), lambda: Lexicon(weights, exceptions))
     out = []
     for text in texts:
         words = folded_words(text) if isinstance(text, str) else []
-        a, b = features(_lexicons[key].hits(words), len(words))
+        a, b = features(lexicon.hits(words), len(words))
         out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a * logistic[0] + b * logistic[1] + logistic[2])))))
     return out
 
@@ -213,7 +212,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
-    """docs without the rows that score at least threshold; the columns stay."""
+    """docs without the rows that score at least threshold.
+
+    The columns stay, whatever their names. Null and empty texts score as texts without a lexicon word and so stay where labels
+    of both kinds are known or none are; repeated rows stay or go together; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
 
     @F.pandas_udf("boolean")

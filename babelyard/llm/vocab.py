@@ -9,7 +9,8 @@ import json
 import os
 import re
 import zlib
-from functools import lru_cache
+
+from babelyard.llm import workers
 
 WORD_BPE = "word_bpe_49k.json"
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -91,15 +92,20 @@ class CachedEncoder:
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its parts
     between ASCII white space, one after another; in a text without UNSAFE characters, also those of its runs of
-    letters and of others. Parts repeat, so their ids are kept.
+    letters and of others. Parts repeat, so the ids of short ones are kept, up to most_bytes in all; a part of over
+    LONGEST_KEPT characters is worked out each time.
     """
 
-    def __init__(self, vocabulary: str, most: int = 450_000):
+    #: What a kept part takes besides its characters and ids.
+    ENTRY = 190
+    LONGEST_KEPT = 64
+
+    def __init__(self, vocabulary: str, most_bytes: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_str(vocabulary), WordCoder(vocabulary)
-        self.most, self.known = most, {}
+        self.most_bytes, self.bytes, self.known = most_bytes, 0, {}
 
     def parts(self, text: str) -> list[str]:
         if text.isascii():
@@ -114,8 +120,8 @@ class CachedEncoder:
         import numpy as np
 
         new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
+        if self.bytes > self.most_bytes:
+            self.known, self.bytes = {}, 0
             new = list(parts)
         plain = [p for p in new if WORD.fullmatch(p)] if self.words.usable else []
         for at in range(0, len(plain), 4096):
@@ -126,20 +132,26 @@ class CachedEncoder:
             some = rest[at : at + 4096]
             for part, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[part] = np.array(coded.ids, dtype="<u4").tobytes()
+        self.bytes += self.ENTRY * len(new) + 3 * sum(map(len, new))
 
     def encode(self, texts: list[str | None], group: int = 64):
         """Yields each text's ids, in order."""
         for at in range(0, len(texts), group):
             parts = [self.parts(t) if t else [] for t in texts[at : at + group]]
-            self.learn({p for own in parts for p in own})
+            own_parts = {p for own in parts for p in own}
+            self.learn(own_parts)
             get = self.known.__getitem__
             for own in parts:
                 yield b"".join(map(get, own))
+            for p in own_parts:
+                if len(p) > self.LONGEST_KEPT:
+                    del self.known[p]
+                    self.bytes -= self.ENTRY + 3 * len(p)
 
 
-@lru_cache(maxsize=1)
 def encoder(vocabulary: str) -> CachedEncoder:
-    return CachedEncoder(vocabulary)
+    """The worker's encoder of this vocabulary."""
+    return workers.hold(("encoder", vocabulary), lambda: CachedEncoder(vocabulary))
 
 
 def crc(ids: memoryview) -> int:

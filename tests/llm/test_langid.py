@@ -111,3 +111,53 @@ def test_long_pieces_and_long_words():
     counts = langid.expected_counts(lattice, theta, words[:2] + ["▁" + "ab" * 200], np.array([0, 1, 0]), np.array([1, 1, 2]))
     letters = sum(counts[k].sum() * len(p) for k, p in enumerate(pieces))
     assert letters == pytest.approx(13 + 21 + 2 * 401)
+
+
+def test_letters():
+    """Signs for numbers are no letters, marks belong to their letter."""
+    assert [langid.split_words(t) for t in ("½ ² ① Ⅷ 42", "Grüße a̍b c1d", None, "")] == [[], ["▁grüße", "▁a̍b", "▁c", "▁d"], [], []]
+    model = langid.Model(("▁", "a"), ["en", "fr"], np.full((3, 2), 0.3))
+    assert model.predict(["½ ② ³", "a", ""])[0] == ["und", "en", "und"]
+
+
+def test_long_words_by_plain_sums(monkeypatch):
+    pieces = ["▁", "▁ab", "a", "b", "abc", "c", "bcab"]
+    rng = np.random.default_rng(2)
+    theta = np.vstack([rng.random((len(pieces), 3)) / 9, np.zeros((1, 3))])
+    lattice, word = langid.Lattice(pieces), "▁" + "abcx" * 30
+    alpha = [np.ones(3)]
+    for end in range(1, len(word) + 1):
+        total = np.zeros(3)
+        for size in range(1, min(end, 4) + 1):
+            piece = word[end - size : end]
+            p = theta[pieces.index(piece)] if piece in pieces else np.zeros(3)
+            total = total + alpha[end - size] * (np.maximum(p, langid.UNKNOWN) if size == 1 else p)
+        alpha.append(total)
+    assert np.allclose(langid.forward_long(lattice, theta, word), np.log(alpha[-1]))
+    monkeypatch.setattr(langid, "STRETCH", 5)
+    assert np.allclose(langid.forward_long(lattice, theta, word), np.log(alpha[-1]))
+    assert np.allclose(langid.forward(lattice, theta, [word])[0], np.log(alpha[-1]))
+
+
+def test_predictions_against_plain_sums():
+    """Languages and scores of texts with and without kept words, against sums over words one by one."""
+    rng = np.random.default_rng(5)
+    pieces = tuple(sorted({"▁", *"abcdef", "▁ab", "cd", "ef", "abc", "fed"}))
+    theta = np.vstack([rng.dirichlet(np.ones(len(pieces)), 3).T, np.zeros((1, 3))])
+    texts = [" ".join("".join(rng.choice(list("abcdefx"), rng.integers(1, 9))) for _ in range(rng.integers(1, 60))) for _ in range(50)] + ["ab" * 50 + " cd", "", "12"]
+    for most in (1 << 20, 300):  # bytes: a cache that holds all words, and one that holds a word
+        names, scores = langid.Model(pieces, ["x", "y", "z"], theta, most).predict(texts, group=7)
+        for text, name, score in zip(texts, names, scores, strict=True):
+            own = langid.split_words(text)
+            if not own:
+                assert (name, score) == ("und", 0.0)
+                continue
+            logs = sum(langid.forward(langid.Lattice(list(pieces)), theta, [w])[0] for w in own) / max(1.0, len(own) / 20)
+            shares = np.exp(logs - logs.max())
+            assert name == "xyz"[int(np.argmax(logs))] and score == pytest.approx(1 / shares.sum())
+
+
+def test_too_many_languages(make_docs):
+    docs = make_docs(["a b c"] * 600).withColumn("lang", F.col("doc_id").cast("string"))
+    with pytest.raises(ValueError, match="lang"):
+        langid.fit(docs, None)

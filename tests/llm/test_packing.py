@@ -95,3 +95,13 @@ def test_words_coded_alike(tokenizer):
     ]
     for text, got in zip(texts, coder.encode(texts), strict=True):
         assert got == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+
+
+def test_repeated_rows_are_dealt_to_many_groups(make_docs):
+    docs = make_docs([(None, "")] * 3000 + [(k, f"text {k}") for k in range(500)])
+    rows = packing.pack_documents(docs, group_docs=256).collect()
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.sequence_id >> 32, []).append(r)
+    assert len(groups) == 14 and max(sum(r.start == 0 for r in g) for g in groups.values()) < 350

@@ -39,3 +39,32 @@ def test_registered(pipeline):
     names = entry.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_toxic_rows_go(spark, pipeline):
+    """Copies of labelled toxic documents under other ids, in a table with enough labels to learn from."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    bad = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi")
+    planted = bad.withColumn("doc_id", bad["doc_id"] + 1_000_000)
+    n = planted.count()
+    kept = {r.doc_id for r in pipeline.drop_toxic(spark, docs.unionByName(planted), sf).collect()}
+    assert n > 5 and sum(k >= 1_000_000 for k in kept) < 0.2 * n
+    clean = {r.doc_id for r in docs.join(labels.where("toxic = 0"), "doc_id", "left_semi").collect()}
+    assert len(clean & kept) > 0.97 * len(clean)
+
+
+def test_odd_rows(spark, sf, pipeline, odd):
+    """Null, empty and very long texts, repeated rows, null ids, and columns whose names the operators use inside."""
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns, name
+        assert {r.text for r in out.collect()} <= {r.text for r in odd.collect()}, name
+    assert pipeline.pack(spark, odd, sf).select("doc_id").count() >= odd.count()
+
+
+def test_empty_table(spark, sf, pipeline, empty):
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, empty, sf)
+        assert out.count() == 0, name
+        assert name == pipeline.STAGES[-1][0] or out.columns == empty.columns
