@@ -6,7 +6,8 @@ import numpy as np
 
 WORDS = 5
 _ODD = 0x9E3779B97F4A7C15
-_POWERS = 1 << 12
+#: Places of a word whose weights are read from one table; a further table has the weights of whole stretches of it.
+_STRETCH = 1 << 12
 
 
 def _table() -> np.ndarray:
@@ -26,14 +27,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers() -> np.ndarray:
-    out = np.ones(_POWERS, dtype=np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base to the power of 0, 1 .. n - 1, modulo 2^64."""
+    out = np.ones(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        np.multiply.accumulate(np.full(_POWERS - 1, _ODD, dtype=np.uint64), out=out[1:])
+        np.multiply.accumulate(np.full(n - 1, base, dtype=np.uint64), out=out[1:])
     return out
 
 
-_POW = _powers()
+_POW = _powers(_ODD, _STRETCH)
+
+
+def _weights(place: np.ndarray) -> np.ndarray:
+    """_ODD to the power of each place: no two places of a word have one weight."""
+    low = _POW[place % _STRETCH]
+    stretches = int(place.max()) // _STRETCH
+    if not stretches:
+        return low
+    with np.errstate(over="ignore"):
+        return low * _powers(pow(_ODD, _STRETCH, 1 << 64), stretches + 1)[place // _STRETCH]
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -50,7 +62,7 @@ def word_hashes(text: str) -> np.ndarray:
     lengths = np.diff(first, append=len(at))
     place = np.arange(len(at)) - np.repeat(first, lengths)
     with np.errstate(over="ignore"):
-        value = (raw[at].astype(np.uint64) + np.uint64(1)) * _POW[place % _POWERS]
+        value = (raw[at].astype(np.uint64) + np.uint64(1)) * _weights(place)
         return _mix(np.add.reduceat(value, first) + lengths.astype(np.uint64))
 
 

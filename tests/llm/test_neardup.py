@@ -142,3 +142,55 @@ def test_components(spark):
     expected = {k: 0 for k in range(61)} | {1000 + k: 1000 for k in range(50)} | {5000: 5000, 5001: 5000}
     assert got == expected
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_long_words_are_told_apart():
+    """Words of more than a table of weights, of the same letters in another order."""
+    a, b = "x" * 4096 + "y" * 4096, "y" * 4096 + "x" * 4096
+    assert shingles.shingle_set(a).tolist() != shingles.shingle_set(b).tolist()
+    assert shingles.shingle_set(a).tolist() == shingles.shingle_set(a.upper()).tolist()
+    rng = random.Random(1)
+    long = "".join(rng.choice("abc") for _ in range(20_000))
+    moved = long[4096:8192] + long[:4096] + long[8192:]
+    assert shingles.shingle_set(long)[0] != shingles.shingle_set(moved)[0]
+
+
+def test_one_row_of_classes_with_null_and_shared_ids(make_docs):
+    base = [f"w{k}" for k in range(60)]
+    other = [*base[:30], "changed", *base[31:]]
+    far = [f"v{k}" for k in range(60)]
+    rows = [(None, " ".join(base)), (None, " ".join(other)), (7, " ".join(far)), (7, " ".join([*far[:30], "changed", *far[31:]])), (None, "..."), (None, "..."), (None, None)]
+    kept = [(r.doc_id, r.text) for r in neardup.keep_first(make_docs(rows)).collect()]
+    assert len(kept) == 5 and sum(i == 7 for i, _ in kept) == 1
+    assert sum(i is None and t is not None and "w" in t for i, t in kept) == 1 and kept.count((None, "...")) == 2
+
+
+def test_common_members():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 30))).astype(np.uint64) for _ in range(30)]
+    for split in (0, 11):
+        got = neardup.common_members(sets, split, width=8)
+        for i, a in enumerate(sets[: split or None]):
+            for j, b in enumerate(sets[split:]):
+                own = len(set(a.tolist()) & set(b.tolist()))
+                assert got[i, j] == own or (not split and i == j)
+
+
+def test_likely_is_prune_of_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 9, 130)
+    signatures = np.array([np.where(rng.random(130) < rng.random() * 0.6, rng.integers(0, 9, 130), base) for _ in range(40)], dtype=np.uint32)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(15), np.arange(15, 40), indexing="ij"))
+    kept = np.zeros((15, 25), dtype=bool)
+    left = neardup.prune(signatures, a, b, 0.8, 1e-6)
+    kept[a[left], b[left] - 15] = True
+    assert (neardup.likely(signatures[:15], signatures[15:], 0.8, 1e-6) == kept).all() and kept.any() and not kept.all()
+
+
+def test_hot_keys_are_spread(spark):
+    from babelyard.llm.tables import spread_join
+
+    many = spark.createDataFrame([(0, k) for k in range(1000)] + [(k, -k) for k in range(1, 50)] + [(None, 5)], "key long, v long")
+    few = spark.createDataFrame([(k, f"x{k}") for k in range(40)], "key long, name string")
+    got = sorted(tuple(r) for r in spread_join(many, few, "key", "v").select("key", "v", "name").collect())
+    assert got == sorted([(0, k, "x0") for k in range(1000)] + [(k, -k, f"x{k}") for k in range(1, 40)])
