@@ -15,7 +15,7 @@ PHRASES = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-#: Notices by which works state their licence: label, text.
+#: Notices by which works state their licence, and paragraphs of the licences themselves: label, text.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
@@ -26,7 +26,16 @@ TEMPLATES = (
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-)
+    ("mit", "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+)
 #: Fewer common words across line ends are chance, however low the threshold.
 FEWEST = 3
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -104,7 +113,8 @@ class Templates:
             self.rows.append((number, label, words, need, window_length(text, threshold), words[: len(words) - need + 1]))
         self.universe = sorted({w for r in self.rows for w in r[2]}, key=rank)
         self.prefix = sorted({w for r in self.rows for w in r[5]})
-        self.longest = max((r[4] for r in self.rows), default=0)
+        #: How far a block may reach from each of its prefix words.
+        self.reach = {w: max(r[4] for r in self.rows if w in r[5]) - 1 for w in self.prefix}
 
     def table(self, spark) -> DataFrame:
         """One row for each word of a prefix: bounded by the templates' words."""
@@ -160,16 +170,17 @@ def wrapped_blocks(docs: DataFrame, known: Templates) -> DataFrame:
     length is window_length. docs: doc_id, content, text, spaced."""
     words = F.split("spaced", " ")
     hits = docs.where(F.contains("text", F.lit("\n")) & F.arrays_overlap(words, _literals(known.prefix)))
-    reach = max(known.longest - 1, 0)
     # every window with enough of the words holds a prefix word: only what is around those is looked at
     places = F.filter(F.transform(F.col("w"), lambda x, i: F.struct(x.alias("token"), i.alias("i"))), lambda x: x["token"].isin(known.prefix))
-    around = F.transform(
-        places,
-        lambda x: F.struct(
-            x["token"].alias("token"), F.least(x["i"], F.lit(reach)).alias("before"),
-            F.slice(F.col("w"), F.greatest(x["i"] - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("near"),
-        ),
-    )
+    reaches = F.create_map(*(F.lit(x) for pair in known.reach.items() for x in pair)) if known.reach else F.create_map(F.lit(""), F.lit(0))
+
+    def surroundings(x: Column) -> Column:
+        """The words on either side of a place that a block may reach."""
+        reach = F.element_at(reaches, x["token"])
+        before = F.least(x["i"], reach)
+        return F.struct(x["token"].alias("token"), before.alias("before"), F.slice(F.col("w"), x["i"] - before + 1, before + reach + 1).alias("near"))
+
+    around = F.transform(places, surroundings)
     pairs = (
         hits.select("doc_id", "content", words.alias("w"))
         .select("doc_id", "content", F.inline(around))

@@ -36,17 +36,21 @@ def license_scan(threshold: float = 0.8) -> str:
         places.append(f"list_filter(range(len(w)), lambda i: {test}) AS p{k}")
     every = "list_concat(" * (len(places) - 1) + "p0" + "".join(f", p{k})" for k in range(1, len(places)))
     labels = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.PHRASES))
-    templates = ", ".join(f"({_text(label)}, [{', '.join(map(_text, licenses.template_words(text)))}])" for label, text in licenses.TEMPLATES)
+    templates = ", ".join(
+        f"({_text(label)}, [{', '.join(map(_text, licenses.template_words(text)))}], {licenses.window_length(text, threshold)})" for label, text in licenses.TEMPLATES
+    )
     joined = lambda x: f"coalesce(array_to_string(list_sort(list_distinct(list_filter({x}, lambda x: x IS NOT NULL))), ','), '')"
     return f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-        w AS (SELECT r, doc_id, {words('text')} AS w FROM d),
+        w AS (SELECT r, doc_id, contains(text, chr(10)) AS wrapped, {words('text')} AS w FROM d),
         p AS (SELECT r, doc_id, w, {', '.join(places)} FROM w),
         b AS (SELECT r, doc_id, len(w) AS n_words, {every} AS hits, [{labels}] AS base FROM p),
-        t AS (SELECT * FROM (VALUES {templates}) AS t(label, words)),
+        t AS (SELECT *, greatest({threshold} * len(words) - 1e-9, {licenses.FEWEST}) AS need FROM (VALUES {templates}) AS t(label, words, span)),
         lines AS (SELECT DISTINCT r, {words('line')} AS held FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
         m AS (SELECT r, label, len(list_intersect(words, held)) / len(words) AS share FROM lines, t WHERE len(list_intersect(words, held)) >= {threshold} * len(words) - 1e-9),
-        g AS (SELECT r, list(label) AS more, max(share) AS best FROM m GROUP BY r)
+        spans AS (SELECT r, label, words, need, w, span, unnest(range(len(w))) AS i FROM w, t WHERE wrapped AND len(list_intersect(words, w)) >= need),
+        n AS (SELECT r, label, len(list_intersect(words, w[i + 1 : i + span])) / len(words) AS share FROM spans WHERE len(list_intersect(words, w[i + 1 : i + span])) >= need),
+        g AS (SELECT r, list(label) AS more, max(share) AS best FROM (FROM m UNION ALL FROM n) GROUP BY r)
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(hits) AS BIGINT) AS n_base, list_min(hits) AS first_word, list_max(hits) AS last_word,
                {joined('base')} AS base_labels, {joined("list_concat(base, coalesce(more, []))")} AS labels,
                CASE WHEN len(hits) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
@@ -78,35 +82,46 @@ JACCARD = r"""
 
 def quality_rules(risk: float = 0.02, confidence: float = 0.95) -> str:
     rules, bands = quality.RULES, quality.BANDS
-    level = (1 - confidence) / ((len(bands) + 1) * len(rules))
-    share = risk / len(rules)
+    level = (1 - confidence) / (len(bands) + 1)
     value = lambda rule: rule.value.replace("try_divide(", "(").replace(", ", " / nullif(").replace(")", ", 0))")
-    over = " UNION ALL ".join(
-        f"SELECT stratum, {k} AS rule, c AS cutoff, count(*) FILTER ({value(rule)} > c) AS n FROM good, (SELECT unnest([{', '.join(f'{float(c)!r}::DOUBLE' for c in rule.grid)}]) AS c) GROUP BY stratum, c"
-        for k, rule in enumerate(rules)
-    )
-    failed = ", ".join(f"CASE WHEN {value(rule)} > (SELECT cutoff FROM chosen c WHERE c.stratum = m.stratum AND c.rule = {k}) THEN '{rule.name}' END" for k, rule in enumerate(rules))
+    cuts = lambda rule: "[" + ", ".join(f"{float(c)!r}::DOUBLE" for c in rule.cutoffs) + "]"
+    rejected = " OR ".join(f"coalesce({value(rule)} > {cuts(rule)}[j + 1], false)" for rule in rules)
+    failed = ", ".join(f"CASE WHEN {value(rule)} > {cuts(rule)}[taken + 1] THEN '{rule.name}' END" for rule in rules)
     band = " + ".join(f"CAST(n_words >= {end} AS INTEGER)" for end in bands)
     return rf"""
-        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
                      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS x FROM d),
         win AS (SELECT r, i, array_to_string(w[i + 1 : i + 8], ' ') AS win FROM (SELECT r, w, unnest(range(len(w) - 7)) AS i FROM w WHERE len(w) >= 8)),
         twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM win) WHERE n > 1),
         covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY r),
-        c AS (SELECT r, doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+        c AS (SELECT r, doc_id, text, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
                      length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(x) - len(list_distinct(x)) AS n_dup_lines, len(x) AS n_lines,
                      length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_capitals FROM w),
-        m AS (SELECT c.*, coalesce(v.n, 0) AS n_repeat_words, {band} AS stratum FROM c LEFT JOIN covered v USING (r)),
-        good AS (SELECT m.* FROM m WHERE doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
-        sizes AS (SELECT stratum, count(*) AS n FROM good GROUP BY stratum),
-        terms AS (SELECT stratum, i, exp(lgamma(n + 1) - (CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END) - (CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END) + i * ln({share!r}) + (n - i) * ln(1 - {share!r})) AS p
-                  FROM (SELECT stratum, n, unnest(range(CAST(ceil(n * {share!r}) AS BIGINT) + 1)) AS i FROM sizes)),
+        m AS (SELECT c.*, coalesce(v.n, 0) AS n_repeat_words, {band} AS band FROM c LEFT JOIN covered v USING (r)),
+        told AS (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id HAVING min(quality) IS NOT NULL),
+        good AS (SELECT first(m) AS m FROM m JOIN told USING (doc_id) GROUP BY m.text HAVING min(q) = 1),
+        texts AS (SELECT unnest(m) FROM good),
+        sizes AS (SELECT b.band, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(range({len(bands) + 1})) AS INTEGER) AS band) b LEFT JOIN (SELECT band, count(*) AS n FROM texts GROUP BY band) USING (band)),
+        pools AS (
+            SELECT band, 0 AS lowest, n AS held FROM sizes WHERE band = 0
+            UNION ALL SELECT s.band, CASE WHEN held >= {quality.fewest(risk, level)} THEN s.band ELSE lowest END, CASE WHEN held >= {quality.fewest(risk, level)} THEN n ELSE held + n END
+            FROM pools p JOIN sizes s ON s.band = p.band + 1
+        ), strata AS (
+            SELECT p.band, CASE WHEN p.lowest = l.lowest AND l.lowest > 0 AND l.held < {quality.fewest(risk, level)}
+                                THEN (SELECT lowest FROM pools WHERE band = l.lowest - 1) ELSE p.lowest END AS stratum
+            FROM pools p, (SELECT * FROM pools WHERE band = {len(bands)}) l
+        ),
+        s AS (SELECT texts.*, stratum FROM texts JOIN strata USING (band)),
+        totals AS (SELECT stratum, count(*) AS n FROM s GROUP BY stratum),
+        terms AS (SELECT stratum, i, exp(lgamma(n + 1) - (CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END) - (CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})) AS p
+                  FROM (SELECT stratum, n, unnest(range(CAST(ceil(n * {risk!r}) AS BIGINT) + 1)) AS i FROM totals)),
         tails AS (SELECT stratum, i, sum(p) OVER (PARTITION BY stratum ORDER BY i) AS p FROM terms),
         allowed AS (SELECT stratum, max(CASE WHEN p <= {level!r} THEN i ELSE -1 END) AS k FROM tails GROUP BY stratum),
-        over_cut AS ({over}),
-        chosen AS (SELECT o.stratum, rule, min(cutoff) AS cutoff FROM over_cut o JOIN allowed a ON o.stratum = a.stratum AND o.n <= a.k GROUP BY o.stratum, rule),
-        j AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed FROM m)
+        rejected AS (SELECT stratum, j, count(*) FILTER ({rejected}) AS n FROM s, (SELECT unnest(range({len(rules[0].cutoffs)})) AS j) GROUP BY stratum, j),
+        chosen AS (SELECT o.stratum, max(j) AS taken FROM rejected o JOIN allowed a ON o.stratum = a.stratum AND o.n <= a.k GROUP BY o.stratum),
+        j AS (SELECT m.*, t.stratum, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed
+              FROM m JOIN strata t USING (band) LEFT JOIN chosen USING (stratum))
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
                CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
                NOT base_failed AND len(failed) = 0 AS kept, stratum, coalesce(array_to_string(failed, ','), '') AS failed_rules FROM j
