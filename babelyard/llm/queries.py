@@ -41,10 +41,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+    """Forty shards, and where the map's next version, for one shard more, has each row."""
+    placed = sharding.shard_documents(read_table(spark, sf_dir, "documents"), n_shards=40, next_shards=41)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard",
     )
 
 

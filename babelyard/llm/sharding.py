@@ -70,15 +70,17 @@ class SlotMap:
 
 
 def shard_documents(
-    docs: DataFrame, n_shards: int = 40, slots: int = 4096, parts_per_shard: int = 4, path: str | None = None
+    docs: DataFrame, n_shards: int = 40, slots: int = 4096, parts_per_shard: int = 4, path: str | None = None, next_shards: int | None = None
 ) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, sub, shard, slot: every row's shard and its place there.
+    """doc_id, size, text_crc32, virtual_slot, sub, shard, slot, next_shard: every row's shard and its place there.
 
     A row's virtual slot is a hash of its text, so equal texts share a slot. A slot that holds more
-    than 1 / parts_per_shard of a shard's fair share is dealt into sub-slots by a number that each row is
-    written with, so rows that share an id or have none are spread too. Slots and
-    sub-slots are cells (at most slots + n_shards * parts_per_shard, so the map is small whatever
-    the input), and the map gives each cell a shard, largest first. `slot` counts the rows of a shard from 0.
+    than 1 / parts_per_shard of a shard's fair share is dealt into sub-slots by a second hash of the text; a text that
+    alone holds so much has a sub-slot of its own, and only one that holds more than a whole share is dealt further, by a
+    number that each row is written with, so rows that share an id or have none are spread too. Slots and
+    sub-slots are cells (at most slots and twice n_shards * parts_per_shard, so the map is small whatever
+    the input), and version 1 of the map gives each cell a shard, largest first. With next_shards, version 2 is version 1 edited
+    for that many shards, and next_shard says where a row lies then. `slot` counts the rows of a shard from 0.
     Null texts count as empty and hold 16 bytes; rows with a null doc_id are dealt like others;
     repeated rows take a place each; an empty table gives no rows.
     """
@@ -89,19 +91,33 @@ def shard_documents(
             "doc_id",
             (F.octet_length(text).cast("long") + 16).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.xxhash64(text).alias("text_hash"),
             F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("v_slot"),
             F.monotonically_increasing_id().alias("number"),
         ),
         "shard-rows",
     )
     by_slot = {r[0]: r[1] for r in rows.groupBy("v_slot").agg(F.sum("size")).collect()}  # at most `slots` rows
-    limit = max(1, sum(by_slot.values()) // (n_shards * parts_per_shard))
-    split = [(s, math.ceil(x / limit)) for s, x in sorted(by_slot.items())]
-    parts = spark.createDataFrame(split, "v_slot int, n_sub int")
-    # bounded by `slots` rows
-    celled = rows.join(F.broadcast(parts), "v_slot").withColumn(
-        "sub", F.pmod(F.xxhash64("number", F.lit(17)), F.col("n_sub")).cast("int")
-    )
+    total = sum(by_slot.values())
+    limit, share = max(1, total // (n_shards * parts_per_shard)), max(1, total / n_shards)
+    heavy = [s for s, x in by_slot.items() if x > limit]
+    large = []
+    if heavy:
+        # as many slots, and as many texts in them, as can be over the limit: n_shards * parts_per_shard
+        own = rows.where(F.col("v_slot").isin(heavy)).groupBy("v_slot", "text_hash").agg(F.sum("size").alias("bytes"))
+        large = sorted((r[0], r[1], r[2]) for r in own.where(F.col("bytes") > limit).collect())
+    split, texts = {s: max(1, math.ceil((x - sum(t[2] for t in large if t[0] == s)) / limit)) for s, x in by_slot.items()}, []
+    after = dict(split)
+    for s, text_hash, size in large:
+        parts = math.ceil(size / limit) if size > share else 1
+        texts.append((s, text_hash, after[s], parts))
+        after[s] += parts
+    # both bounded as said
+    by_text = spark.createDataFrame(sorted(split.items()), "v_slot int, n_sub int")
+    alone = spark.createDataFrame(texts, "v_slot int, text_hash long, at int, parts int")
+    celled = rows.join(F.broadcast(by_text), "v_slot").join(F.broadcast(alone), ["v_slot", "text_hash"], "left")
+    mixed = F.pmod(F.xxhash64("text_hash", F.lit(17)), F.col("n_sub"))
+    celled = celled.withColumn("sub", F.coalesce(F.col("at") + F.pmod(F.xxhash64("number", F.lit(17)), F.col("parts")), mixed).cast("int"))
     stats = celled.groupBy("v_slot", "sub").agg(F.sum("size"), F.count("*")).collect()
     cells, counts = {(r[0], r[1]): r[2] for r in stats}, {(r[0], r[1]): r[3] for r in stats}
     plan = plan_shards(cells, n_shards)
@@ -109,10 +125,33 @@ def shard_documents(
     for cell in sorted(plan):
         first[cell] = at[plan[cell]]
         at[plan[cell]] += counts[cell]
-    mapped = SlotMap(spark, path).write(1, plan, cells, first).drop("bytes")
-    place = F.row_number().over(Window.partitionBy("v_slot", "sub").orderBy("doc_id", "text_crc32", "size")) - 1
+    store = SlotMap(spark, path)
+    mapped = store.write(1, plan, cells, first).drop("bytes")
+    if next_shards:
+        later = store.write(2, edit_plan(plan, cells, next_shards), cells, {}).select("v_slot", "sub", F.col("shard").alias("next_shard"))
+        mapped = mapped.join(F.broadcast(later), ["v_slot", "sub"])
+    else:
+        mapped = mapped.withColumn("next_shard", F.lit(None).cast("int"))
+    return _numbered(celled.join(F.broadcast(mapped), ["v_slot", "sub"]), counts)
+
+
+def _numbered(celled: DataFrame, counts: dict[Cell, int], rows: int = 100_000, most: int = 20_000) -> DataFrame:
+    """Rows with their place in the shard: a cell's first place, and the place in the cell. A large cell is counted in chunks of about
+    `rows` rows, each sorted by itself; there are at most as many chunks as cells and `most`."""
+    rows = max(rows, -(-sum(counts.values()) // most))
+    spark = celled.sparkSession
+    chunks = spark.createDataFrame([(*cell, -(-n // rows)) for cell, n in sorted(counts.items())], "v_slot int, sub int, chunks int")
+    chunked = celled.join(F.broadcast(chunks), ["v_slot", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("number", F.lit(29)), F.col("chunks")).cast("int"))
+    before, starts = 0, []
+    last = None
+    for slot, sub, chunk, n in sorted(tuple(r) for r in chunked.groupBy("v_slot", "sub", "chunk").count().collect()):
+        before = before if (slot, sub) == last else 0
+        starts.append((slot, sub, chunk, before))
+        before, last = before + n, (slot, sub)
+    offsets = spark.createDataFrame(starts, "v_slot int, sub int, chunk int, before long")
+    place = F.row_number().over(Window.partitionBy("v_slot", "sub", "chunk").orderBy("doc_id", "text_crc32", "size")) - 1
     return (
-        celled.join(F.broadcast(mapped), ["v_slot", "sub"])
-        .withColumn("slot", (F.col("first") + place).cast("long"))
-        .select("doc_id", "size", "text_crc32", F.col("v_slot").alias("virtual_slot"), "sub", "shard", "slot")
+        chunked.join(F.broadcast(offsets), ["v_slot", "sub", "chunk"])
+        .withColumn("slot", (F.col("first") + F.col("before") + place).cast("long"))
+        .select("doc_id", "size", "text_crc32", F.col("v_slot").alias("virtual_slot"), "sub", "shard", "slot", "next_shard")
     )

@@ -15,23 +15,28 @@ PART = "query_id long, part long, vec_id long, score long"
 
 def quantise(vector: Column, scale: int = 256) -> Column:
     """floor(scale * x) of every component; null for a vector that is null, or holds a null or
-    non-finite component."""
+    non-finite component. One that doesn't fit into 64 bits is an error."""
     usable = F.forall(
         vector,
         lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(math.inf)),
     )
-    return F.when(usable, F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale)))))
+    too_large = F.raise_error(F.lit("a vector's component doesn't fit into 64 bits")).cast("long")
+    scaled = lambda x: x.cast("double") * F.lit(float(scale))
+    return F.when(usable, F.transform(vector, lambda x: F.when(F.abs(scaled(x)) < F.lit(2.0**63), F.floor(scaled(x))).otherwise(too_large)))
 
 
 def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact integer products: by doubles where no sum can pass 2^53, else by Python integers."""
+    """Exact integer products: by doubles where no sum can pass 2^53, else by Python integers.
+    A product that doesn't fit into 64 bits is an error, since it could not be ranked."""
     if not queries.size or not rows.size:
         return np.zeros((len(queries), len(rows)), dtype=np.int64)
     bound = float(np.abs(queries).max()) * float(np.abs(rows).max()) * queries.shape[1]
     if bound < 2**53:
         return (queries.astype(np.float64) @ rows.T.astype(np.float64)).astype(np.int64)
     exact = queries.astype(object) @ rows.T.astype(object)
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    if exact.max() >= 2**63 or exact.min() < -(2**63):
+        raise OverflowError("an inner product doesn't fit into 64 bits")
+    return exact.astype(np.int64)
 
 
 def _select(scores: np.ndarray, k: int) -> np.ndarray:
@@ -87,7 +92,8 @@ def exact_topk(
     task's work of bounded size, and the lists of the tiles are merged fan_in at a time.
     Ties go to the smaller id. Rows with a null id and unusable vectors take no part; vectors are
     compared only with vectors of their length. Rows that repeat an id are candidates each (never
-    for their own id) and queries once for each row, merged into one list; an empty table gives no rows.
+    for their own id) and queries once for each vector of that id, merged into one list; an empty table gives no rows.
+    A component or a product beyond 64 bits ends the query with an error.
     """
     clean = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), quantise(F.col(vector_col)).alias("ints")

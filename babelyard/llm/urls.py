@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from babelyard.llm import vocab
+from babelyard.llm import vocab, workers
 
 #: (verdict, rule): a host, and from the first slash the start of a path.
 RULES = (
@@ -20,7 +20,8 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-LONGEST_WORD = 20
+#: Runs of letters whose splits are kept; longer ones are worked out each time.
+LONGEST_KEPT = 64
 
 
 def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -53,18 +54,22 @@ class Segmenter:
 
     def __init__(self, words: list[str]):
         total = sum(1 / (rank + 10) for rank in range(len(words)))
-        self.cost = {w: math.log(total * (rank + 10)) for rank, w in enumerate(words) if len(w) <= LONGEST_WORD}
+        self.cost = {w: math.log(total * (rank + 10)) for rank, w in enumerate(words)}
+        self.longest = max(map(len, words), default=1)
         # a single letter is a word only where nothing longer fits
         self.unknown = math.log(total * (len(words) + 10)) + 2
         for w in [w for w in self.cost if len(w) == 1]:
             self.cost[w] = self.unknown
-        self.split = lru_cache(maxsize=100_000)(self._split)
+        self._kept = lru_cache(maxsize=100_000)(self._split)
+
+    def split(self, text: str) -> tuple[str, ...]:
+        return self._kept(text) if len(text) <= LONGEST_KEPT else self._split(text)
 
     def _split(self, text: str) -> tuple[str, ...]:
         best, back = [0.0], [0]
         for end in range(1, len(text) + 1):
             low, start = best[end - 1] + self.unknown, end - 1
-            for at in range(max(0, end - LONGEST_WORD), end):
+            for at in range(max(0, end - self.longest), end):
                 cost = self.cost.get(text[at:end])
                 if cost is not None and best[at] + cost < low:
                     low, start = best[at] + cost, at
@@ -90,9 +95,8 @@ def tokens(segmenter: Segmenter, host: str, path: str) -> list[str]:
     return out
 
 
-@lru_cache(maxsize=1)
 def _segmenter(vocabulary: str) -> Segmenter:
-    return Segmenter(vocab.whole_words(vocabulary))
+    return workers.hold(("segmenter", vocabulary), lambda: Segmenter(vocab.whole_words(vocabulary)))
 
 
 def fit_naive_bayes(counts: list[tuple[str, int, int]], pages: tuple[int, int], alpha: float = 1.0) -> tuple[float, dict[str, float], float]:
@@ -111,7 +115,7 @@ def filter_urls(pages: DataFrame, rules=RULES, vocabulary_path: str | None = Non
     Rules decide where one fits. The other urls are judged by multinomial naive Bayes that learns
     from all urls a rule decides: hosts are split into words by Segmenter, and host words and path words are
     its tokens (at most twice the vocabulary and a few marks, so the model's broadcast is bounded).
-    score is the log-odds for block; a url is blocked above 0. Null urls and urls without ://
+    score is the log-odds for block, and a url is blocked above 0; score and tokens are null where a rule decides. Null urls and urls without ://
     have an empty host and path and no tokens. Without rows that rules block, or rows that they allow, all others are allowed.
     Repeated rows are judged alike, one row each; an empty table gives no rows.
     """
@@ -140,10 +144,11 @@ def filter_urls(pages: DataFrame, rules=RULES, vocabulary_path: str | None = Non
     @F.pandas_udf("struct<score double, tokens array<string>>")
     def judge(host: pd.Series, path: pd.Series) -> pd.DataFrame:
         own, (prior, weights, unseen) = _segmenter(words.value), sent.value
-        found = [tokens(own, h, p) for h, p in zip(host, path, strict=True)]
-        return pd.DataFrame({"score": [prior + sum(weights.get(t, unseen) for t in ts) for ts in found], "tokens": found})
+        found = [tokens(own, h, p) if isinstance(h, str) else None for h, p in zip(host, path, strict=True)]
+        return pd.DataFrame({"score": [None if ts is None else prior + sum(weights.get(t, unseen) for t in ts) for ts in found], "tokens": found})
 
-    return ruled.withColumn("judged", judge("host", "path")).select(
+    open_ones = (F.when(F.col("fit").isNull(), F.col(c)) for c in ("host", "path"))
+    return ruled.withColumn("judged", judge(*open_ones)).select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),
         F.coalesce(F.col("fit.verdict"), F.when(F.col("judged.score") > 0, "block").otherwise("allow")).alias("verdict"),
         F.col("judged.score").alias("score"), F.col("judged.tokens").alias("tokens"),

@@ -89,13 +89,59 @@ def test_rare_domains_reach_their_targets(spark, make_docs):
     rows = [(k, f"plain words of text number {k} " * 5) for k in range(600)] + [(1000 + k, f"## noise ## {k} ## " * 5) for k in range(6)] + [(2000 + k, f"bad nasty {k} vile " * 5) for k in range(6)]
     labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 600, 2)] + [(1000 + k, 0, 0) for k in range(6)] + [(2000 + k, 1, 1) for k in range(6)], LABELS)
     docs = make_docs(rows)
-    mixer, members = mixing.fit(docs, labels)
+    targets = {"good": 0.85, "poor": 0.07, "toxic": 0.08}
+    mixer, members = mixing.fit(docs, labels, targets=targets)
     got = members.withColumn("rate", mixer.rate).collect()
     tokens = sum(r.n_tokens for r in got)
     for k, d in enumerate(mixing.DOMAINS):
         share = sum(r.n_tokens * r.rate * r[f"p_{k}"] for r in got) / tokens
-        assert share == pytest.approx(mixing.TARGETS[d], abs=0.01)
-        assert mixer.wanted[k] == mixing.TARGETS[d] and mixer.reached[k] == pytest.approx(share, abs=1e-6)
+        assert share == pytest.approx(targets[d], abs=0.01)
+        assert mixer.wanted[k] == targets[d] and mixer.reached[k] == pytest.approx(share, abs=1e-6)
     assert max(r.rate for r in got) > 4
     with pytest.warns(UserWarning, match="out of reach"):
-        mixing.fit(docs, labels, max_rate=4.0)
+        mixing.fit(docs, labels, targets=targets, max_rate=4.0)
+
+
+def logistic(rows, x):
+    """Posteriors of (bins, slots) x by plain numpy from the fitted weights."""
+    weights, constants = mixing.fit_logistic(rows)
+    logs = constants.copy()
+    for k, b in enumerate(x[0]):
+        logs = logs + weights[k * mixing.BINS + b]
+    for s in x[1]:
+        logs = logs + weights[len(mixing.STATISTICS) * mixing.BINS + s]
+    e = np.exp(logs - logs.max())
+    return e / e.sum()
+
+
+def test_posteriors_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    rows = [(mixing.DOMAINS[k % 3], [int(x) for x in rng.integers(0, 20, 7)], sorted({k % 3 * 100, *map(int, rng.integers(1000, 4096, 4))})) for k in range(300)]
+    weights, constants = mixing.fit_logistic(rows)
+    asked = [(k, 5, r[1], r[2]) for k, r in enumerate(rows[:40])] + [(40, 0, [63] * 7, [])]
+    df = spark.createDataFrame(asked, "row long, n_tokens long, bins array<int>, slots array<int>")
+    got = {r.row: [r.p_0, r.p_1, r.p_2] for r in mixing.Mixer([], weights, constants).posteriors(df).collect()}
+    for k, _, bins, slots in asked:
+        assert got[k] == pytest.approx(logistic(rows, (bins, slots)).tolist(), abs=1e-9)
+    assert all(mixing.DOMAINS[int(np.argmax(got[k]))] == rows[k][0] for k in range(40))
+
+
+def test_zero_is_a_bound(spark, make_docs):
+    rows = [(k, f"plain words of text number {k} " * 5) for k in range(300)] + [(2000 + k, f"bad nasty {k} vile " * 5) for k in range(100)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 300, 2)] + [(2000 + k, 1, 1) for k in range(0, 100, 2)], LABELS)
+    got = mixing.mix(make_docs(rows), labels, targets={"good": 1.0, "poor": 0.0, "toxic": 0.0}).collect()
+    assert all((r.rate == 0) == (r.doc_id >= 2000) for r in got)
+    assert {r.miss for r in got} == {got[0].miss} and got[0].miss < 0.01
+
+
+def test_repeated_rows_teach_once(spark, make_docs):
+    rows = [(k, f"plain words of text number {k} " * 5) for k in range(60)] + [(900, "bad nasty vile " * 9)] * 500
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)] + [(900, 1, 1)], LABELS)
+    learnt = mixing.materialise(mixing.features(make_docs(rows), [], (F.col("doc_id"),)), "x").select("row.doc_id", "bins", "slots")
+    counted = []
+    fit, mixing.fit_logistic = mixing.fit_logistic, lambda x: counted.append(len(x)) or fit(x)
+    try:
+        mixing.learn_classifier(learnt, mixing.labelled_sample(labels, 100))
+    finally:
+        mixing.fit_logistic = fit
+    assert counted == [61]

@@ -71,3 +71,40 @@ def test_versions_of_a_map(spark, tmp_path):
     store.write(2, {(0, 0): 1, (1, 0): 1}, cells, {})
     assert [r.shard for r in store.read(1).orderBy("v_slot").collect()] == [0, 1]
     assert [r.shard for r in store.read(2).orderBy("v_slot").collect()] == [1, 1]
+
+
+def test_groups_that_fit_stay_whole(make_docs):
+    """Of texts with a tenth to nine tenths of a share each, none is split, nor is a slot that many texts share."""
+    rows = [text for k in range(1, 10) for text in [f"group {k} "] * (10 * k)] + [f"text {k:06d}" for k in range(350)]
+    for slots in (4096, 3):
+        placed = sharding.shard_documents(make_docs(rows), n_shards=8, slots=slots).collect()
+        where, held = defaultdict(set), defaultdict(int)
+        for r in placed:
+            where[r.text_crc32].add(r.shard)
+            held[r.shard] += r.size
+        assert max(map(len, where.values())) == 1
+        assert max(held.values()) <= 1.15 * sum(held.values()) / 8
+
+
+def test_next_version_of_the_map(spark, tmp_path):
+    docs, path = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), f"file://{tmp_path}/map"
+    rows = sharding.shard_documents(docs, n_shards=10, path=path, next_shards=11).collect()
+    store = sharding.SlotMap(spark, path)
+    maps = [{(r.v_slot, r.sub): (r.shard, r.bytes) for r in store.read(v).collect()} for v in (1, 2)]
+    assert all(maps[0][r.virtual_slot, r.sub][0] == r.shard and maps[1][r.virtual_slot, r.sub][0] == r.next_shard for r in rows)
+    assert sum(r.size for r in rows if r.next_shard != r.shard) <= 1.5 * sum(r.size for r in rows) / 11
+    held = defaultdict(int)
+    for r in rows:
+        held[r.next_shard] += r.size
+    assert max(held.values()) <= 1.1 * sum(held.values()) / 11
+    cells = {c: b for c, (_, b) in maps[0].items()}
+    assert {c: s for c, (s, _) in maps[1].items()} == sharding.edit_plan({c: s for c, (s, _) in maps[0].items()}, cells, 11)
+
+
+def test_places_of_chunks(spark, make_docs):
+    """Cells that are counted in several chunks have no gap."""
+    rows = make_docs([(k % 7, f"text {k % 3}") for k in range(500)]).selectExpr("doc_id", "1L as size", "crc32(text) as text_crc32", "doc_id as number", "cast(crc32(text) % 3 as int) as v_slot", "0 as sub", "0 as shard", "0L as first", "cast(null as int) as next_shard")
+    counts = {(r.v_slot, 0): r["count"] for r in rows.groupBy("v_slot").count().collect()}
+    got = sharding._numbered(rows, counts, rows=10).collect()
+    for (slot, _), n in counts.items():
+        assert sorted(r.slot for r in got if r.virtual_slot == slot) == list(range(n))

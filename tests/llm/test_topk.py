@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
+
 from babelyard.llm import topk
 
 VECTORS = "vec_id long, embedding array<float>, rank string"
@@ -36,5 +38,15 @@ def test_few_rows(spark):
     two = spark.createDataFrame([(0, [1.0], "x"), (3, [2.0], "x")], VECTORS)
     assert [tuple(r) for r in topk.exact_topk(two).collect()] == [(0, 1, 3, 256 * 512)]
     assert topk.exact_topk(spark.createDataFrame([], VECTORS)).count() == 0
-    large = spark.createDataFrame([(0, [3e12, 1.0], "x"), (1, [3e12, 1.0], "x")], "vec_id long, embedding array<double>, rank string")
-    assert topk.exact_topk(large).count() == 1
+
+
+DOUBLES = "vec_id long, embedding array<double>, rank string"
+
+
+def test_large_components(spark):
+    """Exact up to 64 bits, and an error beyond."""
+    rows = [(0, [1e6, 1.0], "x"), (1, [4e6, 1.0], "x"), (2, [4e6, 2.0], "x")]
+    assert {tuple(r) for r in topk.exact_topk(spark.createDataFrame(rows, DOUBLES)).collect()} == brute(rows, 50, 5)
+    for one in ([3e12, 1.0], [1e300, 1.0]):
+        with pytest.raises(Exception, match="64 bits"):
+            topk.exact_topk(spark.createDataFrame([(0, one, "x"), (1, one, "x")], DOUBLES)).collect()
