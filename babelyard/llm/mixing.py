@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import math
 import warnings
 import zlib
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from babelyard.llm.tables import materialise
 
-BIAS = "bias"
 DOMAINS = ("good", "poor", "toxic")
 #: Share of all tokens that each domain is to have.
-TARGETS = {"good": 0.85, "poor": 0.07, "toxic": 0.08}
+TARGETS = {"good": 0.95, "poor": 0.03, "toxic": 0.02}
+#: Statistics of a text, each in one of BINS steps.
+STATISTICS = ("length", "symbols", "calls", "capitals", "digits", "repeats", "width")
+BINS = 64
+#: A telling word is known by its hash; two of one slot would count as one feature.
+SLOTS = 4096
 #: What stands between words: all ASCII characters but letters and digits.
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -45,7 +49,8 @@ def telling_words(docs: DataFrame, sample: DataFrame, most: int, least_docs: int
     every = sum(totals.values())
     if not every:
         return []
-    per_word = held.select("domain", F.explode("words").alias("word")).where("word <> ''").groupBy("word").agg(
+    # outer: else Spark would test each text for words before the join, over all documents
+    per_word = held.select("domain", F.explode_outer("words").alias("word")).where("word <> ''").groupBy("word").agg(
         F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in DOMAINS)
     ).where(F.col("n") >= least_docs)
     gain = F.lit(0.0)
@@ -58,8 +63,12 @@ def telling_words(docs: DataFrame, sample: DataFrame, most: int, least_docs: int
     return [r[0] for r in best.collect()]
 
 
+def slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+
+
 def features(docs: DataFrame, words: list[str], keep: tuple[Column, ...]) -> DataFrame:
-    """The columns to keep, n_tokens, features (array of names: one bin of each statistic, and the telling words held)."""
+    """row (the columns to keep), n_tokens, bins (a step of each statistic), slots (of the telling words held)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     chosen = F.array(*(F.lit(w) for w in words)) if words else F.array().cast("array<string>")
 
@@ -74,66 +83,78 @@ def features(docs: DataFrame, words: list[str], keep: tuple[Column, ...]) -> Dat
     empty = lambda x: F.when(x == "", 1).otherwise(0)
     n_words = F.size("words") - empty(F.get("words", F.lit(0))) - F.when(F.size("words") > 1, empty(F.element_at("words", -1))).otherwise(0)
     rows = parts.select(
-        "row", "chars", "symbols", "calls", "capitals", "digits", F.array_intersect("words", chosen).alias("held"), n_words.cast("long").alias("n_tokens"),
+        "row", "chars", "symbols", "calls", "capitals", "digits", F.transform(F.array_intersect("words", chosen), slot).alias("slots"), n_words.cast("long").alias("n_tokens"),
         F.size("split_lines").alias("lines"), F.size(F.array_distinct("split_lines")).alias("distinct"),
     )
-    share = lambda part, of, bins: F.when(of > 0, F.floor(F.sqrt(part / of) * bins)).otherwise(0)
-    bins = {
+    share = lambda part, of: F.when(of > 0, F.floor(F.sqrt(part / of) * 12)).otherwise(0)
+    steps = {
         "length": F.floor(F.log2(F.col("n_tokens") + 1)),
-        "symbols": share(F.col("symbols"), F.col("chars"), 12),
-        "calls": share(F.col("calls"), F.col("chars"), 12),
-        "capitals": share(F.col("capitals"), F.col("chars"), 12),
-        "digits": share(F.col("digits"), F.col("chars"), 12),
-        "repeats": share(F.col("lines") - F.col("distinct"), F.col("lines"), 12),
-        "width": F.least(F.floor(F.when(F.col("n_tokens") > 0, F.col("chars") / F.col("n_tokens") * 2).otherwise(0)), F.lit(40)),
+        "symbols": share(F.col("symbols"), F.col("chars")),
+        "calls": share(F.col("calls"), F.col("chars")),
+        "capitals": share(F.col("capitals"), F.col("chars")),
+        "digits": share(F.col("digits"), F.col("chars")),
+        "repeats": share(F.col("lines") - F.col("distinct"), F.col("lines")),
+        "width": F.floor(F.when(F.col("n_tokens") > 0, F.col("chars") / F.col("n_tokens") * 2).otherwise(0)),
     }
-    named = [F.concat(F.lit(f"{name}="), x.cast("string")) for name, x in bins.items()]
-    return rows.select(
-        "row", "n_tokens",
-        F.concat(F.array(*named), F.transform("held", lambda w: F.concat(F.lit("word="), w))).alias("features"),
-    )
+    bins = F.array(*(F.least(steps[name], F.lit(BINS - 1)).cast("int") for name in STATISTICS))
+    return rows.select("row", "n_tokens", bins.alias("bins"), "slots")
 
 
-def fit_logistic(rows: list[tuple[str, list[str]]], rounds: int = 12, rate: float = 0.3, decay: float = 1e-3) -> tuple[dict[str, list[float]], list[float]]:
-    """Multinomial logistic regression on (domain, features) by adaptive gradient steps: weights of each
-    feature for each domain, and the domains' constants. The features are bins and telling words, so the weights have a bounded size."""
-    k = range(len(DOMAINS))
-    weights: dict[str, list[float]] = {}
-    seen: dict[str, list[float]] = {}
+def fit_logistic(rows: list[tuple[str, list[int], list[int]]], rounds: int = 12, rate: float = 0.3, decay: float = 1e-3, batch: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Multinomial logistic regression on (domain, bins, slots) by adaptive gradient steps over small batches: weights, a row for
+    each bin of each statistic and then for each slot, a column for each domain; and the domains' constants.
+    """
+    width = len(STATISTICS) * BINS + SLOTS
+    weights, constants = np.zeros((width, len(DOMAINS))), np.zeros(len(DOMAINS))
+    if not rows:
+        return weights, constants
+    own = [[k * BINS + x for k, x in enumerate(bins)] + [len(STATISTICS) * BINS + x for x in slots] for _, bins, slots in rows]
+    used = sorted({x for r in own for x in r})
+    place = {x: k for k, x in enumerate(used)}
+    x = np.zeros((len(rows), len(used) + 1), dtype=np.float32)
+    x[:, -1] = 1.0
+    for k, r in enumerate(own):
+        np.add.at(x[k], [place[f] for f in r], 1.0)
+    y = np.array([[d == domain for d in DOMAINS] for domain, _, _ in rows], dtype=np.float32)
+    w, seen = np.zeros((x.shape[1], len(DOMAINS)), dtype=np.float32), np.full((x.shape[1], len(DOMAINS)), 1e-3, dtype=np.float32)
+    shrink = np.full((x.shape[1], 1), decay, dtype=np.float32)
+    shrink[-1] = 0.0
     for step in range(rounds):
-        for domain, names in rows:
-            own = [BIAS, *names]
-            logs = [sum(weights[f][i] for f in own if f in weights) for i in k]
-            top = max(logs)
-            powers = [math.exp(x - top) for x in logs]
-            whole = sum(powers)
-            slope = [p / whole - (DOMAINS[i] == domain) for i, p in enumerate(powers)]
-            for f in own:
-                w, g = weights.setdefault(f, [0.0] * len(DOMAINS)), seen.setdefault(f, [1e-3] * len(DOMAINS))
-                for i in k:
-                    pull = slope[i] + (decay * w[i] if f != BIAS else 0.0)
-                    g[i] += pull * pull
-                    w[i] -= rate / (1 + step / 4) * pull / math.sqrt(g[i])
-    return {f: w for f, w in weights.items() if f != BIAS}, weights.get(BIAS, [0.0] * len(DOMAINS))
-
-
-def evidence(weights: dict[str, list[float]]) -> Column:
-    """What a document's features say for each domain, an array in the order of DOMAINS."""
-    none = F.array(*(F.lit(0.0) for _ in DOMAINS))
-    if not weights:
-        return none
-    names = sorted(weights)
-    table = F.map_from_arrays(
-        F.array(*(F.lit(n) for n in names)),
-        F.array(*(F.array(*(F.lit(float(x)) for x in weights[n])) for n in names)),
-    )
-    known = F.filter(F.transform("features", lambda f: F.element_at(table, f)), lambda x: x.isNotNull())
-    return F.aggregate(known, none, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-
-
-def log_scores(said: Column, constants: list[float]) -> Column:
-    """Logs of the posteriors but for one constant a document."""
-    return F.zip_with(said, F.array(*(F.lit(p) for p in constants)), lambda x, p: x + p)
+        for at in range(0, len(x), batch):
+            some = x[at : at + batch]
+            logs = some @ w
+            powers = np.exp(logs - logs.max(axis=1, keepdims=True))
+            pull = some.T @ (powers / powers.sum(axis=1, keepdims=True) - y[at : at + batch]) + shrink * w
+            seen += pull * pull
+            w -= np.float32(rate / (1 + step / 4)) * pull / np.sqrt(seen)
+    weights[used], constants = w[:-1], w[-1].astype(float)
+    return weights, constants
+
+
+def _numbers(values) -> Column:
+    """A literal array; written as one SQL text, since it may have thousands of numbers."""
+    return F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in values) + ")")
+
+
+def _added(table: Column) -> Column:
+    """The sum of table over a document's slots."""
+    return F.aggregate("slots", F.lit(0.0), lambda total, x: total + F.get(table, x))
+
+
+def log_scores(weights: np.ndarray, constants) -> list[Column]:
+    """Logs of the posteriors but for one constant a document, a column for each domain."""
+    out = []
+    for i, constant in enumerate(constants):
+        said = F.lit(float(constant))
+        for k in range(len(STATISTICS)):
+            own = weights[k * BINS : (k + 1) * BINS, i]
+            if own.any():
+                said = said + F.get(_numbers(own), F.get("bins", F.lit(k)))
+        own = weights[len(STATISTICS) * BINS :, i]
+        if own.any():
+            said = said + _added(_numbers(own))
+        out.append(said)
+    return out
 
 
 def softmax(logs: Column) -> Column:
@@ -142,10 +163,12 @@ def softmax(logs: Column) -> Column:
     return F.transform(powers, lambda x: x / whole)
 
 
-def learn_classifier(rows: DataFrame, sample: DataFrame) -> tuple[dict[str, list[float]], list[float]]:
+def learn_classifier(rows: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """From one row of each sample document, whichever of its texts comes first by its features."""
     # the sample's size is a parameter, so both the broadcast and the rows that come back are bounded
-    held = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "domain", "features").distinct()
-    return fit_logistic([(r["domain"], r["features"]) for r in sorted(held.collect(), key=lambda r: (hash_order(r["doc_id"]), r["features"]))])
+    held = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "domain").agg(F.min(F.struct("bins", "slots")).alias("f"))
+    ordered = sorted(held.collect(), key=lambda r: hash_order(r["doc_id"]))
+    return fit_logistic([(r["domain"], r["f"]["bins"], r["f"]["slots"]) for r in ordered])
 
 
 def hash_order(doc_id: int) -> int:
@@ -171,7 +194,7 @@ def fit_rates(members: DataFrame, totals: list[float], ridge: float, max_rate: f
     """(rate as a column over p_0.., what each domain's expected total comes to).
 
     Least squares of the expected totals against `totals`, in the metric of the members' second
-    moments, plus ridge times the token-weighted square of rate - 1, over 0 <= rate, and rate <= max_rate where one is given.
+    moments (and a little, so that a domain with hardly a token doesn't outweigh the others), plus ridge times the token-weighted square of rate - 1, over 0 <= rate, and rate <= max_rate where one is given.
     Each step of projected gradient needs one number a domain from all documents: their totals
     under the present rates. A document's rate is the steps so far, written as one expression, so nothing is kept for a document
     between steps; in this metric a step goes nearly all the way, and rounds should stay below 50, as each makes the expression deeper.
@@ -184,7 +207,7 @@ def fit_rates(members: DataFrame, totals: list[float], ridge: float, max_rate: f
     n = float(moments["n"] or 0)
     if not n:
         return F.lit(1.0), [0.0 for _ in k]
-    gram = [[(moments[f"m_{min(i, j)}_{max(i, j)}"] or 0.0) / n + (i == j) * 1e-6 for j in k] for i in k]
+    gram = [[(moments[f"m_{min(i, j)}_{max(i, j)}"] or 0.0) / n + (i == j) * 1e-3 for j in k] for i in k]
     metric = _inverse(gram)
     step, rate, reached = 1 / (1 + ridge), F.lit(1.0), []
     for _ in range(rounds):
@@ -210,8 +233,8 @@ class Mixer:
     """A fitted classifier and the rates that follow from it."""
 
     words: list[str]
-    weights: dict[str, list[float]]
-    constants: list[float]
+    weights: np.ndarray
+    constants: np.ndarray
     rate: Column | None = None
     #: Shares of the budget by domain: the targets, and what the rates come to.
     wanted: list[float] | None = None
@@ -219,13 +242,16 @@ class Mixer:
 
     def posteriors(self, rows: DataFrame) -> DataFrame:
         """row, n_tokens, p_0.. of the rows of features()."""
-        scored = rows.select("row", "n_tokens", evidence(self.weights).alias("said"))
-        scored = scored.select("row", "n_tokens", log_scores(F.col("said"), self.constants).alias("logs"))
+        scored = rows.select("row", "n_tokens", F.array(*log_scores(self.weights, self.constants)).alias("logs"))
         scored = scored.select("row", "n_tokens", softmax(F.col("logs")).alias("p"))
         return scored.select("row", "n_tokens", *(F.get("p", F.lit(k)).alias(f"p_{k}") for k in range(len(DOMAINS))))
 
     def repeat_rows(self, docs: DataFrame) -> DataFrame:
-        """docs with every row as often as its rate says. All of it is worked out from the row itself, so no text moves."""
+        """docs with every row as often as its rate says. All of it is worked out from the row itself, so no text moves.
+
+        The columns stay, whatever their names. Null and empty texts have rates like others; rows that are equal are rounded alike;
+        an empty table gives no rows.
+        """
         rows = features(docs, self.words, tuple(docs[c] for c in docs.columns))
         rated = self.posteriors(rows).withColumn("rate", self.rate)
         times = copies(F.col("row.doc_id"), F.xxhash64("row.text"))
@@ -254,7 +280,7 @@ def fit(
     learn = materialise(labelled_sample(labels, sample), "mixing-sample")
     words = telling_words(docs, learn, n_words)
     rows = materialise(features(docs, words, (F.col("doc_id"),)), "mixing-features")
-    mixer = Mixer(words, *learn_classifier(rows.select("row.doc_id", "features"), learn))
+    mixer = Mixer(words, *learn_classifier(rows.select("row.doc_id", "bins", "slots"), learn))
     members = materialise(mixer.posteriors(rows), "mixing-members")
     held = members.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(f"p_{k}")) for k in range(len(DOMAINS)))).first()
     tokens, own = float(held[0] or 0), [float(x or 0) for x in held[1:]]
@@ -271,15 +297,18 @@ def fit(
 
 
 def mix(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """doc_id, n_tokens, a posterior of every domain, rate; one row for each row of docs.
+    """doc_id, n_tokens, a posterior of every domain, rate, miss; one row for each row of docs.
+
+    miss, the same in all rows, is by how much of the budget the total that is furthest from its target is off.
 
     The classifier learns from at most `sample` labelled documents and holds n_words words. The
     targets are shares of budget times the input's tokens. Without labels every document has the same
     posteriors. Null and empty texts have no tokens and a rate like others; rates say how often a document is to be used on average.
-    Labels without a document and null labels don't count. Repeated rows have equal rates; an empty table gives no rows.
+    Labels without a document and null labels don't count. Repeated rows have equal rates; a labelled document that stands in several rows teaches once; an empty table gives no rows.
     """
     mixer, members = fit(docs, labels, **how)
-    return members.select("row.doc_id", "n_tokens", *(F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)), mixer.rate.alias("rate"))
+    miss = F.lit(float(max(abs(a - b) for a, b in zip(mixer.wanted, mixer.reached, strict=True)))).alias("miss")
+    return members.select("row.doc_id", "n_tokens", *(F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)), mixer.rate.alias("rate"), miss)
 
 
 def copies(doc_id: Column, content: Column, seed: int = 11) -> Column:
