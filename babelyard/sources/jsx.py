@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from babelyard.sources.chains import parameters
+
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*")
 BEFORE_EXPRESSION = {"return", "case", "typeof", "default", "await", "yield", "in", "of", "do", "else", "void", "delete", "new", "instanceof"}
 VALUE_END = re.compile(r"[\w$)\]}\"'`]")
@@ -89,6 +91,16 @@ class Literal:
     in_style: bool
 
 
+@dataclass
+class Loop:
+    """receiver.map(x => ...): the receiver's source, the callback's parameters and where the call's brackets stand."""
+
+    receiver: str
+    parameters: set[str]
+    start: int
+    end: int
+
+
 @dataclass
 class Str:
     value: str
@@ -106,6 +118,7 @@ class Source:
         self.scopes: list[Scope] = []
         self.calls: list[tuple[str, Str]] = []
         self.exports: list[tuple[int, int]] = []
+        self.loops: list[Loop] = []
         self._names: list[str] = []
         self._attribute = ""
         self._code(0, "", self.roots)
@@ -187,6 +200,7 @@ class Source:
     def _code(self, at: int, closer: str, elements: list) -> int:
         """Reads code up to closer, and returns the place after it."""
         text, before, declared, exported, is_default, since = self.text, "(" if closer in (")", "]") else "", "", None, False, 0
+        operand, dot, mapped = at, at, None
         while True:
             comments: list[str] = []
             line = text.count("\n", since, at) if since else 0
@@ -200,6 +214,8 @@ class Source:
                 return at
             sign, since = text[at], at
             expression = not before or not VALUE_END.match(before[-1]) or before in BEFORE_EXPRESSION
+            if expression and before != ".":
+                operand = at
             if sign == closer:
                 self._end_export(exported, at)
                 return at + 1
@@ -212,7 +228,10 @@ class Source:
             elif sign == "/" and expression:
                 at, before = self._regex(at), '"'
             elif sign in "([":
-                at, before = self._nested(at + 1, ")" if sign == "(" else "]", elements, declared), ")"
+                end = self._nested(at + 1, ")" if sign == "(" else "]", elements, declared)
+                if mapped and mapped[1] == at:
+                    self.loops.append(Loop(text[operand : mapped[0]], parameters(text[at + 1 : end]), at, end))
+                at, before = end, ")"
             elif sign == "{":
                 at = self._braces(at, expression and before not in (")", "=>"), elements, declared, before)
                 before = "}"
@@ -247,11 +266,14 @@ class Source:
                     inner = self._space(nxt + 1)
                     if text[inner : inner + 1] in ('"', "'") and text[inner : inner + 1]:
                         self.calls.append((own, self._string(inner)))
+                if own == "map" and before == ".":
+                    mapped = (dot, nxt)
                 at, before = word.end(), own
             else:
                 if sign == ";":
                     declared, is_default = "", False
                     exported = self._end_export(exported, at)
+                dot = at
                 if text.startswith("?.", at):
                     at, before = at + 2, "."
                 else:
@@ -272,11 +294,11 @@ class Source:
 
     def _braces(self, at: int, may_be_object: bool, elements: list, declared: str, before: str) -> int:
         if may_be_object and before not in (";", "}", ""):
-            kept = len(self.objects), len(self.scopes), len(elements), len(self.calls)
+            kept = len(self.objects), len(self.scopes), len(elements), len(self.calls), len(self.loops)
             try:
                 return self._object(at, elements, declared)
             except SyntaxError:
-                del self.objects[kept[0] :], self.scopes[kept[1] :], elements[kept[2] :], self.calls[kept[3] :]
+                del self.objects[kept[0] :], self.scopes[kept[1] :], elements[kept[2] :], self.calls[kept[3] :], self.loops[kept[4] :]
         return self._nested(at + 1, "}", elements, declared)
 
     def _object(self, at: int, elements: list, declared: str) -> int:
@@ -491,5 +513,12 @@ class Source:
         """The functions around a place, from the outermost in."""
         return sorted((s for s in self.scopes if s.start <= at < s.end), key=lambda s: s.start)
 
+    def loop(self, at: int) -> Loop | None:
+        """The map() whose callback is the nearest arrow function around a place."""
+        inner = max((p for p in self.loops if p.start < at < p.end), key=lambda p: p.start, default=None)
+        if inner and sum(inner.start < s.start <= at < s.end for s in self.scopes) <= 1:
+            return inner
+        return None
+
     def in_export(self, at: int) -> bool:
         return any(a <= at < b for a, b in self.exports)
