@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from babelyard.functions import lookups as L
 from babelyard.functions.classes import directional_findings
 from babelyard.functions.text import component_path
+from babelyard.sources.html import PARSE_ERROR as UNPARSED
 from babelyard.sources import jsx
 
 STRUCTURE = ("header", "nav", "main", "footer")
@@ -81,7 +82,8 @@ def html_found_tags(html: Column) -> Column:
 
 
 def html_findings_of_elements(pages: DataFrame, elements: DataFrame, key: str = "doc") -> DataFrame:
-    """key, code by the parsed elements (read_elements): the exact form of html_findings for main pages."""
+    """key, code by the parsed elements (read_elements): the exact form of html_findings for main pages. A page that
+    can't be parsed has the one finding PARSE_ERROR."""
     tag, attrs = F.col("tag"), F.col("attrs")
     value = lambda name: F.coalesce(attrs[name], F.lit(""))
     flags = {f"MISSING_{t.upper()}": tag == t for t in ("header", "nav", "footer")}
@@ -89,13 +91,14 @@ def html_findings_of_elements(pages: DataFrame, elements: DataFrame, key: str =
     flags |= {f"MISSING_META_{m.upper()}": (tag == "meta") & (value("name") == m) for m in META}
     # the first html element counts
     root = elements.where(tag == "html").groupBy(key).agg(F.min_by("attrs", "ordinal").alias("root"))
-    seen = elements.groupBy(key).agg(*(F.bool_or(flag).alias(code) for code, flag in flags.items()))
+    seen = elements.groupBy(key).agg(F.bool_or(tag == UNPARSED).alias("unparsed"), *(F.bool_or(flag).alias(code) for code, flag in flags.items()))
     rows = pages.select(key).join(seen, key, "left").join(root, key, "left")
     missing = [F.when(~F.coalesce(F.col(code), F.lit(False)), F.lit(code)) for code in flags]
     missing += [
         F.when(F.col("root").isNotNull() & (F.coalesce(F.col("root")[a], F.lit("")) == ""), F.lit(f"MISSING_{a.upper()}_ATTRIBUTE")) for a in ("lang", "dir")
     ]
-    return rows.select(key, F.explode(F.filter(F.array(*missing), lambda x: x.isNotNull())).alias("code"))
+    found = F.when(F.col("unparsed"), F.array(F.lit("PARSE_ERROR"))).otherwise(F.array_compact(F.array(*missing)))
+    return rows.select(key, F.explode(found).alias("code"))
 
 
 # -- CSS ---------------------------------------------------------------------

@@ -50,28 +50,29 @@ def flatten_messages(messages: DataFrame) -> DataFrame:
 
 
 def translate_texts(texts: DataFrame, provider: Provider, source: str) -> DataFrame:
-    """target, text, translated. texts: target, text (distinct). Each task calls the provider with up to BATCH texts
-    of one language; a batch that fails is answered by its source texts, and others go on."""
-    schema = "target string, text string, translated string"
+    """target, text, translated, error. texts: target, text (distinct). Each task calls the provider with up to BATCH
+    texts of one language; a batch that fails has its error in place of answers, and others go on."""
+    schema = "target string, text string, translated string, error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for target, own in frame.groupby("target", sort=True):
                 for at in range(0, len(own), BATCH):
                     some = own["text"].iloc[at : at + BATCH].tolist()
+                    error = None
                     try:
                         answers = provider.translate_batch(some, target, source)
-                    except Exception:  # noqa: BLE001 - a provider's failure must not end the other languages' work
-                        answers = [None] * len(some)
+                    except Exception as e:  # noqa: BLE001 - a provider's failure must not end the other languages' work
+                        answers, error = [], f"{type(e).__name__}: {e}"
                     answers = list(answers[: len(some)]) + [None] * (len(some) - len(answers))
-                    yield pd.DataFrame({"target": target, "text": some, "translated": answers})
+                    yield pd.DataFrame({"target": target, "text": some, "translated": answers, "error": error})
 
     return texts.mapInPandas(run, schema)
 
 
 def translate_messages(messages: DataFrame, targets: list[str], source: str, provider: Provider) -> DataFrame:
-    """locale, key, value for every target: variables become tags, equal texts are asked for once, answers get their
-    variables back, and a text without an answer stays as it is."""
+    """locale, key, value, error for every target: variables become tags, equal texts are asked for once, answers get
+    their variables back, and a text without an answer stays as it is. Where the provider failed, value is null."""
     own = flatten_messages(messages.where(F.col("locale") == source)).select("key", "value")
     own = own.withColumn("text", tokenize(F.col("value"))).withColumn("vars", variables(F.col("value")))
     wanted = F.array(*(F.lit(t) for t in targets if t != source)) if any(t != source for t in targets) else F.array().cast("array<string>")
@@ -80,21 +81,44 @@ def translate_messages(messages: DataFrame, targets: list[str], source: str, pro
     answers = translate_texts(asked, provider, source).withColumnsRenamed({"target": "a_target", "text": "a_text"})
     joined = spread.join(answers, (F.col("target") == F.col("a_target")) & (F.col("text") == F.col("a_text")), "left")
     value = detokenize(F.coalesce("translated", "text"), F.col("vars"))
-    return joined.select(F.col("target").alias("locale"), "key", value.alias("value"))
+    return joined.select(F.col("target").alias("locale"), "key", F.when(F.col("error").isNull(), value).alias("value"), "error")
+
+
+def failed_languages(translated: DataFrame) -> DataFrame:
+    """locale, n_failed, error (the first by name) of translate_messages' rows, to be reported; write those rows down
+    first, since the provider is asked again for each reading of a plan."""
+    own = translated.where("error is not null").groupBy("locale")
+    return own.agg(F.count("*").alias("n_failed"), F.min("error").alias("error"))
+
+
+def kept_where_failed(translated: DataFrame, held: DataFrame) -> DataFrame:
+    """locale, key, value: translations, or what a locale holds already where its provider failed; nothing without either."""
+    old = held.select(F.col("locale").alias("h_locale"), F.col("key").alias("h_key"), F.col("value").alias("h_value"))
+    joined = translated.join(old, (F.col("locale") == F.col("h_locale")) & (F.col("key") == F.col("h_key")), "left")
+    value = F.when(F.col("error").isNull(), F.col("value")).otherwise(F.col("h_value"))
+    return joined.select("locale", "key", value.alias("value")).where("value is not null")
 
 
 def payload(messages: DataFrame, source: str, keys: DataFrame) -> DataFrame:
-    """The source locale's messages for the given keys; a key that is not there stands for itself."""
+    """The source locale's messages for the given keys. A key that is not there is a path into nested messages (a.b.c
+    is b.c of the message a), and otherwise stands for itself."""
     own = messages.where(F.col("locale") == source).select("key", "value")
-    return keys.select("key").distinct().join(own, "key", "left").select(F.lit(source).alias("locale"), "key", F.coalesce("value", "key").alias("value"))
+    outer = own.where(F.ltrim("value").startswith("{")).select(F.col("key").alias("outer_key"), F.col("value").alias("nested"))
+    parts = F.split("key", r"\.")
+    wanted = keys.select("key").distinct().join(own, "key", "left").withColumn("head", F.when(F.col("value").isNull() & (F.size(parts) > 1), parts[0]))
+    # names with quotes aren't paths
+    path = F.concat(F.lit("$"), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.lit("['"), p, F.lit("']"))), ""))
+    found = wanted.join(outer, F.col("head") == F.col("outer_key"), "left")
+    return found.select(F.lit(source).alias("locale"), "key", F.coalesce("value", F.call_function("get_json_object", F.col("nested"), path), "key").alias("value"))
 
 
 def run_translations(messages: DataFrame, targets: list[str], source: str, provider: Provider, delta_keys: DataFrame | None = None) -> DataFrame:
-    """messages with new target locales: a full run replaces them, a delta run lays its answers over them."""
+    """messages with new target locales: a full run replaces them, a delta run lays its answers over them. Where a
+    provider failed, a locale keeps what it holds."""
     targets = [t for t in dict.fromkeys(targets) if t != source]
+    before = messages.where(F.col("locale").isin(targets))
     if delta_keys is None:
-        new = translate_messages(messages, targets, source, provider)
+        new = kept_where_failed(translate_messages(messages, targets, source, provider), before)
         return messages.where(~F.col("locale").isin(targets)).select("locale", "key", "value").unionByName(new)
-    new = translate_messages(payload(messages, source, delta_keys), targets, source, provider)
-    held = messages.where(F.col("locale").isin(targets))
-    return messages.where(~F.col("locale").isin(targets)).select("locale", "key", "value").unionByName(deep_merge(held, new))
+    new = kept_where_failed(translate_messages(payload(messages, source, delta_keys), targets, source, provider), before)
+    return messages.where(~F.col("locale").isin(targets)).select("locale", "key", "value").unionByName(deep_merge(before.select("locale", "key", "value"), new))

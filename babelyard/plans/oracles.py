@@ -89,8 +89,8 @@ CLASSIFY = """CASE
     WHEN regexp_matches(word, '^[A-Z][a-z]+$') THEN 'translatable'
     ELSE 'identifier' END"""
 
-FIRST_WORDS = "SELECT source AS path, regexp_extract(text, '^([^ \\n]*)', 1) AS word, doc_id FROM documents WHERE text IS NOT NULL"
-BASE = "role || '.' || lower(regexp_replace(regexp_extract(text, '^([^ ]*)', 1), '[^a-zA-Z]', '', 'g'))"
+LINES = "SELECT source AS path, unnest(string_split(text, chr(10))) AS word, doc_id FROM documents WHERE text IS NOT NULL"
+BASE = "role || '.' || lower(regexp_replace(text, '[^a-zA-Z]', '', 'g'))"
 MARKED = "'Hi {{ ' || role || ' }} {{{' || CAST(conv_id AS VARCHAR) || '}}} {{open ' || text"
 DIR = "CASE WHEN code IN ('" + "', '".join(L.RTL_LOCALES) + "') THEN 'rtl' ELSE 'ltr' END"
 LABEL = "CASE code " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in L.LOCALE_LABELS.items()) + " ELSE upper(code) END"
@@ -250,9 +250,9 @@ SQL: dict[str, str] = {
         WITH n AS (SELECT conv_id, text AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS k FROM conversations WHERE text IS NOT NULL)
         SELECT conv_id, sha256(string_agg(CASE WHEN k % 3 <> 2 THEN upper(regexp_replace(t, '[^ -~]', '', 'g')) ELSE t END, '|' ORDER BY k)) AS joined FROM n GROUP BY conv_id""",
     "promote_insert_only": f"""
-        WITH f AS ({FIRST_WORDS}), k AS (SELECT DISTINCT word FROM f WHERE {CLASSIFY} = 'translatable')
+        WITH f AS ({LINES}), k AS (SELECT DISTINCT word FROM f WHERE {CLASSIFY} = 'translatable')
         SELECT 'en' AS locale, word AS key, word AS value FROM k WHERE word NOT IN (SELECT word FROM f WHERE doc_id % 3 = 0)""",
-    "registry_values_per_file": f"WITH f AS ({FIRST_WORDS}) SELECT path, count(DISTINCT word) AS n_values FROM f WHERE {CLASSIFY} = 'translatable' GROUP BY path",
+    "registry_values_per_file": f"WITH f AS ({LINES}) SELECT path, count(DISTINCT word) AS n_values FROM f WHERE {CLASSIFY} = 'translatable' GROUP BY path",
     "props_flatten": """
         SELECT 'v.kind' AS dot_path, 'kind' AS field, event_type AS value, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY event_type
         UNION ALL SELECT 'v.list.0', 'list', 'a', count(*) FROM events WHERE props IS NOT NULL
@@ -288,13 +288,13 @@ SQL: dict[str, str] = {
         SELECT conv_id, turn, text <> before AS changed FROM b WHERE before IS NOT NULL""",
     "class_report": """
         SELECT count(*) AS files_modified, count(*) AS classes_replaced, 0 AS dynamic, 0 AS needs_mirror
-        FROM (SELECT DISTINCT conv_id FROM conversations WHERE text IS NOT NULL)""",
+        FROM conversations WHERE text IS NOT NULL""",
     "jsx_rewrite_scores": """
-        WITH c AS (SELECT count(DISTINCT conv_id) AS n FROM conversations WHERE text IS NOT NULL)
+        WITH c AS (SELECT count(*) AS n FROM conversations WHERE text IS NOT NULL)
         SELECT 90 AS score, n, 'before' AS "when" FROM c UNION ALL SELECT 95, n, 'after' FROM c""",
     "jsx_extract": """
-        WITH f AS (SELECT conv_id, arg_min(regexp_replace(text, '[^A-Za-z ]', '', 'g'), turn) AS t FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
-        n AS (SELECT CAST(conv_id AS VARCHAR) AS c, regexp_replace(trim('Say ' || trim(t)), '\\s+', ' ', 'g') AS t FROM f),
+        WITH f AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS t FROM conversations WHERE text IS NOT NULL),
+        n AS (SELECT conv_id || 'x' || turn AS c, regexp_replace(trim('Say ' || trim(t)), '\\s+', ' ', 'g') AS t FROM f),
         u AS (
             SELECT c, 0 AS pos, 'string' AS kind, t AS value, 'title' AS role, NULL AS reason FROM n
             UNION ALL SELECT c, 1, 'string', 'Dear {{name}}, ' || t, 'body', NULL FROM n

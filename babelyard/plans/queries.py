@@ -267,9 +267,9 @@ def duplicate_text_keys(spark, sf_dir):
 
 
 def collision_counters(spark, sf_dir):
-    """Keys of turns: role as namespace, the first word's letters as base."""
+    """Keys of turns: role as namespace, the whole text's letters as base."""
     c = _read(spark, sf_dir, "conversations").where("text is not null")
-    base = F.concat_ws(".", "role", F.lower(F.regexp_replace(F.regexp_extract("text", r"^([^ ]*)", 1), "[^a-zA-Z]", "")))
+    base = F.concat_ws(".", "role", F.lower(F.regexp_replace("text", "[^a-zA-Z]", "")))
     return keys.collision_counters(c.select("conv_id", "turn", "role", base.alias("base")), "role", "base", "conv_id", "turn").select("conv_id", "turn", "key")
 
 
@@ -354,18 +354,22 @@ def answers_by_position(spark, sf_dir):
     return listed.select("conv_id", F.sha2(F.array_join(translate.by_position(F.col("src"), answer), "|"), 256).alias("joined"))
 
 
-def promote_insert_only(spark, sf_dir):
-    """First words of documents as data values, promoted where the catalogue has no such key."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document as a value of a data file, which is the document's source."""
     d = _read(spark, sf_dir, "documents").where("text is not null")
-    leaves = d.select(F.col("source").alias("path"), F.lit("title").alias("field"), F.regexp_extract("text", r"^([^ \n]*)", 1).alias("value"), F.lit(False).alias("error"))
-    known = d.where("doc_id % 3 = 0").select(F.lit(DEFAULT).alias("locale"), F.regexp_extract("text", r"^([^ \n]*)", 1).alias("key"))
-    return registry.promoted(leaves, known, DEFAULT)
+    lines = d.select("doc_id", F.col("source").alias("path"), F.explode(F.split("text", "\n")).alias("value"))
+    return lines.select("doc_id", "path", F.lit("title").alias("field"), "value", F.lit(False).alias("error"))
+
+
+def promote_insert_only(spark, sf_dir):
+    """Lines of documents as data values, promoted where the catalogue, the lines of every third one, has no such key."""
+    leaves = _lines(spark, sf_dir)
+    known = leaves.where("doc_id % 3 = 0").select(F.lit(DEFAULT).alias("locale"), F.col("value").alias("key"))
+    return registry.promoted(leaves.drop("doc_id"), known, DEFAULT)
 
 
 def registry_values_per_file(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents").where("text is not null")
-    leaves = d.select(F.col("source").alias("path"), F.lit("title").alias("field"), F.regexp_extract("text", r"^([^ \n]*)", 1).alias("value"), F.lit(False).alias("error"))
-    return registry.values_per_file(leaves)
+    return registry.values_per_file(_lines(spark, sf_dir).drop("doc_id"))
 
 
 def props_flatten(spark, sf_dir):
@@ -402,17 +406,16 @@ def edit_apply(spark, sf_dir):
 
 
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A component for each conversation, with its first turn as a text."""
-    c = _read(spark, sf_dir, "conversations").where("text is not null")
-    plain = F.regexp_replace("text", "[^A-Za-z ]", "")
-    own = c.groupBy("conv_id").agg(F.min_by(plain, "turn").alias("first"))
-    first = F.concat(F.lit("Say "), F.trim("first"))
+    """A component for each turn, with the turn as a text."""
+    own = _read(spark, sf_dir, "conversations").where("text is not null")
+    name = F.concat_ws("x", "conv_id", "turn")
+    first = F.concat(F.lit("Say "), F.trim(F.regexp_replace("text", "[^A-Za-z ]", "")))
     body = F.concat(
         F.lit("export default function Chat() {\n    return (\n        <div className=\"ml-2 flex\" style={{marginLeft: 4}}>\n            <h1>"), first,
         F.lit("</h1>\n            <p>Dear {name}, "), first, F.lit("</p>\n            <p>You have <strong>{count}</strong> mails</p>\n            <p>{format(x)}!</p>\n"),
         F.lit("            <img alt=\"A face\" src=\"a.png\" />\n        </div>\n    );\n}\n"),
     )
-    return own.select(F.concat(F.lit("src/chats/Chat"), F.col("conv_id").cast("string"), F.lit(".jsx")).alias("path"), F.lit(".jsx").alias("ext"), body.alias("content"))
+    return own.select(F.concat(F.lit("src/chats/Chat"), name, F.lit(".jsx")).alias("path"), F.lit(".jsx").alias("ext"), body.alias("content"))
 
 
 def jsx_extract(spark, sf_dir):

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Stands for the elements of a page that can't be parsed; no element can have this name.
+PARSE_ERROR = "#error"
 ELEMENTS = "doc long, ordinal int, tag string, attrs map<string,string>"
 
 
@@ -25,10 +27,14 @@ class _Elements(HTMLParser):
 
 
 def elements(html: str | None) -> list[tuple[str, dict[str, str]]]:
-    """(tag, attributes) of every element in order; what stands in comments and scripts is none."""
+    """(tag, attributes) of every element in order; what stands in comments and scripts is none. A text that can't be
+    parsed has PARSE_ERROR as its only one."""
     parser = _Elements()
-    parser.feed(html or "")
-    parser.close()
+    try:
+        parser.feed(html or "")
+        parser.close()
+    except (AssertionError, ValueError):  # how the standard parser gives up, on unknown marked sections for one
+        return [(PARSE_ERROR, {})]
     return parser.found
 
 

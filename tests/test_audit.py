@@ -12,6 +12,7 @@ from babelyard.operators import audit, registry
 from babelyard.plans import facts
 from babelyard.plans.lifecycle import audit_project, class_edits, fix_styles
 from babelyard.sources import css, files, html, jsontree, sinks
+from babelyard.sources.html import read_elements
 
 FILES = "path string, ext string, content string"
 
@@ -222,3 +223,12 @@ def test_documents_and_linters(spark):
 def test_penalties_cover_all_codes():
     assert len({(a, c) for a, c, _, _ in L.PENALTIES}) == len(L.PENALTIES)
     assert {c for _, _, c in L.CSS_PROPS} <= {c for a, c, _, _ in L.PENALTIES if a == "css"}
+
+
+def test_pages_that_cannot_be_parsed(spark):
+    pages = spark.createDataFrame([(1, "<html lang='en'><![foo[x]]></html>"), (2, "<p>a</p>"), (3, None)], "page_id long, html string")
+    docs = pages.select(F.col("page_id").alias("doc"))
+    found = audit.html_findings_of_elements(docs, read_elements(pages))
+    assert [r.code for r in found.where("doc = 1").collect()] == ["PARSE_ERROR"]
+    assert {r.doc: r.score for r in audit.scores(docs, found, "html").collect()}[1] == 0
+    assert found.where("doc = 2").count() == found.where("doc = 3").count() > 1

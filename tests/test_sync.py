@@ -120,6 +120,18 @@ def test_provider_failures(spark):
             return [None if t.startswith("skip") else t.upper().replace("V ID", "v id") for t in texts]
 
     m = spark.createDataFrame([("en", f"k{i}", ("skip " if i % 10 == 0 else "text ") + f"{i} {{{{x}}}}") for i in range(250)], "locale string, key string, value string")
-    rows = translate.run_translations(m, ["de", "fr", "en"], "en", Broken()).collect()
+    held = spark.createDataFrame([("de", "k5", "alt"), ("fr", "k5", "vieux")], m.schema)
+    rows = translate.run_translations(m.unionByName(held), ["de", "fr", "en"], "en", Broken()).collect()
     got = {(r.locale, r.key): r.value for r in rows}
-    assert len(rows) == 750 and got["de", "k5"] == "text 5 {{x}}" and got["fr", "k5"] == "TEXT 5 {{x}}" and got["fr", "k10"] == "skip 10 {{x}}"
+    assert len(rows) == len(got) == 501 and got["de", "k5"] == "alt" and got["fr", "k5"] == "TEXT 5 {{x}}" and got["fr", "k10"] == "skip 10 {{x}}"
+    delta = translate.run_translations(m.unionByName(held), ["de", "fr"], "en", Broken(), spark.createDataFrame([("k5",), ("k6",)], "key string")).collect()
+    assert {(r.locale, r.key): r.value for r in delta if r.locale != "en"} == {("de", "k5"): "alt", ("fr", "k5"): "TEXT 5 {{x}}", ("fr", "k6"): "TEXT 6 {{x}}"}
+    failed = translate.failed_languages(translate.translate_messages(m, ["de", "fr"], "en", Broken())).collect()
+    assert [tuple(r) for r in failed] == [("de", 250, "RuntimeError: no service")]
+
+
+def test_payload_walks_paths(spark):
+    m = spark.createDataFrame([("en", "a", '{"b": {"c": "deep", "d": 1}}'), ("en", "a.b", "flat"), ("en", "x", "plain"), ("de", "y", "{}")], "locale string, key string, value string")
+    asked = spark.createDataFrame([(k,) for k in ("a.b.c", "a.b", "x", "x.y", "a.z", "y.z", "a'.b", "a.b'c", "New text. Here")], "key string")
+    got = {r.key: r.value for r in translate.payload(m, "en", asked).collect()}
+    assert got == {"a.b.c": "deep", "a.b": "flat", "x": "plain", **{k: k for k in ("x.y", "a.z", "y.z", "a'.b", "a.b'c", "New text. Here")}}
