@@ -128,9 +128,80 @@ def quality_rules(risk: float = 0.02, confidence: float = 0.95) -> str:
     """
 
 
+#: The CRC-32 of decimal numbers, of ids in the column `id` of a table `of`, as `h`.
+def _crc32(of: str, id_col: str) -> str:
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""
+        crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: {step}) AS v FROM range(256) r(i))),
+        hashed AS (
+            SELECT id, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+            FROM (SELECT DISTINCT {id_col} AS id FROM {of} WHERE {id_col} IS NOT NULL), crc
+        )"""
+
+
+def repeats(words: int = 35) -> str:
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        win AS (SELECT r, i, md5(array_to_string(w[i + 1 : i + {words}], ' ')) AS x FROM (SELECT r, w, unnest(range(len(w) - {words - 1})) AS i FROM d WHERE len(w) >= {words})),
+        twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY x) AS n FROM win) WHERE n > 1),
+        gone AS (SELECT r, list(DISTINCT j) AS gone FROM (SELECT r, unnest(range(i, i + {words})) AS j FROM twice) GROUP BY r),
+        word AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS j FROM d WHERE r IN (SELECT r FROM gone)),
+        cut AS (SELECT r, unnest(gone) AS j FROM gone),
+        kept AS (SELECT word.r, string_agg(x, ' ' ORDER BY word.j) AS kept FROM word LEFT JOIN cut ON word.r = cut.r AND word.j = cut.j WHERE cut.r IS NULL GROUP BY word.r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+        FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+    """
+
+
+def periodic_runs() -> str:
+    """Every pair of equal words at a lag, stretches of them, and of equal stretches the least lag."""
+    return rf"""
+        WITH {_crc32('documents', 'doc_id')},
+        d AS (SELECT row_number() OVER () AS r, doc_id, h, h // 10 AS g, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+              FROM documents LEFT JOIN hashed ON doc_id = id),
+        a AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN g % len(w) END AS a FROM d),
+        p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+        t AS (SELECT r, doc_id, n, CASE WHEN coalesce(h % 10 = 0, false) AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM p),
+        word AS (SELECT r, n, unnest(w) AS x, unnest(range(n)) AS i FROM t),
+        same AS (SELECT a.r, a.i, b.i - a.i AS q FROM word a JOIN word b ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+        island AS (SELECT r, q, min(i) AS s, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS z FROM same) GROUP BY r, q, z HAVING count(*) >= greatest(6 - q, 3 * q)),
+        run AS (SELECT r, s, n + q AS l, min(q) AS q FROM (SELECT *, n + q AS e FROM island) GROUP BY r, s, l),
+        listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS runs,
+                          first(struct_pack(s := s, l := l, q := q) ORDER BY l DESC, s, q) AS best FROM run GROUP BY r),
+        gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM run),
+        kept AS (SELECT word.r, string_agg(x, ' ' ORDER BY word.i) AS kept FROM word LEFT JOIN gone ON word.r = gone.r AND word.i = gone.i WHERE gone.r IS NULL GROUP BY word.r)
+        SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period,
+               CAST(1000 * best.l // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM t LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+    """
+
+
+def prefix_trie() -> str:
+    return rf"""
+        WITH {_crc32('conversations', 'conv_id')},
+        c AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, list(x ORDER BY turn NULLS FIRST, x) AS x, list(chars ORDER BY turn NULLS FIRST, x) AS chars FROM c GROUP BY conv_id),
+        b AS (SELECT o.conv_id, h % 6 AS h, o.x, o.chars, coalesce(base.x, []) AS bx, coalesce(base.chars, []) AS bc FROM own o JOIN hashed ON o.conv_id = id LEFT JOIN own base ON base.conv_id = o.conv_id - o.conv_id % 100),
+        m AS (SELECT conv_id, list_concat(bx[: h], x[h + 1 :]) AS x, list_concat(bc[: h], chars[h + 1 :]) AS chars FROM b),
+        pre AS (SELECT conv_id, d, x[: d] AS p, CASE WHEN d > 0 THEN chars[d] ELSE 0 END AS last, d = len(x) AS over FROM (SELECT *, unnest(range(len(x) + 1)) AS d FROM m)),
+        node AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n, any_value(last) AS last, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (over), '')) AS ends FROM pre GROUP BY d, p),
+        child AS (SELECT d - 1 AS d, p[: d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+        full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child ON node.d = child.d AND node.p = child.p),
+        below AS (SELECT e, p[: e] AS p, sum((n - 1) * last) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM (SELECT *, unnest(range(d + 1)) AS e FROM full_node) GROUP BY 1, 2)
+        SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(f.n AS BIGINT) AS n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+               CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+        FROM full_node f JOIN below b ON b.e = f.d AND b.p = f.p LEFT JOIN node u ON f.d > 0 AND u.d = f.d - 1 AND u.p = f.p[: f.d - 1]
+    """
+
+
 SQL = {
     "op2_quality_rules": quality_rules(),
     "op4_jaccard_join": JACCARD,
     "op9_license_scans": license_scan(),
     "op10_exact_topk": TOP_K,
+    "op11_substring_dedup": repeats(),
+    "op12_periodic_runs": periodic_runs(),
+    "op13_prefix_trie": prefix_trie(),
 }

@@ -18,6 +18,9 @@ def _table() -> np.ndarray:
 
 
 _HELD = _table()
+#: Bytes of words that only blanks part: all but 0x20 and 0x09 to 0x0D, which bytes.split() parts at too.
+_FILLED = np.ones(256, dtype=bool)
+_FILLED[[32, *range(9, 14)]] = False
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,7 +54,17 @@ def _weights(place: np.ndarray) -> np.ndarray:
 def word_hashes(text: str) -> np.ndarray:
     """A hash of every word: runs of letters, digits and non-ASCII characters, in lower case."""
     raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    held = _HELD[raw]
+    return _run_hashes(raw, _HELD[raw])
+
+
+def blank_parted_hashes(text: bytes) -> np.ndarray:
+    """A hash of every word of text.split(), in the text's own case."""
+    raw = np.frombuffer(text, dtype=np.uint8)
+    return _run_hashes(raw, _FILLED[raw])
+
+
+def _run_hashes(raw: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """A hash of every run of held bytes."""
     if not held.any():
         return np.empty(0, dtype=np.uint64)
     edge = np.diff(held.astype(np.int8), prepend=0)

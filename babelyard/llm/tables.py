@@ -75,8 +75,8 @@ def fold(id_col: str, folds: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def spread_join(many: DataFrame, few: DataFrame, key: str, by: str, counts: DataFrame | None = None, total: int | None = None, least: int = 100, hot_keys: int = 1000) -> DataFrame:
-    """many joined with few (one row a key) on key, where one key may hold most rows of many.
+def spread_join(many: DataFrame, few: DataFrame, key: str, by: str, counts: DataFrame | None = None, total: int | None = None, least: int = 100, hot_keys: int = 1000, how: str = "inner") -> DataFrame:
+    """many joined with few (one row a key) on key, where one key may hold most rows of many. how: inner or left.
 
     A key with over max(least, rows / hot_keys) rows is hot, so there are at most hot_keys of them, whatever the
     size, and their list can be broadcast. The rows of a hot key are dealt over as many parts as it is hot by a
@@ -94,4 +94,4 @@ def spread_join(many: DataFrame, few: DataFrame, key: str, by: str, counts: Data
     left = many.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__part", place.cast("int")).drop("__hot", "__parts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
     right = few.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__part", copies).drop("__hot", "__parts")
-    return left.join(right, [key, "__part"]).drop("__part")
+    return left.join(right, [key, "__part"], how).drop("__part")

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -47,3 +48,14 @@ def bound_batches(spark: SparkSession) -> None:
     """Fewer rows a batch, unless the session says otherwise than Spark does."""
     if int(spark.conf.get(BATCH_CONF)) == SPARK_ROWS:
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """At most so many rows a batch for what is run inside; the session's own setting holds again afterwards."""
+    own = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(min(rows, int(own)) if int(own) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, own)
