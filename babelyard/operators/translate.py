@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from babelyard.functions.tokens import detokenize, tokenize, variables
+from babelyard.operators.ranks import numbered
 from babelyard.operators.sync import deep_merge
 
 BATCH = 100
@@ -34,9 +35,9 @@ def mock_translation(text: Column, target: Column) -> Column:
 
 
 def chunk_numbers(rows: DataFrame, group: str, *order: str, size: int = BATCH) -> DataFrame:
-    """Adds chunk: numbers of batches of `size` rows in order within a group."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("chunk", F.floor((n - 1) / size).cast("int"))
+    """Adds chunk: numbers of batches of `size` rows in order within a group, however large it is. Give only the
+    columns that are needed: the rows are dealt in order and written once."""
+    return numbered(rows, [group], list(order)).withColumn("chunk", F.floor((F.col("n") - 1) / size).cast("int")).drop("n")
 
 
 def by_position(source: Column, answer: Column) -> Column:

@@ -165,6 +165,12 @@ SQL: dict[str, str] = {
         SELECT locale, key, sha256(coalesce(n.v, o.v)) AS value_hash FROM o FULL JOIN n USING (locale, key)""",
     "incremental_changed": """
         SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL AND (doc_id % 2 = 1 OR doc_id % 20 = 0)""",
+    "incremental_sync": r"""
+        WITH f AS (SELECT conv_id, turn, 'chat' || conv_id || 'x' || turn || '.chat.' AS k,
+                          regexp_replace(trim('Say ' || trim(regexp_replace(text, '[{}<>&"''`\\]', '', 'g'), E' \t\n\r'), E' \t\n\r'), '\s+', ' ', 'g') AS t FROM conversations WHERE text IS NOT NULL),
+        m AS (SELECT 0 AS batch, k || 'title' AS key, t AS value FROM f WHERE conv_id % 4 <> 0 UNION ALL SELECT 1, k || 'title', t FROM f
+              UNION ALL SELECT 1, k || 'body', 'More words' FROM f WHERE conv_id % 4 <> 0 AND turn % 2 = 0)
+        SELECT batch, key, l AS locale, CASE WHEN l = 'en' THEN value ELSE '' END AS value FROM m, (SELECT unnest(['en', 'ar']) AS l)""",
     "html_findings_by_code": f"WITH {PAGES}, {FINDINGS} SELECT code, count(*) AS n FROM findings GROUP BY code",
     "html_score_histogram": f"""
         WITH {PAGES}, {FINDINGS}, {SCORED}

@@ -5,6 +5,8 @@ Languages stand for locales, (source, length) for message keys, turns of a conve
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +123,31 @@ def incremental_changed(spark, sf_dir):
     return sync.changed_files(docs.drop("doc_id"), known).select("path", "sha256")
 
 
+#: Signs that mean something in a component's markup.
+MARKUP = r"""[{}<>&"'`\\]"""
+
+
+def incremental_sync(spark, sf_dir):
+    """Two snapshots of a project through one call each: turns as components, of which every fourth conversation's come later
+    only. In the second, every even turn's rewritten source has a paragraph more. Messages of both, by batch."""
+    from babelyard.plans.lifecycle import Config
+    from babelyard.sources.scratch import shared_folder
+    from babelyard.streaming.incremental import SyncStore, sync_batch
+
+    own = _read(spark, sf_dir, "conversations").where("text is not null")
+    path = F.concat(F.lit("src/chats/Chat"), F.concat_ws("x", "conv_id", "turn"), F.lit(".jsx"))
+    body = F.concat(F.lit("export default function Chat() {\n    return <div><h1>Say "), F.regexp_replace("text", MARKUP, ""), F.lit("</h1></div>;\n}\n"))
+    files = own.select(path.alias("path"), F.lit(".jsx").alias("ext"), body.alias("content"), "conv_id", "turn")
+    store, config = SyncStore(spark, f"{shared_folder(spark)}/sync-{uuid.uuid4().hex}"), Config(languages=["en", "ar"])
+    early, late = (files.where(f"conv_id % 4 {sign} 0") for sign in ("<>", "="))
+    sync_batch(early.drop("conv_id", "turn"), store, 0, config)
+    again = early.drop("content").join(store.read("sources", 0), "path")
+    edited = F.when(F.col("turn") % 2 == 0, F.replace("content", F.lit("</h1>"), F.lit("</h1><p>More words</p>"))).otherwise(F.col("content"))
+    sync_batch(again.withColumn("content", edited).unionByName(late).drop("conv_id", "turn"), store, 1, config)
+    sync_batch(early.drop("conv_id", "turn"), store, 1, config)  # a batch that is run again
+    return store.read("messages", 0).withColumn("batch", F.lit(0)).unionByName(store.read("messages", 1).withColumn("batch", F.lit(1)))
+
+
 # -- pages ---------------------------------------------------------------------
 
 
@@ -342,7 +369,7 @@ def mock_translate_delta(spark, sf_dir):
 
 
 def translation_chunks(spark, sf_dir):
-    c = _read(spark, sf_dir, "conversations")
+    c = _read(spark, sf_dir, "conversations").select("role", "conv_id", "turn")
     return translate.chunk_numbers(c, "role", "conv_id", "turn").groupBy("role", "chunk").agg(F.count("*").alias("n"), F.min("conv_id").alias("first_conv"))
 
 
@@ -493,7 +520,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         coverage_by_lang, reconciliation_report, new_keys, orphan_keys, missing_keys, write_back_pruned, seed_locales, last_wins, value_edits,
-        migrated_messages, delta_merge, incremental_changed, html_findings_by_code, html_score_histogram, html_found_tags, html_scores_parsed,
+        migrated_messages, delta_merge, incremental_changed, incremental_sync, html_findings_by_code, html_score_histogram, html_found_tags, html_scores_parsed,
         page_class_tokens, page_shown_attributes, css_findings_by_code, css_fixed, css_property_map, class_token_rewrite, class_variants,
         class_value_rewrite, class_findings, classify_words_by_lang, text_slug_keys, text_hash_prefix, duplicate_text_keys, collision_counters,
         key_allocation, namespaces, element_roles, sibling_index, locale_dir, token_roundtrip, mock_translate, mock_translate_delta,
