@@ -36,8 +36,16 @@ TEMPLATES = (
     ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
 )
-#: Fewer common words across line ends are chance, however low the threshold.
-FEWEST = 3
+#: Words that a block must hold, and such that it must not, for the label: they tell licences of one family apart.
+TOLD_BY = {
+    "cc-by-4.0": (("attribution", "4"), ("noderivatives", "nd", "noncommercial", "nc", "sharealike", "sa")),
+    "cc-by-nc-4.0": (("nc", "4"), ("nd", "sa")),
+    "gpl-3.0": (("gnu", "3"), ("lesser", "affero")),
+}
+#: Templates of fewer distinct words name a licence by one or two of them: all have to be there.
+SHORT = 10
+#: Words of a text that are compared as one block; blocks overlap, so that every window lies in one.
+BLOCK = 2048
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,10 +60,15 @@ def template_words(text: str) -> list[str]:
 
 
 def window_length(text: str, threshold: float) -> int:
-    """Of blocks across line ends: as many words as leave the template's own a share of threshold."""
+    """As many words as leave the template's own a share of threshold."""
     return math.ceil(len([w for w in re.split(APART, text.lower()) if w]) / max(threshold, 0.1) - 1e-9)
 
 
+def needed(words: int, threshold: float) -> int:
+    """How many of a template's distinct words a window has to hold."""
+    return words if words < SHORT else max(1, math.ceil(threshold * words - 1e-9))
+
+
 def _literals(values) -> Column:
     return F.array(*(F.lit(v) for v in values)) if values else F.array().cast("array<string>")
 
@@ -108,30 +121,29 @@ class Templates:
         self.rows = []
         for number, (label, text) in enumerate(templates):
             words = sorted(template_words(text), key=rank)
-            need = max(1, math.ceil(threshold * len(words) - 1e-9))
+            need = needed(len(words), threshold)
             # a block with `need` of the words holds one of these at least
-            self.rows.append((number, label, words, need, window_length(text, threshold), words[: len(words) - need + 1]))
+            self.rows.append((number, label, words, need, window_length(text, threshold), words[: len(words) - need + 1], *TOLD_BY.get(label, ((), ()))))
         self.universe = sorted({w for r in self.rows for w in r[2]}, key=rank)
         self.prefix = sorted({w for r in self.rows for w in r[5]})
-        #: How far a block may reach from each of its prefix words.
-        self.reach = {w: max(r[4] for r in self.rows if w in r[5]) - 1 for w in self.prefix}
+        self.longest = max([1, *(r[4] for r in self.rows)])
 
     def table(self, spark) -> DataFrame:
         """One row for each word of a prefix: bounded by the templates' words."""
         rows = [
             F.struct(
-                F.lit(w).alias("token"), F.lit(at).alias("at"), F.lit(n).alias("template"), F.lit(label).alias("label"),
-                _literals(words).alias("words"), F.lit(need).alias("need"), F.lit(span).alias("span"),
+                F.lit(w).alias("token"), F.lit(at).alias("at"), F.lit(n).alias("template"), F.lit(label).alias("label"), _literals(words).alias("words"),
+                F.lit(need).alias("need"), F.lit(span).alias("span"), _literals(must).alias("must"), _literals(never).alias("never"),
             )
-            for n, label, words, need, span, prefix in self.rows for at, w in enumerate(prefix)
+            for n, label, words, need, span, prefix, must, never in self.rows for at, w in enumerate(prefix)
         ]
-        none = "array<struct<token:string,at:int,template:int,label:string,words:array<string>,need:int,span:int>>"
+        none = "array<struct<token:string,at:int,template:int,label:string,words:array<string>,need:int,span:int,must:array<string>,never:array<string>>>"
         return spark.range(1).select(F.inline(F.array(*rows) if rows else F.array().cast(none)))
 
 
 def word_frequency(docs: DataFrame, words: list[str]) -> dict[str, int]:
     """In how many documents each of the given words stands."""
-    held = F.array_intersect(F.split(spaced(F.col("text")), " "), _literals(words))
+    held = F.array_intersect(F.split("spaced", " "), _literals(words))
     counted = docs.select(F.explode(held).alias("w")).groupBy("w").count()
     return {r[0]: r[1] for r in counted.collect()}  # at most as many rows as words
 
@@ -140,81 +152,57 @@ def known_templates(docs: DataFrame, templates, threshold: float) -> Templates:
     return Templates(templates, threshold, word_frequency(docs, sorted({w for _, t in templates for w in template_words(t)})))
 
 
-def similar_blocks(docs: DataFrame, known: Templates) -> DataFrame:
-    """key columns, block (line number from 0), template, label, containment: every line that holds
-    at least threshold of a template's distinct words. docs: doc_id, content, text, spaced."""
-    spark = docs.sparkSession
+def similar_blocks(docs: DataFrame, known: Templates, block: int = BLOCK) -> DataFrame:
+    """key columns, template, label, containment: of each template the windows of words, whatever lines they cross, that hold
+    enough of its distinct words, all that it must hold and none that it must not. A window begins with a word of the template and
+    has window_length words. docs: doc_id, content, spaced.
+
+    Texts are cut into overlapping blocks of a bounded number of words. Prefix, length and positional filters find the templates
+    that a block may hold; only of those its windows are counted.
+    """
     prefix = _literals(known.prefix)
-    hits = docs.where(F.arrays_overlap(F.split("spaced", " "), prefix))
-    blocks = hits.select("doc_id", "content", F.posexplode(F.split("text", "\n")).alias("block", "line")).withColumn(
-        "held", F.array_intersect(_literals(known.universe), F.split(spaced(F.col("line")), " "))
-    )
+    step = max(1, block - known.longest + 1)
+    words = F.split("spaced", " ")
+    hits = docs.where(F.arrays_overlap(words, prefix)).withColumn("w", words)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(step))
+    blocks = hits.select("doc_id", "content", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i + 1, step + known.longest - 1))).alias("w"))
     # words outside the universe are in no template: `held`, in global order, is all that counts of a block
-    pairs = blocks.select("doc_id", "content", "block", "held", F.explode(F.array_intersect("held", prefix)).alias("token")).join(
-        F.broadcast(known.table(spark)), "token"
-    )
+    blocks = blocks.withColumn("held", F.array_intersect(_literals(known.universe), "w"))
+    pairs = blocks.select("doc_id", "content", "w", "held", F.explode(F.array_intersect("held", prefix)).alias("token")).join(F.broadcast(known.table(docs.sparkSession)), "token")
     place = F.array_position("held", F.col("token")) - 1
     # of the pair's first common word: no more can follow than either side still has
     first = F.get(F.array_intersect("held", "words"), F.lit(0)) == F.col("token")
     can = 1 + F.least(F.size("words") - F.col("at") - 1, F.size("held") - place - 1)
     near = pairs.where((F.size("held") >= F.col("need")) & first & (can >= F.col("need")))
-    common = F.size(F.array_intersect("held", "words"))
-    return near.where(common >= F.col("need")).select(
-        "doc_id", "content", "block", "template", "label", (common / F.size("words")).alias("containment")
-    )
+    near = near.where(F.size(F.array_intersect("held", "words")) >= F.col("need"))
+    begins = F.filter(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(step))), lambda k: F.array_contains("words", F.get("w", k - 1)))
 
+    def common(k: Column) -> Column:
+        own = F.slice("w", k, F.col("span"))
+        told = (F.size(F.array_intersect("must", own)) == F.size("must")) & (F.size(F.array_intersect("never", own)) == 0)
+        return F.when(told, F.size(F.array_intersect(own, F.col("words")))).otherwise(0)
 
-def wrapped_blocks(docs: DataFrame, known: Templates) -> DataFrame:
-    """key columns, template, label, containment of the word windows of a text, whatever lines they
-    cross, that hold at least threshold of a template's distinct words, and FEWEST of them. Its
-    length is window_length. docs: doc_id, content, text, spaced."""
-    words = F.split("spaced", " ")
-    hits = docs.where(F.contains("text", F.lit("\n")) & F.arrays_overlap(words, _literals(known.prefix)))
-    # every window with enough of the words holds a prefix word: only what is around those is looked at
-    places = F.filter(F.transform(F.col("w"), lambda x, i: F.struct(x.alias("token"), i.alias("i"))), lambda x: x["token"].isin(known.prefix))
-    reaches = F.create_map(*(F.lit(x) for pair in known.reach.items() for x in pair)) if known.reach else F.create_map(F.lit(""), F.lit(0))
-
-    def surroundings(x: Column) -> Column:
-        """The words on either side of a place that a block may reach."""
-        reach = F.element_at(reaches, x["token"])
-        before = F.least(x["i"], reach)
-        return F.struct(x["token"].alias("token"), before.alias("before"), F.slice(F.col("w"), x["i"] - before + 1, before + reach + 1).alias("near"))
-
-    around = F.transform(places, surroundings)
-    pairs = (
-        hits.select("doc_id", "content", words.alias("w"))
-        .select("doc_id", "content", F.inline(around))
-        .join(F.broadcast(known.table(docs.sparkSession)), "token")
-        .withColumn("before_own", F.least("before", F.col("span") - 1))
-        .withColumn("own", F.slice("near", F.col("before") - F.col("before_own") + 1, F.col("before_own") + F.col("span")))
-    )
-    need = F.greatest("need", F.lit(FEWEST))
-    some = pairs.where(F.size(F.array_intersect("own", "words")) >= need)
-    held = F.transform(F.sequence(F.lit(1), F.col("before_own") + 1), lambda k: F.size(F.array_intersect(F.slice("own", k, F.col("span")), F.col("words"))))
-    found = some.withColumn("common", F.array_max(held)).where(F.col("common") >= need)
+    found = near.withColumn("common", F.array_max(F.transform(begins, common))).where(F.col("common") >= F.col("need"))
     return found.select("doc_id", "content", "template", "label", (F.col("common") / F.size("words")).alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
-    labels joins the phrases' labels with those of templates that a line of the text holds, or a
-    bounded window of words where a notice is wrapped over lines; score
+    labels joins the phrases' labels with those of templates that a bounded window of words holds, in one line or over several; score
     is 1 where a phrase stands, else the largest containment found, else 0. Null and empty texts
     have no words and no labels (empty strings). Rows with a null doc_id and rows that share one are told apart by their text;
     repeated rows give equal rows; an empty table gives no rows.
     """
-    rows = docs.select("doc_id", "text", spaced(F.col("text")).alias("spaced"), F.xxhash64("text").alias("content"))
+    rows = docs.select("doc_id", spaced(F.col("text")).alias("spaced"), F.xxhash64("text").alias("content"))
     known = known_templates(rows, templates, threshold)
-    found = [f.select("doc_id", "content", "label", "containment") for f in (similar_blocks(rows, known), wrapped_blocks(rows, known))]
     matches = (
-        found[0]
-        .unionByName(found[1])
+        similar_blocks(rows, known)
         .groupBy("doc_id", "content")
         .agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
         .withColumnsRenamed({"doc_id": "m_id", "content": "m_content"})
     )
-    base = scan_phrases(rows).drop("text", "spaced")
+    base = scan_phrases(rows).drop("spaced")
     joined = base.join(matches, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("content") == F.col("m_content")), "left")
     every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))

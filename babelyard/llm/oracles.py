@@ -36,21 +36,24 @@ def license_scan(threshold: float = 0.8) -> str:
         places.append(f"list_filter(range(len(w)), lambda i: {test}) AS p{k}")
     every = "list_concat(" * (len(places) - 1) + "p0" + "".join(f", p{k})" for k in range(1, len(places)))
     labels = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.PHRASES))
-    templates = ", ".join(
-        f"({_text(label)}, [{', '.join(map(_text, licenses.template_words(text)))}], {licenses.window_length(text, threshold)})" for label, text in licenses.TEMPLATES
-    )
+    rows = []
+    for label, text in licenses.TEMPLATES:
+        own = licenses.template_words(text)
+        must, never = licenses.TOLD_BY.get(label, ((), ()))
+        lists = ", ".join(f"[{', '.join(map(_text, x))}]::VARCHAR[]" for x in (own, must, never))
+        rows.append(f"({_text(label)}, {lists}, {licenses.window_length(text, threshold)}, {licenses.needed(len(own), threshold)})")
+    templates = ", ".join(rows)
     joined = lambda x: f"coalesce(array_to_string(list_sort(list_distinct(list_filter({x}, lambda x: x IS NOT NULL))), ','), '')"
     return f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-        w AS (SELECT r, doc_id, contains(text, chr(10)) AS wrapped, {words('text')} AS w FROM d),
+        w AS (SELECT r, doc_id, {words('text')} AS w FROM d),
         p AS (SELECT r, doc_id, w, {', '.join(places)} FROM w),
         b AS (SELECT r, doc_id, len(w) AS n_words, {every} AS hits, [{labels}] AS base FROM p),
-        t AS (SELECT *, greatest({threshold} * len(words) - 1e-9, {licenses.FEWEST}) AS need FROM (VALUES {templates}) AS t(label, words, span)),
-        lines AS (SELECT DISTINCT r, {words('line')} AS held FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
-        m AS (SELECT r, label, len(list_intersect(words, held)) / len(words) AS share FROM lines, t WHERE len(list_intersect(words, held)) >= {threshold} * len(words) - 1e-9),
-        spans AS (SELECT r, label, words, need, w, span, unnest(range(len(w))) AS i FROM w, t WHERE wrapped AND len(list_intersect(words, w)) >= need),
-        n AS (SELECT r, label, len(list_intersect(words, w[i + 1 : i + span])) / len(words) AS share FROM spans WHERE len(list_intersect(words, w[i + 1 : i + span])) >= need),
-        g AS (SELECT r, list(label) AS more, max(share) AS best FROM (FROM m UNION ALL FROM n) GROUP BY r)
+        t AS (FROM (VALUES {templates}) AS t(label, words, must, never, span, need)),
+        spans AS (SELECT r, label, words, must, never, need, w[i + 1 : i + span] AS own FROM (SELECT r, t.*, w, unnest(range(len(w))) AS i FROM w, t WHERE len(list_intersect(words, w)) >= need) WHERE list_contains(words, w[i + 1])),
+        n AS (SELECT r, label, len(list_intersect(words, own)) / len(words) AS share FROM spans
+              WHERE len(list_intersect(words, own)) >= need AND len(list_intersect(must, own)) = len(must) AND len(list_intersect(never, own)) = 0),
+        g AS (SELECT r, list(label) AS more, max(share) AS best FROM n GROUP BY r)
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(hits) AS BIGINT) AS n_base, list_min(hits) AS first_word, list_max(hits) AS last_word,
                {joined('base')} AS base_labels, {joined("list_concat(base, coalesce(more, []))")} AS labels,
                CASE WHEN len(hits) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score

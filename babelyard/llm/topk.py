@@ -75,6 +75,14 @@ def tile_top(queries: pd.DataFrame, rows: pd.DataFrame, k: int, step: int = 512)
     return pd.DataFrame({"query_id": got[0], "part": part, "vec_id": got[1], "score": got[2]})
 
 
+def in_tiles(clean: DataFrame, tiles: int, k: int) -> DataFrame:
+    """Rows with their tile, part, which follows from id and values: neither an id nor a vector that many rows hold fills one
+    tile. Of rows that agree in both, k are kept: no list has room for more of them, and they are equal."""
+    counted = clean.groupBy("vec_id", "ints", "dim").agg(F.count("*").alias("n"))
+    rows = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k).cast("long"))))).drop("n", "copy")
+    return rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "ints"), F.lit(tiles)))
+
+
 def exact_topk(
     vectors: DataFrame,
     k: int = 5,
@@ -88,7 +96,7 @@ def exact_topk(
     """query_id, rank (from 1), vec_id, score: each query's k best rows by integer inner product.
 
     Queries are the rows whose id is divisible by query_every; candidates are all rows with
-    another id. Both sides are cut into blocks by a hash of the id, each (block, tile) pair is one
+    another id. Both sides are cut into blocks by a hash of id and values, each (block, tile) pair is one
     task's work of bounded size, and the lists of the tiles are merged fan_in at a time.
     Ties go to the smaller id. Rows with a null id and unusable vectors take no part; vectors are
     compared only with vectors of their length. Rows that repeat an id are candidates each (never
@@ -101,14 +109,11 @@ def exact_topk(
     asked = clean.where(F.pmod("vec_id", F.lit(query_every)) == 0)
     total, wanted = clean.agg(F.count("*"), F.count_if(F.pmod("vec_id", F.lit(query_every)) == 0)).first()
     tiles, blocks = max(1, math.ceil(total / tile_rows)), max(1, math.ceil(wanted / query_block))
-    # a row's place follows from its id and values, so a vector held by many rows is spread
-    rows = clean.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(tiles))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
+    rows = in_tiles(clean, tiles, k).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = (
         asked.dropDuplicates(["vec_id", "ints"])
         .withColumnRenamed("vec_id", "query_id")
-        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("query_id", "ints"), F.lit(blocks)).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
     )
     # names of their own: a cogroup of two forms of one table mixes up columns that both have

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from babelyard.llm import licenses
 
 
@@ -9,6 +11,17 @@ def words(text):
     return [w for w in re.split(licenses.APART, re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
 
 
+def windows(own, threshold):
+    """label, containment of every window of words that holds enough of a template."""
+    for label, template in licenses.TEMPLATES:
+        t, size = set(licenses.template_words(template)), licenses.window_length(template, threshold)
+        must, never = licenses.TOLD_BY.get(label, ((), ()))
+        for i in range(len(own)):
+            held = set(own[i : i + size])
+            if own[i] in t and len(t & held) >= (len(t) if len(t) < 10 else threshold * len(t) - 1e-9) and set(must) <= held and not held & set(never):
+                yield label, len(t & held) / len(t)
+
+
 def brute(text, threshold=0.8):
     own, at, labels = words(text), [], set()
     for phrase, label in licenses.PHRASES:
@@ -17,14 +30,9 @@ def brute(text, threshold=0.8):
         at += hits
         labels |= {label} if hits else set()
     more, best = set(), 0.0
-    for line in (text or "").split("\n"):
-        block = set(words(line))
-        for label, template in licenses.TEMPLATES:
-            t = set(licenses.template_words(template))
-            share = len(t & block) / len(t)
-            if share >= threshold:
-                more.add(label)
-                best = max(best, share)
+    for label, share in windows(own, threshold):
+        more.add(label)
+        best = max(best, share)
     return len(own), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | more)), 1.0 if at else best
 
 
@@ -87,20 +95,37 @@ def test_words_far_apart_are_no_notice(make_docs):
     assert [(r.labels, r.score) for r in licenses.scan_licenses(make_docs([scattered])).collect()] == [("", 0.0)]
 
 
-def window_brute(text, threshold):
-    own, out = words(text), {}
-    for label, template in licenses.TEMPLATES:
-        t, size = set(licenses.template_words(template)), licenses.window_length(template, threshold)
-        common = max((len(t & set(own[i : i + size])) for i in range(len(own))), default=0) if "\n" in text else 0
-        if common >= max(threshold * len(t) - 1e-9, licenses.FEWEST):
-            out[label] = max(out.get(label, 0), common / len(t))
-    return out
-
-
 def test_windows_against_brute_force(make_docs):
-    notices = [*WRAPPED.values(), "\n".join(WRAPPED.values()), "\n".join("x y " + w for w in WRAPPED["gpl"].split()), "\n".join(WRAPPED["mit"].split()[5:24])]
+    notices = [*WRAPPED.values(), "\n".join(WRAPPED.values()), " ".join(WRAPPED.values()), "\n".join("x y " + w for w in WRAPPED["gpl"].split()), "\n".join(WRAPPED["mit"].split()[5:24])]
     for threshold in (0.4, 0.8):
         for r in licenses.scan_licenses(make_docs(notices), threshold=threshold).collect():
-            plain, windows = brute(notices[r.doc_id], threshold), window_brute(notices[r.doc_id], threshold)
-            assert set(filter(None, r.labels.split(","))) == set(filter(None, plain[5].split(","))) | set(windows)
-            assert round(r.score, 9) == round(max([plain[6], *windows.values()]), 9)
+            want = brute(notices[r.doc_id], threshold)
+            assert (r.labels, round(r.score, 9)) == (want[5], round(want[6], 9))
+
+
+def labels(make_docs, *texts):
+    return [r.labels for r in licenses.scan_licenses(make_docs(list(texts))).orderBy("doc_id").collect()]
+
+
+def test_a_notice_names_its_own_licence_only(make_docs):
+    assert labels(
+        make_docs, "Released under the BSD License", "Released under the Apache License, see file", "Licensed under CC BY-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "the band released" + " word" * 3000 + " an album under" + " word" * 3000 + " and the license",
+        "Licensed under CC BY-NC-SA 4.0", "This work is licensed under the GNU Lesser General Public License, version 3", "Licensed under CC BY-NC 4.0", "This work is licensed under the GNU General Public License, version 3",
+    ) == ["", "apache", "cc-by", "", "", "cc-by", "", "cc-by,cc-by-nc-4.0", "gpl,gpl-3.0"]
+
+
+def test_blocks_overlap(make_docs, spark):
+    notice = WRAPPED["bsd"].split(" 1. ")[0]
+    texts = ["word " * n + notice + " word" * 300 for n in range(70, 130, 3)]
+    rows = make_docs(texts).selectExpr("doc_id", "text", "xxhash64(text) as content").withColumn("spaced", licenses.spaced(F.col("text")))
+    known = licenses.known_templates(rows, licenses.TEMPLATES, 0.8)
+    for block in (90, 120, 2048):
+        found = {(r.doc_id, r.label): r.containment for r in licenses.similar_blocks(rows, known, block).collect() if r.label == "bsd"}
+        assert found == {(k, "bsd"): 1.0 for k in range(len(texts))}
+
+
+def test_very_long_texts(make_docs):
+    """A million words in one line, of one template word, and of all words of one template beside it."""
+    texts = ["merchantability " * 1_000_000, "noninfringement\n" * 300_000, "word " * 500_000 + "Released under the MIT License"]
+    assert labels(make_docs, *texts) == ["", "", "mit"]

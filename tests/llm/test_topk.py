@@ -50,3 +50,15 @@ def test_large_components(spark):
     for one in ([3e12, 1.0], [1e300, 1.0]):
         with pytest.raises(Exception, match="64 bits"):
             topk.exact_topk(spark.createDataFrame([(0, one, "x"), (1, one, "x")], DOUBLES)).collect()
+
+
+def test_hot_id_and_hot_vector_are_spread(spark):
+    rng = random.Random(4)
+    rows = [(50, [rng.randint(-64, 64) / 256 for _ in range(4)], "x") for _ in range(400)]
+    rows += [(7, [0.5] * 4, "x")] * 200 + [(i, [0.25] * 4, "x") for i in range(300, 500)]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = topk.exact_topk(df, k=5, query_every=50, query_block=30, tile_rows=40, fan_in=2)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute(rows, 50, 5))
+    clean = df.select("vec_id", topk.quantise(df["embedding"]).alias("ints")).withColumn("dim", df["vec_id"] * 0 + 4)
+    sizes = [r["count"] for r in topk.in_tiles(clean, 20, 5).groupBy("part").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 70 and sum(sizes) == 605
