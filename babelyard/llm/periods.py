@@ -185,8 +185,9 @@ def periodic_runs(docs: DataFrame, min_exponent: int = MIN_EXPONENT, min_length:
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            texts = [t.split() for t in batch.column("text").to_pylist()]
-            yield _batch(batch.column("doc_id"), texts, runs_of(texts, min_exponent, min_length))
+            for piece in workers.pieces(batch, "text"):
+                texts = [t.split() for t in piece.column("text").to_pylist()]
+                yield _batch(piece.column("doc_id"), texts, runs_of(texts, min_exponent, min_length))
 
     def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:

@@ -50,6 +50,22 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
+def pieces(batch: Any, column: str, most_bytes: int = 1 << 22) -> Iterator[Any]:
+    """Slices of a record batch, in order, with few bytes of the column each; a longer text is a slice of its own. Lists of
+    words take many times the room of their text."""
+    import pyarrow.compute as pc
+
+    begin, held = 0, 0
+    for k, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        size = size or 0
+        if k > begin and held + size > most_bytes:
+            yield batch.slice(begin, k - begin)
+            begin, held = k, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """At most so many rows a batch for what is run inside; the session's own setting holds again afterwards."""
