@@ -278,10 +278,10 @@ def count_links(threshold: float, tolerance: float):
 
 
 def shingled(frames):
-    """For mapInPandas: (rep, n_docs, signature, text) to rep, n_docs, signature, hashes."""
+    """For mapInPandas: (rep, n_docs, signature, times, text) to rep, n_docs, signature, times, hashes."""
     for frame in frames:
         hashes = [shingles.shingle_set(t).tobytes() for t in frame["text"]]
-        yield frame[["rep", "n_docs", "signature"]].assign(hashes=hashes)
+        yield frame[["rep", "n_docs", "signature"]].assign(times=frame["times"].astype("Int64"), hashes=hashes)
 
 
 def differences(frames):
@@ -319,14 +319,18 @@ class JaccardJoin:
         return materialise(spread_join(keyed, shared.drop("n"), "key", "rep", counts=shared, total=seen["total"] or 0), "jaccard-buckets"), shared
 
     def read_sets(self, buckets: DataFrame) -> DataFrame:
-        """rep, n_docs, signature, hashes of every set that shares a bucket: the one time that texts are dealt by key."""
+        """rep, n_docs, signature, hashes of every set that shares a bucket: the one time that texts are dealt by key. Rows that
+        repeat a document are dealt over many parts and give equal rows, of which one is kept."""
+        key = F.struct("id", "content").alias("key")
+        repeated = self.rows.groupBy(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "content").agg(F.count("*").alias("times")).where("times > 1")
+        repeated = materialise(repeated.select(key, "times"), "jaccard-repeated")
         wanted = self.sets.join(buckets.select("rep").distinct(), "rep", "left_semi")
         wanted = wanted.select("rep", "n_docs", "signature", F.col("first.doc_id").alias("id"), F.col("first.content").alias("content"))
-        rows = self.docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("content"), "text")
-        if not self.rows.groupBy("doc_id", "content").count().where("count > 1").isEmpty():
-            rows = rows.dropDuplicates(["id", "content"])  # rows that repeat a document
-        got = rows.join(wanted, ["id", "content"]).select("rep", "n_docs", "signature", "text")
-        return materialise(got.mapInPandas(shingled, "rep long, n_docs long, signature binary, hashes binary"), "jaccard-hashes")
+        wanted = wanted.select("rep", "n_docs", "signature", key).join(repeated, "key", "left")
+        rows = self.docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("content"), "text", F.monotonically_increasing_id().alias("row"))
+        got = spread_join(rows.select(key, "text", "row"), wanted, "key", "row", counts=repeated.withColumnRenamed("times", "n"))
+        table = materialise(got.select("rep", "n_docs", "signature", "times", "text").mapInPandas(shingled, "rep long, n_docs long, signature binary, times long, hashes binary"), "jaccard-hashes")
+        return table.where("times is null").unionByName(table.where("times is not null").dropDuplicates(["rep"])).drop("times")
 
     def verify(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
         """The pairs (a, b) that stay after pruning and whose exact similarity reaches the threshold. Many pairs may share b."""
