@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from babelyard.functions import lookups as L
 from babelyard.functions.classes import directional_findings
 from babelyard.functions.text import component_path
+from babelyard.operators.rules import DEFAULT_RULES, Rule, all_fits, first_fit, points
 from babelyard.sources.html import PARSE_ERROR as UNPARSED
 from babelyard.sources import jsx
 
@@ -19,25 +20,25 @@ STRUCTURE = ("header", "nav", "main", "footer")
 META = ("viewport", "description", "keywords", "author")
 
 
-def penalties(spark: SparkSession, analyzer: str | None = None) -> DataFrame:
-    """analyzer, code, points, severity: a few dozen fixed rows."""
-    rows = [p for p in L.PENALTIES if analyzer in (None, p[0])]
+def penalties(spark: SparkSession, analyzer: str | None = None, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
+    """analyzer, code, points, severity: a few dozen rows, and those of a user's rules."""
+    rows = [p for p in points(rules) if analyzer in (None, p[0])]
     return spark.createDataFrame(rows, "analyzer string, code string, points int, severity string")
 
 
-def with_points(findings: DataFrame, analyzer: str) -> DataFrame:
+def with_points(findings: DataFrame, analyzer: str, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """Adds points and severity; a code that is not in the table costs nothing."""
-    own = penalties(findings.sparkSession, analyzer).drop("analyzer")
+    own = penalties(findings.sparkSession, analyzer, rules).drop("analyzer")
     return findings.join(F.broadcast(own), "code", "left").withColumn("points", F.coalesce("points", F.lit(0)))
 
 
-def scores(documents: DataFrame, findings: DataFrame, analyzer: str, key: str = "doc") -> DataFrame:
+def scores(documents: DataFrame, findings: DataFrame, analyzer: str, key: str = "doc", rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """key, score, n_findings of every document: 100 less the points of its findings, 0 at least.
 
     Points are never negative, so one bound at the end is the same as one at each step, and sums
     are taken before rows are dealt out.
     """
-    total = with_points(findings, analyzer).groupBy(key).agg(F.sum("points").alias("lost"), F.count("*").alias("n_findings"))
+    total = with_points(findings, analyzer, rules).groupBy(key).agg(F.sum("points").alias("lost"), F.count("*").alias("n_findings"))
     out = documents.select(key).join(total, key, "left")
     score = F.greatest(F.lit(0), 100 - F.coalesce("lost", F.lit(0))).cast("int")
     return out.select(key, score.alias("score"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
@@ -104,32 +105,18 @@ def html_findings_of_elements(pages: DataFrame, elements: DataFrame, key: str =
 # -- CSS ---------------------------------------------------------------------
 
 
-def css_rules(declarations: DataFrame) -> DataFrame:
+def css_rules(declarations: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """Adds code (or null) and fixed (array of struct(prop, value)) to declarations."""
-    prop, value, parts = F.col("prop"), F.col("value"), F.col("parts")
-    side = value.isin("left", "right")
-    one = lambda p, v: F.array(F.struct(p.alias("prop"), v.alias("value")))
-    code = F.when((prop == "text-align") & side, "FIX_TEXT_ALIGN").when((prop == "float") & side, "FIX_FLOAT")
-    fixed = F.when((prop == "text-align") & side, one(prop, F.when(value == "left", "start").otherwise("end")))
-    fixed = fixed.when((prop == "float") & side, one(prop, F.concat(F.lit("inline-"), F.when(value == "left", "start").otherwise("end"))))
-    for physical, logical, name in L.CSS_PROPS:
-        code = code.when(prop == physical, name)
-        fixed = fixed.when(prop == physical, one(F.lit(logical), value))
-    for name, logical in L.CSS_SHORTHANDS.items():
-        # a slash in a radius divides two lists of corners
-        four = (prop == name) & (F.size(parts) == 4) & ~(F.lit(name == "border-radius") & F.array_contains(parts, "/"))
-        code = code.when(four, f"FIX_{name.upper().replace('-', '_')}_SHORTHAND")
-        fixed = fixed.when(four, F.array(*(F.struct(F.lit(p).alias("prop"), F.get(parts, F.lit(k)).alias("value")) for k, p in enumerate(logical))))
-    return declarations.withColumn("code", code).withColumn("fixed", fixed)
-
-
-def css_findings(declarations: DataFrame) -> DataFrame:
-    return css_rules(declarations).where("code is not null").select(F.col("path").alias("doc"), "ordinal", "code")
-
-
-def css_edits(declarations: DataFrame) -> DataFrame:
+    return first_fit(declarations, rules)
+
+
+def css_findings(declarations: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
+    return css_rules(declarations, rules).where("code is not null").select(F.col("path").alias("doc"), "ordinal", "code")
+
+
+def css_edits(declarations: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """path, start, end, replacement of every declaration that a rule changes; !important stays."""
-    ruled = css_rules(declarations).where("code is not null")
+    ruled = css_rules(declarations, rules).where("fixed is not null")
     mark = F.when(F.col("important"), F.lit(" !important")).otherwise("")
     glue = F.concat(F.lit(";"), F.when(F.col("indent") == "", " ").otherwise(F.col("indent")))
     text = F.array_join(F.transform("fixed", lambda d: F.concat(d["prop"], F.lit(": "), d["value"], mark)), "\u0001")
@@ -138,23 +125,7 @@ def css_edits(declarations: DataFrame) -> DataFrame:
 
 # -- JSX ---------------------------------------------------------------------
 
-JSX_FINDINGS = "doc string, ordinal int, code string, args array<string>, tags array<string>"
-
-
-def _object_findings(own: jsx.Literal, is_style: bool) -> Iterator[tuple[str, list[str]]]:
-    for p in own.properties:
-        if p.key in L.JSX_STRICT:
-            if p.value not in L.JSX_LOGICAL:
-                yield "AVOID_PHYSICAL_PROP", [p.key]
-            continue
-        if p.key in L.JSX_AMBIGUOUS and is_style:
-            yield "AVOID_PHYSICAL_PROP", [p.key]
-        if p.key in ("textAlign", "text-align") and p.value in ("left", "right"):
-            yield "AVOID_TEXT_ALIGN", []
-        if p.key == "float" and p.value in ("left", "right"):
-            yield "AVOID_FLOAT", []
-        if p.key == "borderRadius" and p.value and len(p.value.split()) == 4:
-            yield "AVOID_BORDER_RADIUS_SHORTHAND", []
+JSX_PROPERTIES = "doc string, ordinal int, kind string, prop string, value string, style boolean, tags array<string>"
 
 
 def is_style(own: jsx.Literal) -> bool:
@@ -170,9 +141,9 @@ def all_elements(roots: list) -> Iterator[jsx.Element]:
             yield from all_elements([x for n in inner for x in (n.elements if isinstance(n, jsx.Expr) else [n])])
 
 
-def scan_components(files: DataFrame) -> DataFrame:
-    """doc, ordinal, code, args of every finding by object literals, and one row with tags (null code) a file.
-    A file that can't be read has the one finding PARSE_ERROR."""
+def read_properties(files: DataFrame) -> DataFrame:
+    """doc, ordinal, kind, prop, value, style of the properties of object literals (kind property), and one row with the tags
+    of a file (kind file), or without them if it can't be read (kind unreadable)."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -181,14 +152,23 @@ def scan_components(files: DataFrame) -> DataFrame:
                 try:
                     source = jsx.Source((content or "").replace("\r\n", "\n"))
                 except (SyntaxError, RecursionError):
-                    rows.append((path, 0, "PARSE_ERROR", [], []))
+                    rows.append((path, 0, "unreadable", None, None, None, []))
                     continue
-                found = [f for own in source.objects for f in _object_findings(own, is_style(own))]
-                rows += [(path, k, code, args, []) for k, (code, args) in enumerate(found)]
-                rows.append((path, len(found), None, [], sorted({e.name.lower() for e in all_elements(source.roots) if e.name})))
-            yield pd.DataFrame(rows, columns=["doc", "ordinal", "code", "args", "tags"])
+                found = [(p.key, p.value, style) for own in source.objects for style in [is_style(own)] for p in own.properties]
+                rows += [(path, k, "property", *p, []) for k, p in enumerate(found)]
+                rows.append((path, len(found), "file", None, None, None, sorted({e.name.lower() for e in all_elements(source.roots) if e.name})))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in JSX_PROPERTIES.split(", ")])
+
+    return files.select("path", "content").mapInPandas(scan, JSX_PROPERTIES)
 
-    return files.select("path", "content").mapInPandas(scan, JSX_FINDINGS)
+
+def scan_components(files: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
+    """doc, ordinal, code, args of every finding by object literals, and one row with tags (null code) a file.
+    A file that can't be read has the one finding PARSE_ERROR."""
+    codes = F.when(F.col("kind") == "property", all_fits(rules)).when(F.col("kind") == "unreadable", F.array(F.lit("PARSE_ERROR"))).otherwise(F.array(F.lit(None).cast("string")))
+    found = read_properties(files).select("doc", "ordinal", F.explode(codes).alias("code"), "prop", "tags")
+    args = F.when(F.col("code") == "AVOID_PHYSICAL_PROP", F.array("prop")).otherwise(F.array().cast("array<string>"))
+    return found.select("doc", "ordinal", "code", args.alias("args"), "tags")
 
 
 CLASS_VALUES = "doc string, ordinal int, value string, start int, end int, pattern string, dynamic boolean, safe_to_mirror boolean"
@@ -256,9 +236,9 @@ def read_class_values(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(scan, CLASS_VALUES)
 
 
-def jsx_findings(files: DataFrame) -> DataFrame:
+def jsx_findings(files: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """doc, code, args: object literals, class attributes, and the structure of an application's root file."""
-    scanned = scan_components(files)
+    scanned = scan_components(files, rules)
     objects = scanned.where("code is not null").select("doc", "code", "args")
     whole = read_class_values(files).where(F.col("pattern").isin("attribute", "string"))
     none = F.array().cast("array<string>")

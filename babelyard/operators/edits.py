@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from babelyard.sources import jsx
+from babelyard.sources.files import SCRIPTS
+
 
 def overlaps(edits: DataFrame, key: str = "path") -> DataFrame:
     """The edits that reach into the one that starts next after them; neighbours in order are enough to find them."""
@@ -39,3 +45,35 @@ def edit_files(files: DataFrame, edits: DataFrame) -> DataFrame:
         F.when(F.col("bad"), F.col("content")).otherwise(apply_edits(F.col("content"), own)).alias("content"),
         F.when(F.col("bad"), F.lit(None)).otherwise(F.size(own)).cast("int").alias("n_edits"),
     )
+
+
+def readable(text: str | None, ext: str) -> bool:
+    """Whether a component source can be parsed; other files always can."""
+    if ext not in SCRIPTS:
+        return True
+    try:
+        jsx.Source(text or "")
+    except (SyntaxError, RecursionError):
+        return False
+    return True
+
+
+def verify_edits(files: DataFrame, edited: DataFrame) -> DataFrame:
+    """path, content, n_edits, failed of all files after a second parse of those that were edited.
+
+    files: path, content; edited: what edit_files made of them. A file that could be read before its edits and can't any more goes back to
+    its old content, and so does one whose edits overlap; failed says so. What could not be read before is left as it is.
+    Each file is judged by itself, so one that fails stops no other.
+    """
+    both = files.select("path", F.col("content").alias("old")).join(edited.select("path", F.col("content").alias("new"), "n_edits"), "path")
+    changed = both.withColumn("changed", F.coalesce(F.col("n_edits"), F.lit(0)) > 0)
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ends = [p[p.rfind(".") :] if "." in p else "" for p in frame["path"]]
+            bad = [c and not readable(new, e) and readable(old, e) for old, new, c, e in zip(frame["old"], frame["new"], frame["changed"], ends, strict=True)]
+            yield frame[["path", "old", "new"]].assign(n_edits=frame["n_edits"].astype("Int32"), broken=bad)
+
+    judged = changed.mapInPandas(judge, "path string, old string, new string, n_edits int, broken boolean")
+    failed = F.col("broken") | F.col("n_edits").isNull()
+    return judged.select("path", F.when(failed, F.col("old")).otherwise(F.col("new")).alias("content"), F.when(failed, 0).otherwise(F.col("n_edits")).alias("n_edits"), failed.alias("failed"))

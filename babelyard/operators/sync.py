@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from babelyard.sources.scratch import written
+
 RESERVED = "_deprecated"
 
 
@@ -81,6 +83,40 @@ def value_edits(previous: DataFrame, current: DataFrame) -> DataFrame:
     return gone.join(hashed(previous, "new_hash"), "new_hash", "left_anti").select("path", "dot_path", "old_key", "new_key")
 
 
+def history_edits(snapshots: DataFrame) -> DataFrame:
+    """old_key, new_key, step of values that changed in place from a snapshot to the next one, as value_edits has it for two.
+    snapshots: step, path, dot_path, value; step is a snapshot's number, and the next one's is greater by one."""
+    old = snapshots.select("step", "path", "dot_path", F.col("value").alias("old_key"))
+    new = snapshots.select((F.col("step") - 1).alias("step"), "path", "dot_path", F.col("value").alias("new_key"))
+    changed = old.join(new, ["step", "path", "dot_path"]).where("old_key <> '' and old_key <> new_key")
+    # the values that are looked for are dealt by their hashes, so no text of the whole snapshots moves
+    held = snapshots.select("step", F.sha2("value", 256).alias("hash")).distinct()
+    changed = changed.withColumn("old_hash", F.sha2("old_key", 256)).withColumn("new_hash", F.sha2("new_key", 256))
+    gone = changed.join(held.select((F.col("step") - 1).alias("step"), F.col("hash").alias("old_hash")), ["step", "old_hash"], "left_anti")
+    fresh = gone.join(held.select("step", F.col("hash").alias("new_hash")), ["step", "new_hash"], "left_anti")
+    return fresh.groupBy("step", "old_key").agg(F.max("new_key").alias("new_key"))
+
+
+def moved_keys(edits: DataFrame) -> DataFrame:
+    """old_key, new_key: where each key has moved to in the end, over edits of many snapshots (old_key, new_key, step).
+
+    A move goes on with the first later move of its new key. Moves point to that one, and pointers are followed by
+    doubling: as many rounds as the logarithm of the longest chain. A key that comes back to its own name isn't moved.
+    """
+    moves = written(edits.select("step", "old_key", "new_key").groupBy("step", "old_key").agg(F.max("new_key").alias("new_key")), "moves")
+    # of each key and step one arrival, however many keys moved there
+    events = moves.select(F.col("new_key").alias("key"), "step", F.lit(None).cast(moves.schema["step"].dataType).alias("leaves")).distinct()
+    events = events.unionByName(moves.select(F.col("old_key").alias("key"), "step", F.col("step").alias("leaves")))
+    later = Window.partitionBy("key").orderBy("step").rangeBetween(1, Window.unboundedFollowing)
+    after = events.withColumn("next", F.min("leaves").over(later)).where("leaves is null").select(F.col("key").alias("new_key"), "step", "next")
+    table = written(moves.join(after, ["new_key", "step"]).select("old_key", "step", "new_key", "next"), "moves")
+    while not table.where("next is not null").isEmpty():
+        on = table.select(F.col("old_key").alias("via"), F.col("step").alias("at"), F.col("new_key").alias("onto"), F.col("next").alias("then"))
+        joined = table.join(on, (F.col("new_key") == F.col("via")) & (F.col("next") == F.col("at")), "left")
+        table = written(joined.select("old_key", "step", F.coalesce("onto", "new_key").alias("new_key"), F.col("then").alias("next")), "moves")
+    return table.groupBy("old_key").agg(F.min_by("new_key", "step").alias("new_key")).where("old_key <> new_key")
+
+
 def migrate(messages: DataFrame, edits: DataFrame, default: str) -> DataFrame:
     """messages with edited keys renamed: translations move to the new key, in the default locale the new text is the value.
     A key that already stands under the new name gives way to the moved one."""

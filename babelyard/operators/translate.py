@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from babelyard.functions.tokens import detokenize, tokenize, variables
 from babelyard.operators.ranks import numbered
 from babelyard.operators.sync import deep_merge
+from babelyard.sources.scratch import written
 
 BATCH = 100
 
@@ -71,15 +73,58 @@ def translate_texts(texts: DataFrame, provider: Provider, source: str) -> DataFr
     return texts.mapInPandas(run, schema)
 
 
-def translate_messages(messages: DataFrame, targets: list[str], source: str, provider: Provider) -> DataFrame:
+class TranslationMemory:
+    """Answers of providers, by source language, target language and the text's hash: written once, read ever after.
+
+    Each run adds a folder of its own with what it was answered; a folder counts when its write has ended, and none is changed. Of two
+    answers to one question (two runs at once) the least is read, so that every reading gives the same.
+    """
+
+    SCHEMA = "source string, target string, hash string, translated string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _runs(self) -> list[str]:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        system = folder.getFileSystem(conf)
+        if not system.exists(folder):
+            return []
+        runs = [str(s.getPath()) for s in system.listStatus(folder)]
+        return sorted(r for r in runs if system.exists(jvm.org.apache.hadoop.fs.Path(f"{r}/_SUCCESS")))
+
+    def answers(self, source: str) -> DataFrame:
+        """target, hash, translated."""
+        runs = self._runs()
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*runs) if runs else self.spark.createDataFrame([], self.SCHEMA)
+        return rows.where(F.col("source") == source).groupBy("target", "hash").agg(F.min("translated").alias("translated"))
+
+    def ask(self, texts: DataFrame, provider: Provider, source: str) -> DataFrame:
+        """target, text, translated, error of texts (target, text): known answers, and the provider's to the rest, which are kept
+        before they are returned. Errors and missing answers aren't kept, so the next run asks again."""
+        own = texts.withColumn("hash", F.sha2("text", 256))
+        known = own.join(self.answers(source), ["target", "hash"], "left")
+        new = written(translate_texts(known.where("translated is null").select("target", "text"), provider, source), "answers")
+        kept = new.where("translated is not null and error is null").select(F.lit(source).alias("source"), "target", F.sha2("text", 256).alias("hash"), "translated")
+        if not kept.isEmpty():
+            kept.write.parquet(f"{self.path}/run-{uuid.uuid4().hex}")
+        held = self.answers(source)
+        failed = new.where("translated is null or error is not null").select("target", F.sha2("text", 256).alias("hash"), "error")
+        return own.join(held, ["target", "hash"], "left").join(failed, ["target", "hash"], "left").select("target", "text", "translated", F.when(F.col("translated").isNull(), F.col("error")).alias("error"))
+
+
+def translate_messages(messages: DataFrame, targets: list[str], source: str, provider: Provider, memory: TranslationMemory | None = None) -> DataFrame:
     """locale, key, value, error for every target: variables become tags, equal texts are asked for once, answers get
-    their variables back, and a text without an answer stays as it is. Where the provider failed, value is null."""
+    their variables back, and a text without an answer stays as it is. Where the provider failed, value is null. With
+    a memory the provider is asked for texts only that it has no answer to."""
     own = flatten_messages(messages.where(F.col("locale") == source)).select("key", "value")
     own = own.withColumn("text", tokenize(F.col("value"))).withColumn("vars", variables(F.col("value")))
     wanted = F.array(*(F.lit(t) for t in targets if t != source)) if any(t != source for t in targets) else F.array().cast("array<string>")
     spread = own.withColumn("target", F.explode(wanted))
     asked = spread.select("target", "text").distinct()
-    answers = translate_texts(asked, provider, source).withColumnsRenamed({"target": "a_target", "text": "a_text"})
+    found = memory.ask(asked, provider, source) if memory else translate_texts(asked, provider, source)
+    answers = found.withColumnsRenamed({"target": "a_target", "text": "a_text"})
     joined = spread.join(answers, (F.col("target") == F.col("a_target")) & (F.col("text") == F.col("a_text")), "left")
     value = detokenize(F.coalesce("translated", "text"), F.col("vars"))
     return joined.select(F.col("target").alias("locale"), "key", F.when(F.col("error").isNull(), value).alias("value"), "error")
@@ -113,13 +158,13 @@ def payload(messages: DataFrame, source: str, keys: DataFrame) -> DataFrame:
     return found.select(F.lit(source).alias("locale"), "key", F.coalesce("value", F.call_function("get_json_object", F.col("nested"), path), "key").alias("value"))
 
 
-def run_translations(messages: DataFrame, targets: list[str], source: str, provider: Provider, delta_keys: DataFrame | None = None) -> DataFrame:
+def run_translations(messages: DataFrame, targets: list[str], source: str, provider: Provider, delta_keys: DataFrame | None = None, memory: TranslationMemory | None = None) -> DataFrame:
     """messages with new target locales: a full run replaces them, a delta run lays its answers over them. Where a
     provider failed, a locale keeps what it holds."""
     targets = [t for t in dict.fromkeys(targets) if t != source]
     before = messages.where(F.col("locale").isin(targets))
     if delta_keys is None:
-        new = kept_where_failed(translate_messages(messages, targets, source, provider), before)
+        new = kept_where_failed(translate_messages(messages, targets, source, provider, memory), before)
         return messages.where(~F.col("locale").isin(targets)).select("locale", "key", "value").unionByName(new)
-    new = kept_where_failed(translate_messages(payload(messages, source, delta_keys), targets, source, provider), before)
+    new = kept_where_failed(translate_messages(payload(messages, source, delta_keys), targets, source, provider, memory), before)
     return messages.where(~F.col("locale").isin(targets)).select("locale", "key", "value").unionByName(deep_merge(before.select("locale", "key", "value"), new))

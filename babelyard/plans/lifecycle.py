@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from babelyard.functions.classes import rewrite_value
 from babelyard.operators import audit, edits, extract, registry, sync
+from babelyard.operators.rules import DEFAULT_RULES, Rule
 from babelyard.operators.translate import Provider, run_translations
 from babelyard.sources import files as sources
 
@@ -37,11 +39,11 @@ def class_edits(files: DataFrame, v2: bool = False) -> DataFrame:
     return values.where("new.replacements > 0").select(F.col("doc").alias("path"), "start", "end", F.col("new.value").alias("replacement"))
 
 
-def audit_project(files: DataFrame) -> DataFrame:
-    """doc, analyzer, score, n_findings of style sheets and components."""
+def audit_project(files: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
+    """doc, analyzer, score, n_findings of style sheets and components, by the given rules."""
     css, code = files.where("ext = '.css'"), files.where(F.col("ext").isin(*sources.SCRIPTS))
-    sheets = audit.scores(css.select(F.col("path").alias("doc")), audit.css_findings(sources_css(css)), "css")
-    parts = audit.scores(code.select(F.col("path").alias("doc")), audit.jsx_findings(code), "jsx")
+    sheets = audit.scores(css.select(F.col("path").alias("doc")), audit.css_findings(sources_css(css), rules), "css", rules=rules)
+    parts = audit.scores(code.select(F.col("path").alias("doc")), audit.jsx_findings(code, rules), "jsx", rules=rules)
     return sheets.withColumn("analyzer", F.lit("css")).unionByName(parts.withColumn("analyzer", F.lit("jsx")))
 
 
@@ -51,9 +53,9 @@ def sources_css(files: DataFrame) -> DataFrame:
     return read_declarations(files)
 
 
-def fix_styles(files: DataFrame) -> DataFrame:
-    """Style sheets and components with logical properties: path, content, n_edits."""
-    css = audit.css_edits(sources_css(files.where("ext = '.css'")))
+def fix_styles(files: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
+    """Style sheets and components with logical properties: path, content, n_edits. Style sheets follow the given rules."""
+    css = audit.css_edits(sources_css(files.where("ext = '.css'")), rules)
     code = audit.read_style_edits(files.where(F.col("ext").isin(*sources.SCRIPTS)))
     return edits.edit_files(files.select("path", "content"), css.unionByName(code))
 

@@ -184,6 +184,39 @@ SQL: dict[str, str] = {
         WHERE token <> '' GROUP BY token""",
     "page_shown_attributes": """
         SELECT value, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, ' (?:placeholder|title|alt|aria-label)="([^"]+)"', 1)) AS value FROM pages) GROUP BY value""",
+    "css_fixed_text": f"""
+        WITH r AS (
+            SELECT p_partkey AS k, p_size || 'px' AS px, {_pick(SHEET_PROPS, 'p_partkey')} AS a, {_pick(['left', 'right', 'center'], 'p_partkey')} AS side,
+                   {_pick(['left', 'none', 'right'], 'p_partkey // 3')} AS fl, {_pick(['margin', 'padding', 'border-radius'], 'p_partkey')} AS sh FROM part
+        ), n AS (
+            SELECT *, CASE a {" ".join(f"WHEN '{p}' THEN '{n}'" for p, n, _ in L.CSS_PROPS)} END AS b, CASE WHEN k % 5 = 0 THEN ' !important' ELSE '' END AS mark,
+                   CASE sh {" ".join(f"WHEN '{p}' THEN [{', '.join(repr(x) for x in n)}]" for p, n in L.CSS_SHORTHANDS.items())} END AS parts FROM r
+        )
+        SELECT 'src/' || k || '.css' AS path, CAST((b IS NOT NULL)::INT + (side <> 'center')::INT + (fl <> 'none')::INT + (k % 2 = 0)::INT AS INTEGER) AS n_edits,
+               '.a {{ ' || coalesce(b, a) || ': ' || px || '; text-align: ' || CASE side WHEN 'left' THEN 'start' WHEN 'right' THEN 'end' ELSE side END
+               || '; float: ' || CASE fl WHEN 'none' THEN fl ELSE 'inline-' || CASE fl WHEN 'left' THEN 'start' ELSE 'end' END END || ' }}' || chr(10) || '.b {{ '
+               || CASE WHEN k % 2 = 0 THEN array_to_string(list_transform(list_zip(parts, ['1px', px, '3px', 'calc(1px + 2px)']), lambda x: x[1] || ': ' || x[2] || mark), '; ')
+                       ELSE sh || ': 1px ' || px || ' 3px' || mark END || '; }}' AS content FROM n""",
+    "user_rules": f"""
+        WITH {SHEETS}, c AS (SELECT code FROM codes WHERE code IS NOT NULL UNION ALL SELECT 'FIX_COLOR_LENGTH' FROM rows WHERE a = 'color')
+        SELECT code, CASE code WHEN 'FIX_COLOR_LENGTH' THEN 'critical' ELSE 'warning' END AS severity, count(*) AS n,
+               CAST(count(*) * CASE code WHEN 'FIX_COLOR_LENGTH' THEN 7 ELSE 5 END AS BIGINT) AS points FROM c GROUP BY code""",
+    "user_rules_fixed": f"""
+        SELECT 'src/' || p_partkey || '.css' AS path, 'font-size: ' || p_size || 'px; color: inherit' AS first FROM part WHERE {_pick(SHEET_PROPS, 'p_partkey')} = 'color'""",
+    "user_rules_components": """
+        SELECT code, count(*) AS n, CAST(count(*) * any_value(p) AS BIGINT) AS points
+        FROM conversations, (VALUES ('AVOID_PHYSICAL_PROP', 5), ('AVOID_BARE_NUMBER', 3)) AS r(code, p) WHERE text IS NOT NULL GROUP BY code""",
+    "verified_edits": r"""
+        WITH f AS (SELECT 'src/chats/Chat' || conv_id || 'x' || turn || '.jsx' AS path, conv_id % 10 = 0 AS failed,
+                          'Say ' || trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS t FROM conversations WHERE text IS NOT NULL)
+        SELECT path, failed, CAST(CASE WHEN failed THEN 0 ELSE 1 END AS INTEGER) AS n_edits,
+               sha256('export default function Chat() {' || chr(10) || '    return (' || chr(10) || '        <div className="ml-2 flex" style={{' || CASE WHEN failed THEN 'marginLeft' ELSE 'marginInlineStart' END
+               || ': 4}}>' || chr(10) || '            <h1>' || t || '</h1>' || chr(10) || '            <p>Dear {name}, ' || t || '</p>' || chr(10)
+               || '            <p>You have <strong>{count}</strong> mails</p>' || chr(10) || '            <p>{format(x)}!</p>' || chr(10)
+               || '            <img alt="A face" src="a.png" />' || chr(10) || '        </div>' || chr(10) || '    );' || chr(10) || '}' || chr(10)) AS content FROM f""",
+    "translation_memory": f"""
+        WITH m AS (SELECT CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) AS key, text, text IN (SELECT text FROM conversations WHERE conv_id % 2 = 0) AS held FROM conversations WHERE text IS NOT NULL)
+        SELECT l AS locale, key, CASE WHEN held THEN '[TEST_' || upper(l) || '] ' || text END AS value, NOT held AS failed FROM m, (SELECT unnest(['ar', 'es']) AS l)""",
     "css_findings_by_code": f"WITH {SHEETS} SELECT code, count(*) AS n FROM codes WHERE code IS NOT NULL GROUP BY code",
     "css_fixed": "SELECT 100 AS score, count(*) AS n FROM part HAVING count(*) > 0",
     "css_property_map": f"""
@@ -290,8 +323,14 @@ SQL: dict[str, str] = {
                CASE WHEN version = 4 AND k % 8 = 0 THEN 'src/index.css' ELSE '-' END AS css_entry_path, count(*) AS n FROM v GROUP BY ALL""",
     "project_frameworks": f"WITH {PROJECTS} SELECT k % 3 = 0 AND nxt IS NOT NULL AND (k % 2 = 0 OR k % 6 = 0) AS is_next, count(*) AS n FROM d GROUP BY ALL",
     "snapshot_history": """
-        WITH b AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE text IS NOT NULL)
-        SELECT conv_id, turn, text <> before AS changed FROM b WHERE before IS NOT NULL""",
+        WITH RECURSIVE c AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL),
+        e AS (SELECT a.turn AS step, a.text AS old, max(b.text) AS new FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+              WHERE a.text <> '' AND a.text <> b.text AND NOT EXISTS (SELECT 1 FROM c x WHERE x.turn = a.turn + 1 AND x.text = a.text)
+                AND NOT EXISTS (SELECT 1 FROM c x WHERE x.turn = a.turn AND x.text = b.text) GROUP BY 1, 2),
+        n AS (SELECT e.*, (SELECT min(f.step) FROM e f WHERE f.old = e.new AND f.step > e.step) AS next FROM e),
+        w AS (SELECT old AS start, new, next FROM n WHERE (old, step) IN (SELECT (old, min(step)) FROM n GROUP BY old)
+              UNION ALL SELECT w.start, n.new, n.next FROM w JOIN n ON n.old = w.new AND n.step = w.next)
+        SELECT start AS old_key, new AS new_key FROM w WHERE next IS NULL AND start <> new""",
     "class_report": """
         SELECT count(*) AS files_modified, count(*) AS classes_replaced, 0 AS dynamic, 0 AS needs_mirror
         FROM conversations WHERE text IS NOT NULL""",

@@ -15,9 +15,11 @@ from babelyard.functions import text as T
 from babelyard.functions.classes import rewrite_token, rewrite_value, utility, variants
 from babelyard.functions.tokens import detokenize, tokenize, variables
 from babelyard.operators import audit, edits, keys, registry, sync, translate
+from babelyard.operators.rules import DEFAULT_RULES, Rule
 from babelyard.sources.css import read_declarations
 from babelyard.sources.html import read_elements
 from babelyard.sources.jsontree import read_leaves
+from babelyard.sources.scratch import shared_folder
 
 DEFAULT = "en"
 
@@ -131,7 +133,6 @@ def incremental_sync(spark, sf_dir):
     """Two snapshots of a project through one call each: turns as components, of which every fourth conversation's come later
     only. In the second, every even turn's rewritten source has a paragraph more. Messages of both, by batch."""
     from babelyard.plans.lifecycle import Config
-    from babelyard.sources.scratch import shared_folder
     from babelyard.streaming.incremental import SyncStore, sync_batch
 
     own = _read(spark, sf_dir, "conversations").where("text is not null")
@@ -221,6 +222,40 @@ def css_fixed(spark, sf_dir):
     return scored.groupBy("score").agg(F.count("*").alias("n"))
 
 
+def css_fixed_text(spark, sf_dir):
+    """The sheets as the fixes leave them."""
+    sheets = _sheets(spark, sf_dir)
+    return edits.edit_files(sheets, audit.css_edits(read_declarations(sheets))).select("path", "content", "n_edits")
+
+
+#: A user's own rules beside the fixed ones: colours that are lengths, and any third of a pixel.
+USER_RULES = (
+    *DEFAULT_RULES,
+    Rule("css", "color", "value like '%px'", "FIX_COLOR_LENGTH", 7, "critical", "array(struct('font-size' as prop, value as value), struct('color' as prop, 'inherit' as value))"),
+    Rule("jsx", "marginLeft", "value is null", "AVOID_BARE_NUMBER", 3),
+)
+
+
+def user_rules(spark, sf_dir):
+    """Findings, points and fixes of the sheets by the fixed rules and a user's."""
+    own = read_declarations(_sheets(spark, sf_dir))
+    found = audit.with_points(audit.css_findings(own, USER_RULES), "css", USER_RULES)
+    return found.groupBy("code", "severity").agg(F.count("*").alias("n"), F.sum("points").alias("points"))
+
+
+def user_rules_fixed(spark, sf_dir):
+    """The first rule of each sheet that is a user's, set into it."""
+    sheets = _sheets(spark, sf_dir)
+    done = edits.edit_files(sheets, audit.css_edits(read_declarations(sheets), USER_RULES))
+    return done.where("content like '%inherit%'").select("path", F.regexp_extract("content", r"^\.a \{ (.*?); text-align", 1).alias("first"))
+
+
+def user_rules_components(spark, sf_dir):
+    """Points of components by the fixed rules and a user's."""
+    found = audit.with_points(audit.scan_components(_components(spark, sf_dir), USER_RULES).where("code is not null"), "jsx", USER_RULES)
+    return found.groupBy("code").agg(F.count("*").alias("n"), F.sum("points").alias("points"))
+
+
 def css_property_map(spark, sf_dir):
     """The rules over (property, value) rows, without a sheet around them."""
     p = _read(spark, sf_dir, "part")
@@ -368,6 +403,24 @@ def mock_translate_delta(spark, sf_dir):
     return translate.run_translations(m, ["ar"], DEFAULT, translate.MockProvider(), delta)
 
 
+class Silent:
+    """A provider that answers nothing."""
+
+    def translate_batch(self, texts: list[str], target: str, source: str) -> list[str | None]:
+        raise ConnectionError("no provider")
+
+
+def translation_memory(spark, sf_dir):
+    """Even conversations are translated once, then all of them by a provider that fails: the memory has the first."""
+    own = _read(spark, sf_dir, "conversations").where("text is not null")
+    key = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    messages = own.select(F.lit("en").alias("locale"), key.alias("key"), F.col("text").alias("value"), "conv_id")
+    memory = translate.TranslationMemory(spark, f"{shared_folder(spark)}/memory-{uuid.uuid4().hex}")
+    translate.translate_messages(messages.where("conv_id % 2 = 0").drop("conv_id"), ["ar", "es"], "en", translate.MockProvider(), memory).count()
+    again = translate.translate_messages(messages.drop("conv_id"), ["ar", "es"], "en", Silent(), memory)
+    return again.select("locale", "key", "value", F.col("error").isNotNull().alias("failed"))
+
+
 def translation_chunks(spark, sf_dir):
     c = _read(spark, sf_dir, "conversations").select("role", "conv_id", "turn")
     return translate.chunk_numbers(c, "role", "conv_id", "turn").groupBy("role", "chunk").agg(F.count("*").alias("n"), F.min("conv_id").alias("first_conv"))
@@ -451,6 +504,16 @@ def jsx_extract(spark, sf_dir):
     return with_keys(extract_units(_components(spark, sf_dir))).select("path", "pos", "kind", "value", "key", "reason")
 
 
+def verified_edits(spark, sf_dir):
+    """Components with their style fixes, of which every tenth conversation's have an edit that breaks them."""
+    files = _components(spark, sf_dir)
+    broken = files.where(r"path rlike '0x[0-9]+[.]jsx$'").select("path", (F.locate("</h1>", "content") - 1).cast("int").alias("start"))
+    breaking = broken.select("path", "start", (F.col("start") + 5).alias("end"), F.lit("</h2>").alias("replacement"))
+    styled = edits.edit_files(files.select("path", "content"), audit.read_style_edits(files).unionByName(breaking))
+    done = edits.verify_edits(files.select("path", "content"), styled)
+    return done.select("path", F.sha2("content", 256).alias("content"), "n_edits", "failed")
+
+
 def jsx_rewrite_scores(spark, sf_dir):
     """Components before and after the style fixes."""
     from babelyard.plans.lifecycle import audit_project, fix_styles
@@ -509,11 +572,10 @@ def project_frameworks(spark, sf_dir):
 
 
 def snapshot_history(spark, sf_dir):
-    """Each turn beside the one before it."""
-    c = _read(spark, sf_dir, "conversations").where("text is not null")
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = c.select("conv_id", "turn", "text", before.alias("before"))
-    return rows.where("before is not null").select("conv_id", "turn", (F.col("text") != F.col("before")).alias("changed"))
+    """Turns as snapshots of a value for each conversation: where every text has moved to in the end."""
+    own = _read(spark, sf_dir, "conversations").where("text is not null")
+    snapshots = own.select(F.col("turn").alias("step"), F.col("conv_id").cast("string").alias("path"), F.lit("v").alias("dot_path"), F.col("text").alias("value"))
+    return sync.moved_keys(sync.history_edits(snapshots))
 
 
 QUERIES = {
@@ -521,11 +583,11 @@ QUERIES = {
     for f in (
         coverage_by_lang, reconciliation_report, new_keys, orphan_keys, missing_keys, write_back_pruned, seed_locales, last_wins, value_edits,
         migrated_messages, delta_merge, incremental_changed, incremental_sync, html_findings_by_code, html_score_histogram, html_found_tags, html_scores_parsed,
-        page_class_tokens, page_shown_attributes, css_findings_by_code, css_fixed, css_property_map, class_token_rewrite, class_variants,
+        page_class_tokens, page_shown_attributes, css_findings_by_code, css_fixed, css_fixed_text, user_rules, user_rules_fixed, user_rules_components, css_property_map, class_token_rewrite, class_variants,
         class_value_rewrite, class_findings, classify_words_by_lang, text_slug_keys, text_hash_prefix, duplicate_text_keys, collision_counters,
         key_allocation, namespaces, element_roles, sibling_index, locale_dir, token_roundtrip, mock_translate, mock_translate_delta,
-        translation_chunks, answers_by_position, promote_insert_only, registry_values_per_file, props_flatten, edit_overlap, edit_first_of_range,
-        edit_apply, jsx_extract, jsx_rewrite_scores, class_report, project_adapter, project_environment, project_tailwind, project_frameworks,
+        translation_memory, translation_chunks, answers_by_position, promote_insert_only, registry_values_per_file, props_flatten, edit_overlap, edit_first_of_range,
+        edit_apply, jsx_extract, verified_edits, jsx_rewrite_scores, class_report, project_adapter, project_environment, project_tailwind, project_frameworks,
         snapshot_history,
     )
 }
