@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from babelyard.functions import lookups as L
-from babelyard.functions.text import slug, text_hash
+from babelyard.functions.text import in_data_folder, slug, text_hash
 from babelyard.operators.ranks import numbered
 from babelyard.sources.scratch import written
 
@@ -205,7 +205,5 @@ def next_key_map(allocated: DataFrame, key_map: DataFrame | None = None) -> Data
 
 def guard_data_folder(path: Column, value: Column) -> Column:
     """value, or an error for a path in a data folder: keys of data files come from their values only."""
-    from babelyard.functions.text import in_data_folder
-
     message = F.concat(F.lit("Data-promoted keys must never be passed to the key generator: "), path)
-    return F.when(in_data_folder(path), F.raise_error(message)).otherwise(value)
+    return F.when(in_data_folder(path), F.raise_error(message).cast("string")).otherwise(value)
