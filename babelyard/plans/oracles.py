@@ -129,6 +129,14 @@ PROJECTS = """
     )
 """
 
+ADAPTER = """CASE
+            WHEN k % 13 = 0 THEN ['next-i18next', 'flag', '-'] WHEN k % 17 = 0 THEN ['-', '-', 'Invalid --adapter value']
+            WHEN intl AND NOT i18n THEN ['next-intl', 'dependency', '-'] WHEN i18n AND NOT intl THEN ['next-i18next', 'dependency', '-']
+            WHEN intl AND i18n THEN ['-', '-', 'Ambiguous project: both packages are dependencies']
+            WHEN app AND NOT pgs THEN ['next-intl', 'app directory', '-'] WHEN pgs AND NOT app THEN ['next-i18next', 'pages directory', '-']
+            WHEN app AND pgs THEN ['-', '-', 'Ambiguous project: both app/ and pages/ exist']
+            WHEN k % 11 = 0 THEN ['next-intl', 'appDir in configuration', '-'] ELSE ['-', '-', 'Detection failed or is ambiguous'] END"""
+
 SQL: dict[str, str] = {
     "coverage_by_lang": f"""
         WITH {CATALOGUE}, {CELLS.format(semi="")}
@@ -305,14 +313,16 @@ SQL: dict[str, str] = {
         WITH b AS (SELECT doc_id, substr(text, 1, 10) || '<B>' || substr(text, 11) AS t FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, sha256(substr(t, 1, 2) || '<A>' || substr(t, 5)) AS edited FROM b""",
     "project_adapter": f"""
-        WITH {PROJECTS}, v AS (SELECT CASE
-            WHEN k % 13 = 0 THEN ['next-i18next', 'flag', '-'] WHEN k % 17 = 0 THEN ['-', '-', 'Invalid --adapter value']
-            WHEN intl AND NOT i18n THEN ['next-intl', 'dependency', '-'] WHEN i18n AND NOT intl THEN ['next-i18next', 'dependency', '-']
-            WHEN intl AND i18n THEN ['-', '-', 'Ambiguous project: both packages are dependencies']
-            WHEN app AND NOT pgs THEN ['next-intl', 'app directory', '-'] WHEN pgs AND NOT app THEN ['next-i18next', 'pages directory', '-']
-            WHEN app AND pgs THEN ['-', '-', 'Ambiguous project: both app/ and pages/ exist']
-            WHEN k % 11 = 0 THEN ['next-intl', 'appDir in configuration', '-'] ELSE ['-', '-', 'Detection failed or is ambiguous'] END AS v FROM d)
+        WITH {PROJECTS}, v AS (SELECT {ADAPTER} AS v FROM d)
         SELECT v[1] AS name, v[2] AS reason, v[3] AS error, count(*) AS n FROM v GROUP BY ALL""",
+    "catalogue_paths": f"""
+        WITH {PROJECTS}, v AS (SELECT k, {ADAPTER} AS v FROM d),
+        f AS (SELECT k, unnest(CASE v[1] WHEN 'next-i18next' THEN ['src/i18n/messages/en.json', 'public/locales/en/common.json'] ELSE ['src/i18n/messages/en.json'] END) AS file FROM v)
+        SELECT k || '/' || file AS file, 'en' AS locale, 'customer' AS key, c_name AS value FROM f JOIN customer ON c_custkey = k""",
+    "catalogue_files": """
+        SELECT replace(template, '*', lang) AS file, lang AS locale, CAST(doc_id AS VARCHAR) AS key, sha256(max(text)) AS value_hash
+        FROM documents, (VALUES ('src/i18n/messages/*.json'), ('public/locales/*/common.json')) t(template)
+        WHERE regexp_full_match(lang, '[A-Za-z0-9]+([-_][A-Za-z0-9]+)*') AND doc_id IS NOT NULL GROUP BY ALL""",
     "project_environment": f"""
         WITH {PROJECTS}, s AS (SELECT nxt, CASE WHEN react = '^15.1.0' THEN 'unsupported' WHEN ts = '^4.9' THEN 'legacy' ELSE 'supported' END AS status FROM d)
         SELECT status, CASE status WHEN 'legacy' THEN '^22.5.1' WHEN 'supported' THEN 'latest' ELSE '-' END AS i18next,

@@ -16,6 +16,7 @@ from babelyard.functions.classes import rewrite_token, rewrite_value, utility, v
 from babelyard.functions.tokens import detokenize, tokenize, variables
 from babelyard.operators import audit, edits, keys, registry, sync, translate
 from babelyard.operators.rules import DEFAULT_RULES, Rule
+from babelyard.sources import catalogues
 from babelyard.sources.css import read_declarations
 from babelyard.sources.html import read_elements
 from babelyard.sources.jsontree import read_leaves
@@ -552,6 +553,24 @@ def project_adapter(spark, sf_dir):
     return facts.adapter(_projects(spark, sf_dir)).groupBy(F.coalesce("name", F.lit("-")).alias("name"), F.coalesce("reason", F.lit("-")).alias("reason"), F.coalesce("error", F.lit("-")).alias("error")).agg(F.count("*").alias("n"))
 
 
+def catalogue_paths(spark, sf_dir):
+    """The files that a message of each project goes to, by the project's adapter."""
+    from babelyard.plans import facts
+
+    own = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("project"), F.lit("en").alias("locale"), F.lit("customer").alias("key"), F.col("c_name").alias("value"))
+    return catalogues.with_paths(own, facts.adapter(_projects(spark, sf_dir)))
+
+
+def catalogue_files(spark, sf_dir):
+    """Every document as a message of its language: a project's catalogue, written as files in both places and read back."""
+    docs = _read(spark, sf_dir, "documents")
+    messages = docs.select(F.lit("").alias("project"), F.col("lang").alias("locale"), F.col("doc_id").cast("string").alias("key"), F.col("text").alias("value"))
+    adapters = spark.createDataFrame([("", "next-i18next")], "project string, name string")
+    root = f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
+    done = catalogues.write_catalogues(catalogues.with_paths(messages, adapters), root)
+    return catalogues.read_catalogues(spark, root, done).select("file", "locale", "key", F.sha2("value", 256).alias("value_hash"))
+
+
 def project_environment(spark, sf_dir):
     from babelyard.plans import facts
 
@@ -587,7 +606,7 @@ QUERIES = {
         class_value_rewrite, class_findings, classify_words_by_lang, text_slug_keys, text_hash_prefix, duplicate_text_keys, collision_counters,
         key_allocation, namespaces, element_roles, sibling_index, locale_dir, token_roundtrip, mock_translate, mock_translate_delta,
         translation_memory, translation_chunks, answers_by_position, promote_insert_only, registry_values_per_file, props_flatten, edit_overlap, edit_first_of_range,
-        edit_apply, jsx_extract, verified_edits, jsx_rewrite_scores, class_report, project_adapter, project_environment, project_tailwind, project_frameworks,
+        edit_apply, jsx_extract, verified_edits, jsx_rewrite_scores, class_report, project_adapter, catalogue_paths, catalogue_files, project_environment, project_tailwind, project_frameworks,
         snapshot_history,
     )
 }

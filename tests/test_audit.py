@@ -11,7 +11,7 @@ from babelyard.functions.classes import rewrite_value
 from babelyard.operators import audit, registry
 from babelyard.plans import facts
 from babelyard.plans.lifecycle import audit_project, class_edits, fix_styles
-from babelyard.sources import css, files, html, jsontree, sinks
+from babelyard.sources import css, files, html, jsontree
 from babelyard.sources.html import read_elements
 
 FILES = "path string, ext string, content string"
@@ -152,17 +152,6 @@ def test_walks(spark, tmp_path):
     assert {r.content for r in own.collect()} == {"x\ny"}
 
 
-def test_message_files(spark, tmp_path):
-    m = spark.createDataFrame([("en", "b", "B"), ("en", "a", "A"), ("ar", "a", "")], "locale string, key string, value string")
-    sinks.write_messages(m, f"file://{tmp_path}/out")
-    text = next((tmp_path / "out" / "locale=en").glob("*.txt")).read_text()
-    assert text.index('"a"') < text.index('"b"')
-    back = files.read_messages(spark.createDataFrame([("src/i18n/messages/en.json", ".json", text), ("src/i18n/messages/de.json", ".json", "nope")], FILES))
-    assert {(r.locale, r.key, r.value) for r in back.collect()} == {("en", "a", "A"), ("en", "b", "B")}
-    locales = spark.createDataFrame([("en",), ("de",)], "code string")
-    assert [r.code for r in sinks.missing_locale_files(locales, m).collect()] == ["de"]
-
-
 def test_locale_modules(spark):
     text = "export const locales = [\n { code: 'en', label: 'English', dir: 'ltr' },\n { code: \"ar\" },\n];\nexport const defaultLocale = 'en';"
     got = files.read_locales(spark.createDataFrame([("src/i18n/locales.ts", ".ts", text)], FILES))
