@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+import xxhash
 
 from babelyard.llm import sharding
 
@@ -108,3 +111,74 @@ def test_places_of_chunks(spark, make_docs):
     got = sharding._numbered(rows, counts, rows=10).collect()
     for (slot, _), n in counts.items():
         assert sorted(r.slot for r in got if r.virtual_slot == slot) == list(range(n))
+
+
+def spark_hash(data: bytes, seed: int = 42) -> int:
+    """Spark's xxhash64, signed."""
+    h = xxhash.xxh64_intdigest(data, seed % 2**64)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def emptiest(held: list[int]) -> int:
+    return held.index(min(held))
+
+
+def plain_shards(docs: list[tuple], n_shards: int, slots: int, next_shards: int) -> list[tuple]:
+    """(doc_id, size, crc32, virtual slot, sub, shard, place, next shard) by one pass after another over lists; no text may hold more than a share."""
+    rows = []
+    for doc_id, text in docs:
+        raw = (text or "").encode()
+        rows.append((doc_id, len(raw) + 16, zlib.crc32(raw), spark_hash(raw)))
+    limit = max(1, sum(r[1] for r in rows) // (n_shards * 4))
+    by_slot, by_text = Counter(), Counter()
+    for _, size, _, h in rows:
+        by_slot[h % slots] += size
+        by_text[h] += size
+    assert max(by_text.values()) <= sum(by_slot.values()) / n_shards
+    alone, spread = {}, {}
+    for slot, size in by_slot.items():
+        large = sorted(h for h in by_text if h % slots == slot and by_text[h] > limit)
+        spread[slot] = max(1, math.ceil((size - sum(by_text[h] for h in large)) / limit))
+        alone |= {h: spread[slot] + k for k, h in enumerate(large)}
+
+    def cell(h: int) -> tuple[int, int]:
+        mixed = spark_hash((17).to_bytes(4, "little"), spark_hash(h.to_bytes(8, "little", signed=True)))
+        return h % slots, alone.get(h, mixed % spread[h % slots])
+
+    sizes, members = Counter(), defaultdict(list)
+    for r in rows:
+        sizes[cell(r[3])] += r[1]
+        members[cell(r[3])].append(r)
+    shard, held = {}, [0] * n_shards
+    for c in sorted(sizes, key=lambda c: (-sizes[c], c)):
+        shard[c] = emptiest(held)
+        held[shard[c]] += sizes[c]
+    most, later, moving = sum(held) / next_shards * 1.02, {}, []
+    held = [*held, *[0] * (next_shards - n_shards)]
+    for c in sorted(sizes, key=lambda c: (sizes[c], c)):
+        if held[shard[c]] > most:
+            held[shard[c]] -= sizes[c]
+            moving.append(c)
+        else:
+            later[c] = shard[c]
+    for c in sorted(moving, key=lambda c: (-sizes[c], c)):
+        later[c] = emptiest(held)
+        held[later[c]] += sizes[c]
+    out, places = [], Counter()
+    for c in sorted(members):
+        for doc_id, size, crc, _ in sorted(members[c], key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1])):
+            out.append((doc_id, size, crc, *c, shard[c], places[shard[c]], later[c]))
+            places[shard[c]] += 1
+    return out
+
+
+def test_against_plain_lists(spark, make_docs):
+    """Whole tables, a group of copies near a share, null and empty texts, repeated rows, and slots that many texts share."""
+    table = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    total = sum(len((t or "").encode()) for _, t in table)
+    copies = [(10**6 + k, "a copied text " * 100) for k in range(total // 1400 // 9)]
+    odd = [(None, None), (None, ""), (5, "x"), (5, "x"), (None, "no id"), (-3, "اسم 😀")]
+    for rows, slots in ((table, 4096), (table + copies + odd, 4096), (table + odd, 5)):
+        got = sharding.shard_documents(make_docs(rows), n_shards=8, slots=slots, next_shards=9)
+        got = [(r.doc_id, r.size, r.text_crc32, r.virtual_slot, r.sub, r.shard, r.slot, r.next_shard) for r in got.collect()]
+        assert Counter(got) == Counter(plain_shards(rows, 8, slots, 9))
