@@ -82,6 +82,12 @@ def html_found_tags(html: Column) -> Column:
     return F.filter(F.array(*(F.when(_tag(html, t), F.lit(t)) for t in STRUCTURE)), lambda x: x.isNotNull())
 
 
+def shown_attributes(elements: DataFrame) -> DataFrame:
+    """doc, ordinal, tag, name, value: the attributes of parsed elements (read_elements) that a reader sees, unless they are empty or blank."""
+    rows = elements.select("doc", "ordinal", "tag", F.explode("attrs").alias("name", "value"))
+    return rows.where(F.col("name").isin(*L.SHOWN_ATTRIBUTES) & F.col("value").rlike(r"\S"))
+
+
 def html_findings_of_elements(pages: DataFrame, elements: DataFrame, key: str = "doc") -> DataFrame:
     """key, code by the parsed elements (read_elements): the exact form of html_findings for main pages. A page that
     can't be parsed has the one finding PARSE_ERROR."""

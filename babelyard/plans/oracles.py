@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from babelyard.functions import lookups as L
 
-KEY = "source || '-' || CAST(n_chars // 500 AS VARCHAR)"
-CATALOGUE = f"""
-    messages AS (
-        SELECT lang AS locale, {KEY} AS key, arg_min(text, doc_id) AS value FROM documents
-        WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL GROUP BY 1, 2
-    ), valid AS (
-        SELECT DISTINCT {KEY} AS key FROM documents
-        WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels)
+CATALOGUE = """
+    own AS (
+        SELECT doc_id, lang AS locale, text AS value,
+               source || '-' || CAST(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id NULLS FIRST, sha256(text) NULLS FIRST) AS VARCHAR) AS key
+        FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL
+    ), messages AS (SELECT locale, key, value FROM own
+    ), valid AS (SELECT DISTINCT CASE WHEN doc_id % 5 = 0 THEN key || '.new' ELSE key END AS key FROM own WHERE doc_id IN (SELECT doc_id FROM labels)
     ), locales AS (SELECT DISTINCT locale FROM messages)
 """
 CELLS = """
@@ -137,6 +136,8 @@ ADAPTER = """CASE
             WHEN app AND pgs THEN ['-', '-', 'Ambiguous project: both app/ and pages/ exist']
             WHEN k % 11 = 0 THEN ['next-intl', 'appDir in configuration', '-'] ELSE ['-', '-', 'Detection failed or is ambiguous'] END"""
 
+ATTRIBUTE = """'(?i) (placeholder|title|alt|aria-label)=(?:"([^"]+)"|''([^'']+)'')'"""
+
 SQL: dict[str, str] = {
     "coverage_by_lang": f"""
         WITH {CATALOGUE}, {CELLS.format(semi="")}
@@ -190,8 +191,20 @@ SQL: dict[str, str] = {
     "page_class_tokens": """
         SELECT token, count(*) AS n FROM (SELECT unnest(string_split(v, ' ')) AS token FROM (SELECT unnest(regexp_extract_all(html, 'class="([^"]*)"', 1)) AS v FROM pages))
         WHERE token <> '' GROUP BY token""",
-    "page_shown_attributes": """
-        SELECT value, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, ' (?:placeholder|title|alt|aria-label)="([^"]+)"', 1)) AS value FROM pages) GROUP BY value""",
+    "page_shown_attributes": rf"""
+        WITH u AS (SELECT html, regexp_replace(url, '[{{}}<>&"''`\\]', '', 'g') AS u FROM pages WHERE html IS NOT NULL AND url IS NOT NULL),
+        p AS (SELECT replace(html, '<body>', '<body><img alt="Page ' || u || '" src=x ARIA-LABEL=''Show ' || u || '''>') AS h FROM u),
+        a AS (SELECT unnest(regexp_extract_all(h, {ATTRIBUTE}, 1)) AS name, unnest(regexp_extract_all(h, {ATTRIBUTE}, 2)) AS v, unnest(regexp_extract_all(h, {ATTRIBUTE}, 3)) AS w FROM p)
+        SELECT lower(name) AS name, coalesce(v, '') || coalesce(w, '') AS value, count(*) AS n FROM a GROUP BY 1, 2""",
+    "page_headings": """
+        SELECT page_id AS doc, page_id % 7 = 0 AS failed, CASE WHEN page_id % 7 = 0 THEN 0 ELSE len(regexp_extract_all(html, '<h[123][ >]')) END AS headings,
+               CASE WHEN page_id % 7 = 0 THEN 0 ELSE len(regexp_extract_all(html, '<a[ >]')) END AS links FROM pages WHERE html IS NOT NULL""",
+    "pruned_scan": "SELECT doc_id, sha256(text) AS text_hash FROM documents WHERE lang IS DISTINCT FROM 'de' AND doc_id IS NOT NULL",
+    "static_keys": """
+        SELECT key, count(*) AS n FROM (SELECT unnest(['chat.' || role, 'rich.' || turn]) AS key FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL) GROUP BY key""",
+    "language_arrays": """
+        SELECT 'src/a' || c_custkey || '.js' AS path, ['[''en'', ''ar'']', '[ "en" ,"ar" ]', NULL, NULL, '[''en'',' || chr(10) || ' ''ar'']'][1 + c_custkey % 5] AS found
+        FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 5 NOT IN (2, 3)""",
     "css_fixed_text": f"""
         WITH r AS (
             SELECT p_partkey AS k, p_size || 'px' AS px, {_pick(SHEET_PROPS, 'p_partkey')} AS a, {_pick(['left', 'right', 'center'], 'p_partkey')} AS side,

@@ -1,6 +1,6 @@
 """Queries over the supplied tables, one for each operator that they can show, and their SQL.
 
-Languages stand for locales, (source, length) for message keys, turns of a conversation for snapshots.
+Languages stand for locales, (source, number) for message keys, turns of a conversation for snapshots.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from babelyard.functions import text as T
 from babelyard.functions.classes import rewrite_token, rewrite_value, utility, variants
 from babelyard.functions.tokens import detokenize, tokenize, variables
 from babelyard.operators import audit, edits, keys, registry, sync, translate
+from babelyard.operators.ranks import numbered
 from babelyard.operators.rules import DEFAULT_RULES, Rule
 from babelyard.sources import catalogues
 from babelyard.sources.css import read_declarations
-from babelyard.sources.html import read_elements
+from babelyard.sources.html import PARSE_ERROR, read_elements
 from babelyard.sources.jsontree import read_leaves
 from babelyard.sources.scratch import shared_folder
+from babelyard.sources.trees import list_tree, read_contents
 
 DEFAULT = "en"
 
@@ -29,19 +31,21 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One message for each language and key: the shortest identifier's text."""
-    docs = _read(spark, sf_dir, "documents").where("lang is not null and source is not null and n_chars is not null")
-    key = F.concat_ws("-", "source", F.expr("n_chars div 500").cast("string"))
-    named = docs.select(F.col("lang").alias("locale"), key.alias("key"), "doc_id", "text")
-    return named.groupBy("locale", "key").agg(F.min_by("text", "doc_id").alias("value"))
+def _catalogue(spark: SparkSession, sf_dir: str, value: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Messages, one for each document: its key is its number among those of its language and source. And the valid keys,
+    which are those of labelled documents; every fifth of them asks for a key that no language has yet. value: what a message holds, where the whole text isn't needed."""
+    docs = _read(spark, sf_dir, "documents").where("lang is not null and source is not null")
+    rows = docs.select(F.col("lang").alias("locale"), "source", "doc_id", F.sha2("text", 256).alias("sha"), (F.col("text") if value is None else value).alias("value"))
+    rows = numbered(rows, ["locale", "source"], ["doc_id", "sha"])
+    rows = rows.select("doc_id", "locale", F.concat_ws("-", "source", F.col("n").cast("string")).alias("key"), "value")
+    labelled = _read(spark, sf_dir, "labels").select("doc_id")
+    asked = rows.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat("key", F.lit(".new"))).otherwise(F.col("key")).alias("key"))
+    return rows.drop("doc_id"), asked.join(labelled, "doc_id", "left_semi").select("key").distinct()
 
 
-def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of labelled documents."""
-    docs = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    docs = docs.where("lang is not null and source is not null and n_chars is not null")
-    return docs.select(F.concat_ws("-", "source", F.expr("n_chars div 500").cast("string")).alias("key")).distinct()
+def _filled() -> Column:
+    """What coverage asks of a text: whether there is any."""
+    return F.when(F.col("text") == "", "").when(F.col("text").isNotNull(), "x")
 
 
 def _locales(messages: DataFrame) -> list[str]:
@@ -53,36 +57,39 @@ def _locales(messages: DataFrame) -> list[str]:
 
 
 def coverage_by_lang(spark, sf_dir):
-    m = _messages(spark, sf_dir)
+    m, _ = _catalogue(spark, sf_dir, _filled())
     every = m.where(F.col("locale") == DEFAULT).select("key")
     return sync.coverage(sync.coverage_cells(every, m, _locales(m), DEFAULT)).select(F.coalesce("locale", F.lit("all")).alias("locale"), "total", "covered", "filled", F.round("percent", 6).alias("percent"))
 
 
 def reconciliation_report(spark, sf_dir):
-    m = _messages(spark, sf_dir)
-    return sync.reconcile(_valid(spark, sf_dir), m, _locales(m), DEFAULT)
+    m, valid = _catalogue(spark, sf_dir, _filled())
+    return sync.reconcile(valid, m, _locales(m), DEFAULT)
 
 
 def new_keys(spark, sf_dir):
-    return sync.new_keys(_valid(spark, sf_dir), _messages(spark, sf_dir), DEFAULT)
+    m, valid = _catalogue(spark, sf_dir, _filled())
+    return sync.new_keys(valid, m, DEFAULT)
 
 
 def orphan_keys(spark, sf_dir):
-    return sync.orphan_keys(_valid(spark, sf_dir), _messages(spark, sf_dir), DEFAULT)
+    m, valid = _catalogue(spark, sf_dir, _filled())
+    return sync.orphan_keys(valid, m, DEFAULT)
 
 
 def missing_keys(spark, sf_dir):
-    m = _messages(spark, sf_dir)
-    return sync.missing_keys(_valid(spark, sf_dir), m, _locales(m), DEFAULT)
+    m, valid = _catalogue(spark, sf_dir, _filled())
+    return sync.missing_keys(valid, m, _locales(m), DEFAULT)
 
 
 def write_back_pruned(spark, sf_dir):
-    out = sync.write_back(_messages(spark, sf_dir), _valid(spark, sf_dir), DEFAULT, prune=True)
+    m, valid = _catalogue(spark, sf_dir)
+    out = sync.write_back(m, valid, DEFAULT, prune=True)
     return out.select("locale", "key", F.sha2("value", 256).alias("value_hash"))
 
 
 def seed_locales(spark, sf_dir):
-    m = _messages(spark, sf_dir)
+    m, _ = _catalogue(spark, sf_dir)
     fresh = _read(spark, sf_dir, "benchmark").where("text is not null").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("key"), F.col("text").alias("value"))
     out = sync.seed_locales(m, fresh, _locales(m), DEFAULT)
     return out.select("locale", "key", F.length("value").alias("n_chars"))
@@ -106,14 +113,14 @@ def value_edits(spark, sf_dir):
 
 
 def migrated_messages(spark, sf_dir):
-    """Keys of documents' languages moved to one step longer, as an edit of the key."""
-    m = _messages(spark, sf_dir)
-    moved = _valid(spark, sf_dir).select(F.lit("data").alias("path"), F.col("key").alias("dot_path"), F.col("key").alias("old_key"), F.concat(F.col("key"), F.lit("*")).alias("new_key"))
+    """Keys of documents' languages moved to another name, as an edit of the key."""
+    m, valid = _catalogue(spark, sf_dir)
+    moved = valid.select(F.lit("data").alias("path"), F.col("key").alias("dot_path"), F.col("key").alias("old_key"), F.concat(F.col("key"), F.lit("*")).alias("new_key"))
     return sync.migrate(m, moved, DEFAULT).select("locale", "key", F.sha2("value", 256).alias("value_hash"))
 
 
 def delta_merge(spark, sf_dir):
-    m = _messages(spark, sf_dir)
+    m, _ = _catalogue(spark, sf_dir)
     new = m.where(F.length("value") > 1000).select("locale", "key", F.concat(F.lit("new: "), F.col("value")).alias("value"))
     old = m.where(F.length("value") < 3000).select("locale", "key", "value")
     return sync.deep_merge(old, new).select("locale", "key", F.sha2("value", 256).alias("value_hash"))
@@ -183,14 +190,25 @@ def html_scores_parsed(spark, sf_dir):
 
 
 def page_class_tokens(spark, sf_dir):
-    values = F.regexp_extract_all("html", F.lit('class="([^"]*)"'), F.lit(1))
-    rows = _read(spark, sf_dir, "pages").select(F.explode(values).alias("value"))
-    return rows.select(F.explode(F.split("value", " ")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
+    own = read_elements(_read(spark, sf_dir, "pages"))
+    rows = own.select(F.explode(F.split(F.element_at("attrs", F.lit("class")), r"\s+")).alias("token"))
+    return rows.where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
 
 
 def page_shown_attributes(spark, sf_dir):
-    found = F.regexp_extract_all("html", F.lit(' (?:placeholder|title|alt|aria-label)="([^"]+)"'), F.lit(1))
-    return _read(spark, sf_dir, "pages").select(F.explode(found).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    """Attributes that a reader sees: pages' own, and of a picture that is set into each page, with its url."""
+    url = F.regexp_replace("url", MARKUP, "")
+    picture = F.concat(F.lit('<body><img alt="Page '), url, F.lit("\" src=x ARIA-LABEL='Show "), url, F.lit("'>"))
+    pages = _read(spark, sf_dir, "pages").where("html is not null and url is not null").withColumn("html", F.replace("html", F.lit("<body>"), picture))
+    return audit.shown_attributes(read_elements(pages)).groupBy("name", "value").agg(F.count("*").alias("n"))
+
+
+def page_headings(spark, sf_dir):
+    """Pages by how many headings and links they have; those that can't be parsed are told apart. Every seventh page ends in
+    a section that no parser knows."""
+    pages = _read(spark, sf_dir, "pages").where("html is not null")
+    html = F.when(F.col("page_id") % 7 == 0, F.concat("html", F.lit("<![unknown[ x ]]>"))).otherwise(F.col("html"))
+    return read_elements(pages.select("page_id", html.alias("html"))).groupBy("doc").agg(F.count_if(F.col("tag").isin("h1", "h2", "h3")).alias("headings"), F.count_if(F.col("tag") == "a").alias("links"), F.max(F.col("tag") == PARSE_ERROR).alias("failed"))
 
 
 # -- style sheets and classes --------------------------------------------------
@@ -597,16 +615,55 @@ def snapshot_history(spark, sf_dir):
     return sync.moved_keys(sync.history_edits(snapshots))
 
 
+# -- file trees ----------------------------------------------------------------
+
+
+def pruned_scan(spark, sf_dir):
+    """Every document as a line of a file, in folders by source and language; read back without the folders of one language,
+    which aren't opened, and without files of other endings."""
+    docs = _read(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "text")).alias("value"), "source", "lang")
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    docs.write.partitionBy("source", "lang").option("maxRecordsPerFile", 200).text(root)
+    found = read_contents(list_tree(spark, [root], pruned=["lang=de"], endings=[".txt"]))
+    lines = found.select(F.explode(F.split("content", "\n")).alias("line"))
+    own = lines.select(F.from_json("line", "doc_id long, text string").alias("d")).where("d.doc_id is not null")
+    return own.select("d.doc_id", F.sha2("d.text", 256).alias("text_hash"))
+
+
+def static_keys(spark, sf_dir):
+    """Keys that the sources of turns ask for: literal ones in calls and in rich texts, no computed ones."""
+    from babelyard.operators import extract
+
+    own = _read(spark, sf_dir, "conversations").where("text is not null and role is not null")
+    code = F.concat(
+        F.lit("export default function Chat() {\n    return <div title={t('chat."), F.col("role"), F.lit("')}>{t(`of ${name}`)}{t(key)}<Trans i18nKey=\"rich."),
+        F.col("turn").cast("string"), F.lit("\">"), F.regexp_replace("text", MARKUP, ""), F.lit("</Trans>{other('no.key')}</div>;\n}\n"),
+    )
+    files = own.select(F.concat_ws("x", "conv_id", "turn").alias("path"), code.alias("content"))
+    return extract.static_keys(files).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def language_arrays(spark, sf_dir):
+    """Written-out lists of a project's languages in sources, each with another list or another way to write it."""
+    from babelyard.plans import facts
+
+    c = _read(spark, sf_dir, "customer")
+    pick = lambda *values: F.get(F.array(*(F.lit(v) for v in values)), (F.col("c_custkey") % len(values)).cast("int"))
+    content = F.concat(F.lit("export const own = "), pick("['en', 'ar']", '[ "en" ,"ar" ]', "['ar', 'en']", "['en', 'ar', 'fr']", "['en',\n 'ar']"), F.lit("; // "), F.col("c_name"))
+    files = c.select(F.concat(pick("src/a", "src/i18n/locales."), F.col("c_custkey").cast("string"), F.lit(".js")).alias("path"), content.alias("content"))
+    return facts.language_arrays(files, ["en", "ar"]).select("path", "found")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         coverage_by_lang, reconciliation_report, new_keys, orphan_keys, missing_keys, write_back_pruned, seed_locales, last_wins, value_edits,
         migrated_messages, delta_merge, incremental_changed, incremental_sync, html_findings_by_code, html_score_histogram, html_found_tags, html_scores_parsed,
-        page_class_tokens, page_shown_attributes, css_findings_by_code, css_fixed, css_fixed_text, user_rules, user_rules_fixed, user_rules_components, css_property_map, class_token_rewrite, class_variants,
+        page_class_tokens, page_shown_attributes, page_headings, css_findings_by_code, css_fixed, css_fixed_text, user_rules, user_rules_fixed, user_rules_components, css_property_map, class_token_rewrite, class_variants,
         class_value_rewrite, class_findings, classify_words_by_lang, text_slug_keys, text_hash_prefix, duplicate_text_keys, collision_counters,
         key_allocation, namespaces, element_roles, sibling_index, locale_dir, token_roundtrip, mock_translate, mock_translate_delta,
         translation_memory, translation_chunks, answers_by_position, promote_insert_only, registry_values_per_file, props_flatten, edit_overlap, edit_first_of_range,
         edit_apply, jsx_extract, verified_edits, jsx_rewrite_scores, class_report, project_adapter, catalogue_paths, catalogue_files, project_environment, project_tailwind, project_frameworks,
-        snapshot_history,
+        snapshot_history, pruned_scan, static_keys, language_arrays,
     )
 }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from babelyard.functions import lookups as L
+from babelyard.sources.trees import list_tree, read_contents
 
 SCHEMA = "path string, ext string, content string"
 SCRIPTS = (".js", ".jsx", ".ts", ".tsx")
@@ -25,43 +26,19 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"(\.[^./]*)$", 1)
 
 
-def read_tree(spark: SparkSession, roots: list[str], base: str | None = None) -> DataFrame:
-    """All files below the roots that exist; paths are relative to base. A root that is missing is empty.
+def read_tree(spark: SparkSession, roots: list[str], base: str | None = None, kind: str | None = None) -> DataFrame:
+    """All files below the roots that exist, or those that one of the WALKS visits; paths are relative to base. A root that is missing is empty.
 
-    Spark's readers pass over names that begin with a dot or an underscore. A project has a few
-    sources of the latter kind (application and document files), which are read one by one;
-    folders of the former kind hold no sources.
+    Of a walk's ignored folders nothing is listed, and of files with other endings nothing is read (`trees`).
+    Folders whose name begins with a dot hold no sources, for any walk.
     """
-    system = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    there = [r for r in roots if system.Path(r).getFileSystem(conf).exists(system.Path(r))]
-    if not there:
-        return spark.createDataFrame([], SCHEMA)
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(there)
-    rows = files.select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("content"))
-    hidden = [x for r in there for x in _underscored(spark, r)]
-    if hidden:
-        rows = rows.unionByName(spark.createDataFrame(hidden, "full string, content string"))
-    full = F.regexp_replace("full", "^file:/+", "/")
+    pruned, endings = WALKS[kind] if kind else ((), ())
+    rows = read_contents(list_tree(spark, roots, pruned, endings, dotted=False))
+    full = F.regexp_replace("path", "^file:/+", "/")
     name = F.regexp_replace(full, "^" + re.escape(base.rstrip("/") + "/"), "") if base else full
     return rows.select(name.alias("path"), extension(name).alias("ext"), "content")
 
 
-def _underscored(spark: SparkSession, root: str) -> list[tuple[str, str]]:
-    """(path, content) of script files whose own name begins with an underscore."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    system, found = path.getFileSystem(conf), []
-    listed = system.listFiles(path, True)
-    while listed.hasNext():
-        own = listed.next().getPath()
-        if own.getName().startswith("_") and own.getName().endswith(SCRIPTS) and "/node_modules/" not in str(own):
-            stream = system.open(own)
-            found.append((str(own), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")))
-            stream.close()
-    return found
-
-
 def walk(files: DataFrame, kind: str) -> DataFrame:
     """The files that one of the WALKS visits."""
     pruned, endings = WALKS[kind]

@@ -11,7 +11,7 @@ from babelyard.functions.classes import rewrite_value
 from babelyard.operators import audit, registry
 from babelyard.plans import facts
 from babelyard.plans.lifecycle import audit_project, class_edits, fix_styles
-from babelyard.sources import css, files, html, jsontree
+from babelyard.sources import css, files, html, jsontree, trees
 from babelyard.sources.html import read_elements
 
 FILES = "path string, ext string, content string"
@@ -221,3 +221,31 @@ def test_pages_that_cannot_be_parsed(spark):
     assert [r.code for r in found.where("doc = 1").collect()] == ["PARSE_ERROR"]
     assert {r.doc: r.score for r in audit.scores(docs, found, "html").collect()}[1] == 0
     assert found.where("doc = 2").count() == found.where("doc = 3").count() > 1
+
+
+def test_trees(spark, tmp_path):
+    tree = ("src/a b/é%20.jsx", "src/deep/er/node_modules/x.js", "src/dist/y.js", "src/.hidden.ts", "src/notes.txt", "src/empty.js")
+    for name in tree:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else b"a\xff")
+    (tmp_path / "src/again").symlink_to(tmp_path / "src")
+    listed = trees.list_tree(spark, [f"file://{tmp_path}/src", f"file://{tmp_path}/src/deep", f"{tmp_path}/none"], ["node_modules", "dist"], [".js", ".jsx", ".ts"])
+    assert sorted(r.path.split("/src/")[1] for r in listed.collect()) == [".hidden.ts", "a b/é%20.jsx", "empty.js"]
+    held = files.read_tree(spark, [f"{tmp_path}/src"], str(tmp_path), kind="sync")
+    assert {r.path: (r.ext, r.content) for r in held.collect()} == {"src/a b/é%20.jsx": (".jsx", "a�"), "src/.hidden.ts": (".ts", "a�"), "src/empty.js": (".js", "")}
+    assert {r.path for r in files.read_tree(spark, [str(tmp_path)], str(tmp_path)).collect()} == set(tree)
+    assert files.read_tree(spark, []).count() == 0
+
+
+def test_entries_of_a_folder(tmp_path):
+    (tmp_path / "keep/build").mkdir(parents=True)
+    (tmp_path / "keep/build/x.js").write_text("x")
+    assert [e[0] for e in trees._entries(f"{tmp_path}/keep", frozenset(["build"]), ())] == []
+    assert [e[1] for e in trees._entries(f"{tmp_path}/keep", frozenset(), ())] == [True]
+    assert list(trees._entries(f"{tmp_path}/none", frozenset(), ())) == []
+
+
+def test_shown_attributes(spark):
+    pages = spark.createDataFrame([(1, "<img alt='a &amp; b' title=' ' src=x><input PLACEHOLDER=now alt>"), (2, None), (3, "<![unknown[")], "page_id long, html string")
+    found = audit.shown_attributes(html.read_elements(pages)).select("doc", "name", "value").collect()
+    assert sorted(map(tuple, found)) == [(1, "alt", "a & b"), (1, "placeholder", "now")]
