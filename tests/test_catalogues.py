@@ -94,6 +94,39 @@ def test_large_locale(spark, tmp_path):
     assert len(held) == 60_000 and list(held) == sorted(held)
 
 
+def test_large_file_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Tasks write stretches of one file, and none the whole; so does the write that replaces it. Nothing is left beside."""
+    seen, join = [], catalogues._join
+    monkeypatch.setattr(catalogues, "_join", lambda s, system, joins: (seen.append([(w.getParent().getName(), [n for _, n in p]) for w, p in joins]), join(s, system, joins)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for rows in (3_000, 20_000):
+            keys = spark.range(rows).select(F.lit("big/en.json").alias("file"), F.sha2(F.col("id").cast("string"), 256).alias("key"), F.concat(F.lit("é\n"), "id").alias("value"))
+            own = keys.unionByName(spark.createDataFrame([("de.json", "k", "v")], keys.columns))
+            assert catalogues.write_catalogues(own, str(tmp_path)) == ["big/en.json", "de.json"]
+            (name, sizes), held = seen[-1][0], written(tmp_path)["big/en.json"]
+            assert len(seen[-1]) == 1 and "en.json" in name and len(sizes) > 1
+            assert max(sizes) < 0.7 * (tmp_path / "big/en.json").stat().st_size
+            assert held == {r.key: r.value for r in keys.collect()} and list(held) == sorted(held)
+            back = catalogues.read_catalogues(spark, str(tmp_path), ["big/en.json"]).select("key", "value")
+            assert {r.key: r.value for r in back.collect()} == held
+            assert sorted(p.name for p in tmp_path.rglob("*") if p.suffix != ".crc") == ["big", "de.json", "en.json"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_store_joins_parts(spark, tmp_path):
+    """The call for stores that join files themselves, here on the one such system that needs no cluster."""
+    jvm, names = spark.sparkContext._jvm, "abc"
+    raw = jvm.org.apache.hadoop.fs.RawLocalFileSystem()
+    raw.initialize(jvm.java.net.URI("file:///"), spark.sparkContext._jsc.hadoopConfiguration())
+    for n in names:
+        (tmp_path / n).write_text(n * 3)
+    at = lambda n: jvm.org.apache.hadoop.fs.Path(f"file://{tmp_path}/{n}")
+    catalogues._concat(spark, raw, at("whole"), [at(n) for n in names])
+    assert (tmp_path / "whole").read_text() == "aaabbbccc"
+
+
 def test_locales_without_messages(spark, tmp_path):
     own = spark.createDataFrame([("en", "k", "v")], "locale string, key string, value string")
     locales = spark.createDataFrame([("en",), ("de",)], "code string")
