@@ -33,12 +33,17 @@ def apply_edits(text: Column, edits: Column) -> Column:
     return F.aggregate(F.array_sort(edits, last_first), text, splice)
 
 
+def _overlap(edits: Column) -> Column:
+    """Whether an edit of an array in order reaches into the next one."""
+    pairs = F.zip_with(F.slice(edits, F.lit(1), F.size(edits) - 1), F.slice(edits, F.lit(2), F.size(edits) - 1), lambda a, b: a["end"] > b["start"])
+    return F.coalesce(F.exists(pairs, lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
+
+
 def edit_files(files: DataFrame, edits: DataFrame) -> DataFrame:
     """path, content, n_edits of all files. Files with overlapping edits stay as they are and have a null count.
-    The edits are gathered by file, of which each has few; contents meet them once."""
-    bad = overlaps(edits).select("path").distinct().withColumn("bad", F.lit(True))
-    gathered = edits.groupBy("path").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("edits"))
-    joined = files.join(gathered.join(bad, "path", "left"), "path", "left")
+    The edits are gathered by file, of which each has few; contents meet them once, and edits are made once."""
+    gathered = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("edits"))
+    joined = files.join(gathered.withColumn("bad", _overlap(F.col("edits"))), "path", "left")
     own = F.coalesce("edits", F.array().cast("array<struct<start:int,end:int,replacement:string>>"))
     return joined.select(
         "path",

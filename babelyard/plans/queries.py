@@ -31,6 +31,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows over four tasks a core. A file of short rows is one split, whatever is made of each row and parsed afterwards; so
+    rows are dealt while they are short, in turn, since keys may repeat."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _catalogue(spark: SparkSession, sf_dir: str, value: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Messages, one for each document: its key is its number among those of its language and source. And the valid keys,
     which are those of labelled documents; every fifth of them asks for a key that no language has yet. value: what a message holds, where the whole text isn't needed."""
@@ -216,7 +222,7 @@ def page_headings(spark, sf_dir):
 
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A style sheet for each part: its physical property, side and sizes follow from the part's numbers."""
-    p = _read(spark, sf_dir, "part")
+    p = _dealt(_read(spark, sf_dir, "part").select("p_partkey", "p_size"))
     pick = lambda values, by: F.get(F.array(*(F.lit(v) for v in values)), F.pmod(by, F.lit(len(values))).cast("int"))
     key, px = F.col("p_partkey"), F.concat(F.col("p_size").cast("string"), F.lit("px"))
     side = pick(("left", "right", "center"), key)
@@ -237,7 +243,7 @@ def css_fixed(spark, sf_dir):
     sheets = _sheets(spark, sf_dir)
     fixed = edits.edit_files(sheets, audit.css_edits(read_declarations(sheets)))
     left = audit.css_findings(read_declarations(fixed.select("path", "content")))
-    scored = audit.scores(fixed.select(F.col("path").alias("doc")), left, "css")
+    scored = audit.scores(sheets.select(F.col("path").alias("doc")), left, "css")  # every sheet has a fixed one
     return scored.groupBy("score").agg(F.count("*").alias("n"))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from babelyard.functions import lookups as L
 from babelyard.functions import text as T
 from babelyard.functions.classes import rewrite_value
-from babelyard.operators import audit, registry
-from babelyard.plans import facts
+from babelyard.operators import audit, edits, registry
+from babelyard.plans import facts, queries
 from babelyard.plans.lifecycle import audit_project, class_edits, fix_styles
 from babelyard.sources import css, files, html, jsontree, trees
 from babelyard.sources.html import read_elements
@@ -249,3 +249,22 @@ def test_shown_attributes(spark):
     pages = spark.createDataFrame([(1, "<img alt='a &amp; b' title=' ' src=x><input PLACEHOLDER=now alt>"), (2, None), (3, "<![unknown[")], "page_id long, html string")
     found = audit.shown_attributes(html.read_elements(pages)).select("doc", "name", "value").collect()
     assert sorted(map(tuple, found)) == [(1, "alt", "a & b"), (1, "placeholder", "now")]
+
+
+def test_odd_sheets():
+    """Signs in comments, strings and brackets end nothing."""
+    sheet = "a{color:red/*;}*/;b: url(x;y) ' ; ' !IMPORTANT} @media (x){ p { q : \"a\\\";b\" ;; r:1 } } s: 'open\n;t:/ 2"
+    found = [(d.prop, d.value, d.important, sheet[d.start : d.end]) for d in css.declarations(sheet)]
+    assert [f[:3] for f in found] == [("color", "red", False), ("b", "url(x;y) ' ; '", True), ("q", '"a\\";b"', False), ("r", "1", False), ("s", "'open", False), ("t", "/ 2", False)]
+    assert all(text.startswith(prop) for prop, _, _, text in found)
+    assert css.declarations("") == css.declarations("}{;:/*") == []
+    assert css.space_parts("") == css.space_parts(" \n") == []
+    assert css.space_parts(" a) 'b c\" d' (e\tf ( g)) \u00a0h\n") == ["a)", "'b c\" d'", "(e\tf ( g))", "\u00a0h"]
+
+
+def test_sheets_are_dealt_and_read_once(spark, sf):
+    """A table in one split is parsed by many tasks, and edits of a file are made once."""
+    sheets = queries._sheets(spark, sf)
+    assert spark.read.parquet(f"{sf}/part.parquet").rdd.getNumPartitions() == 1 < sheets.rdd.getNumPartitions()
+    fixed = edits.edit_files(sheets, audit.css_edits(css.read_declarations(sheets)))
+    assert fixed._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
