@@ -15,6 +15,7 @@ from babelyard.functions.text import component_path
 from babelyard.operators.rules import DEFAULT_RULES, Rule, all_fits, first_fit, points
 from babelyard.sources.html import PARSE_ERROR as UNPARSED
 from babelyard.sources import jsx
+from babelyard.sources.slices import few
 
 STRUCTURE = ("header", "nav", "main", "footer")
 META = ("viewport", "description", "keywords", "author")
@@ -152,7 +153,7 @@ def read_properties(files: DataFrame) -> DataFrame:
     of a file (kind file), or without them if it can't be read (kind unreadable)."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in few(frames):
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
@@ -217,7 +218,7 @@ def read_class_values(files: DataFrame) -> DataFrame:
     row with dynamic and no value."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in few(frames):
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
@@ -282,7 +283,7 @@ def read_style_edits(files: DataFrame) -> DataFrame:
     """path, start, end, replacement; files that can't be read have none."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in few(frames):
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from babelyard.sources.slices import few
+
 #: Stands for the elements of a page that can't be parsed; no element can have this name.
 PARSE_ERROR = "#error"
 ELEMENTS = "doc long, ordinal int, tag string, attrs map<string,string>"
@@ -42,7 +44,7 @@ def read_elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     """doc, ordinal, tag, attrs: one row for each element of each page."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in few(frames, "html"):
             rows = [
                 (doc, k, tag, attrs)
                 for doc, html in zip(frame["doc"], frame["html"], strict=True)

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from babelyard.sources.slices import few
+
 LEAVES = "path string, ordinal int, dot_path string, field string, leaf string, value string, error boolean"
 
 
@@ -28,7 +30,7 @@ def read_leaves(files: DataFrame) -> DataFrame:
     """files: path, content (JSON). A file that cannot be read gives one row with error."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in few(frames):
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:

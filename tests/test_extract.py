@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from itertools import product
 
+import pandas as pd
 import pytest
 
-from babelyard.operators import edits, extract
+from babelyard.operators import audit, edits, extract
 from babelyard.operators.keys import next_key_map
 from babelyard.plans.lifecycle import extract_project
-from babelyard.sources import jsx
+from babelyard.sources import css, jsx, slices
 from babelyard.sources.chains import conditional, parameters, read, takes
 
 FILES = "path string, ext string, content string"
@@ -181,3 +182,39 @@ def test_static_keys(spark):
     df = spark.createDataFrame([("a.jsx", source)], "path string, content string")
     assert sorted(r.key for r in extract.static_keys(df).collect()) == ["five", "one", "six"]
     assert sorted(r.key for r in extract.static_keys(df, components=()).collect()) == ["five", "one"]
+
+
+def test_few_files_at_a_time():
+    """A frame's files are handed on in slices of bounded length, in order and whole; long, empty and null ones too."""
+    own = pd.DataFrame({"path": [str(k) for k in range(7)], "content": ["a" * 4, None, "b" * 5, "c" * 30, "", "d" * 9, "e"]})
+    got = list(slices.few(iter([own, own.iloc[:0], own.iloc[:1]]), most=10))
+    assert [list(g["path"]) for g in got] == [["0", "1", "2"], ["3"], ["4", "5", "6"], ["0"]]
+
+
+class Frames:
+    """Stands for a table of files: what is mapped over it runs here, on one frame."""
+
+    def __init__(self, frame):
+        self.frame = frame
+
+    def select(self, *_):
+        return self
+
+    def mapInPandas(self, run, _):  # noqa: N802
+        return list(run(iter([self.frame])))
+
+
+READERS = (extract.extract_units, extract.read_import_edits, extract.static_keys, audit.read_properties, audit.read_class_values, audit.read_style_edits, css.read_declarations)
+
+
+@pytest.mark.parametrize("reader", READERS)
+def test_a_worker_holds_the_rows_of_few_files(reader, monkeypatch):
+    """However many files a frame has, their rows come in small frames, and all of them come."""
+    source = "export default function A() { return <p className='a' style={{marginLeft: 4}}>{t('k')} <i>Some words</i></p>; }"
+    frame = pd.DataFrame({"path": [f"src/a{k}.jsx" for k in range(400)], "content": [source] * 400})
+    monkeypatch.setattr(slices, "MOST", 1 << 40)
+    whole = pd.concat(reader(Frames(frame)))
+    monkeypatch.setattr(slices, "MOST", 10 * len(source))
+    small = reader(Frames(frame))
+    assert len(whole) >= 400 and len(small) == 40
+    assert pd.concat(small).astype(str).values.tolist() == whole.astype(str).values.tolist()
