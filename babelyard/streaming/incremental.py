@@ -15,7 +15,7 @@ from babelyard.operators import keys
 from babelyard.operators.sync import changed_files, deep_merge, next_state, seed_locales
 from babelyard.plans.lifecycle import Config, extract_project
 from babelyard.sources import files as sources
-from babelyard.sources.scratch import written
+from babelyard.sources.scratch import empty, written
 
 STATE = "path string, sha256 string"
 FORMAT = "hash-v1"
@@ -41,7 +41,7 @@ class FileState:
         """The last version; empty where there is none, or only of another format: then everything counts as changed."""
         versions = self.versions()
         if not versions:
-            return self.spark.createDataFrame([], STATE)
+            return empty(self.spark, STATE)
         return self.spark.read.schema(STATE).parquet(f"{self.path}/{FORMAT}-{versions[-1]}")
 
     def write(self, state: DataFrame) -> None:
@@ -109,7 +109,7 @@ class SyncStore:
         """A table after a batch, the last one if none is named; empty before the first."""
         done = self.committed()
         if not done or batch is not None and batch not in done:
-            return self.spark.createDataFrame([], self.TABLES[name])
+            return empty(self.spark, self.TABLES[name])
         batch = done[-1] if batch is None else batch
         return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.path}/{self.attempt(batch)}/{name}")
 

@@ -8,7 +8,7 @@ from itertools import product
 import pandas as pd
 import pytest
 
-from babelyard.operators import audit, edits, extract
+from babelyard.operators import audit, edits, extract, registry
 from babelyard.operators.keys import next_key_map
 from babelyard.plans.lifecycle import extract_project
 from babelyard.sources import css, jsx, slices
@@ -218,3 +218,11 @@ def test_a_worker_holds_the_rows_of_few_files(reader, monkeypatch):
     small = reader(Frames(frame))
     assert len(whole) >= 400 and len(small) == 40
     assert pd.concat(small).astype(str).values.tolist() == whole.astype(str).values.tolist()
+
+
+def test_a_worker_holds_the_literals_of_few_files(monkeypatch):
+    source = "export const items = { title: 'Some words', list: ['one', 'two'] };"
+    frame = pd.DataFrame({"path": [f"src/data/a{k}.js" for k in range(400)], "content": [source] * 400})
+    monkeypatch.setattr(slices, "MOST", 10 * len(source))
+    small = registry.read_script_leaves(Frames(frame))
+    assert [len(x) for x in small] == [30] * 40

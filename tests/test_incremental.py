@@ -104,3 +104,12 @@ def test_arriving_files(spark, store, tmp_path):
     assert {v for (l, _), v in messages(store).items() if l == "en"} == {"Hello World", "Good World"}
     run()
     assert store.committed() == [0, 1]
+
+
+def test_tables_of_a_new_store_ask_for_no_python_worker(spark, store):
+    """They have no rows, and their plans know it: no task makes them."""
+    for name, schema in SyncStore.TABLES.items():
+        own = store.read(name)
+        assert own.schema == spark.createDataFrame([], schema).schema and own.count() == 0
+        plan = own._jdf.queryExecution().executedPlan().toString()
+        assert "RDD" not in plan and "<empty>" in plan
