@@ -13,6 +13,9 @@ words that they fill together, as far both ways from the anchor as it stays thei
 No pairs are listed: a group of equal anchors or cells is a count, which Spark adds up before it deals it, and joins
 deal hot keys over many parts. Equal texts are one content with a number of copies. Keys are 128 bits together
 (anchor and cell, anchor and window), contents are MD5 digests.
+
+Disk: a step's shuffle files go as it ends, and written tables as soon as the next ones don't read them, so that the largest
+step counts and not all together.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from babelyard.llm import shingles, workers
-from babelyard.llm.tables import materialise, spread_join
+from babelyard.llm.tables import materialise, scratch_scope, shuffles_freed, spread_join
 
 WORDS = 35
 ANCHOR_WORDS = 12
@@ -147,6 +150,58 @@ def _cut(it: Iterator[pd.DataFrame], words: int, digest: bool) -> Iterator[pd.Da
         yield pd.DataFrame(rows, columns=["content", "n_removed", "kept", "spans"])
 
 
+def _touched(seeds: DataFrame, steps: list[str]) -> DataFrame:
+    """content, and its cells that repeat whole (d_) and those to compare (o_), of every content that has one; written."""
+    with scratch_scope(seeds.sparkSession):
+        # equal cells; of each, one place
+        seeds = seeds.withColumn("key", F.struct("anchor", "cell"))
+        equal = seeds.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("content", "first", "last")).alias("one"))
+        equal = materialise(equal.select("key", "n", "one", F.col("key.anchor").alias("anchor")), "repeats-cells")
+        whole = equal.where("n > 1").select("key", "n")
+        repeated = spread_join(seeds, whole.select("key"), "key", "content", counts=whole).select("content", "first", "last")
+
+        # anchors with a cell that stands alone: there repeats begin or end
+        edges = equal.groupBy("anchor").agg(F.count("*").alias("n"), F.min("n").alias("least")).where("least = 1")
+        edges = materialise(edges.select("anchor", "n"), "repeats-edges")
+        open_ = spread_join(equal, edges.select("anchor"), "anchor", "key", counts=edges)
+        places = repeated.select("content", "first", "last", F.lit(None).cast("long").alias("anchor"), F.lit(0).cast("long").alias("n")).unionByName(
+            open_.select("one.content", "one.first", "one.last", "anchor", "n")
+        )
+        touched = places.groupBy("content").agg(F.collect_set(F.struct("first", "last", "anchor", "n")).alias("at"))
+
+        def field(name: str, kept) -> Column:
+            return F.transform(F.filter("at", kept), lambda x: x[name])
+
+        whole_cell, compared = (lambda x: x["anchor"].isNull()), (lambda x: x["anchor"].isNotNull())
+        touched = touched.select(
+            "content", field("first", whole_cell).alias("d_first"), field("last", whole_cell).alias("d_last"),
+            field("first", compared).alias("o_first"), field("last", compared).alias("o_last"), field("anchor", compared).alias("o_anchor"), field("n", compared).alias("o_copies"),
+        )
+        return materialise(touched, "repeats-touched", scope=steps)
+
+
+def _cut_texts(docs: DataFrame, copies: DataFrame, touched: DataFrame, words: int, digest: bool) -> DataFrame:
+    """content, n_removed, kept, spans of every touched content that stands once; written."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    texts = docs.select(F.unhex(F.md5(text)).alias("content"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    with scratch_scope(docs.sparkSession):
+        texts = materialise(spread_join(texts, touched, "content", "row", counts=copies).drop("row"), "repeats-texts")
+        found = texts.where(F.size("o_first") > 0).select("content", "text", "o_first", "o_last", "o_anchor", "o_copies")
+        windows = materialise(found.mapInPandas(lambda it: _windows(it, words), "content binary, start long, anchor long, window long, copies long"), "repeats-windows")
+
+        # rows of one content are copies of one place
+        windows = windows.withColumn("key", F.struct("anchor", "window"))
+        counted = windows.groupBy("key", "content", "start").agg(F.max("copies").alias("copies")).groupBy("key").agg(F.sum("copies").alias("n")).where("n > 1")
+        counted = materialise(counted, "repeats-counted")
+        lone = windows.where("copies = 1")
+        answers = spread_join(lone, counted.select("key"), "key", "content", counts=counted).groupBy("content").agg(F.collect_set("start").alias("starts"))
+
+        several = copies.where("n > 1").select("content")
+        cut_from = texts.select("content", "text", "d_first", "d_last").join(several, "content", "left_anti").join(answers, "content", "left")
+        cut = cut_from.mapInPandas(lambda it: _cut(it, words, digest), "content binary, n_removed long, kept string, spans array<struct<start:long,end:long>>")
+        return materialise(cut, "repeats-cut", stays=True)
+
+
 def remove_repeats(docs: DataFrame, words: int = WORDS, anchor_words: int = ANCHOR_WORDS, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept, spans of every row: its text without the words that a repeated window covers.
 
@@ -160,60 +215,22 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, anchor_words: int = ANCH
     if not 0 < anchor_words <= words:
         raise ValueError("an anchor has one word at least and fits into a window")
     spark = docs.sparkSession
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = scan(docs, words, anchor_words, digest)
-    copies = materialise(rows.groupBy("content").agg(F.count("*").alias("n")), "repeats-copies")
-    own = rows.select("content", F.inline(F.arrays_zip("anchor", "cell", "first", "last")))
-
-    shared = materialise(own.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "repeats-anchors")
-    seeds = materialise(spread_join(own, shared.select("anchor"), "anchor", "content", counts=shared), "repeats-seeds")
-
-    # equal cells; of each, one place
-    seeds = seeds.withColumn("key", F.struct("anchor", "cell"))
-    equal = seeds.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("content", "first", "last")).alias("one"))
-    equal = materialise(equal.select("key", "n", "one", F.col("key.anchor").alias("anchor")), "repeats-cells")
-    whole = equal.where("n > 1").select("key", "n")
-    repeated = spread_join(seeds, whole.select("key"), "key", "content", counts=whole).select("content", "first", "last")
-
-    # anchors with a cell that stands alone: there repeats begin or end
-    edges = equal.groupBy("anchor").agg(F.count("*").alias("n"), F.min("n").alias("least")).where("least = 1")
-    edges = materialise(edges.select("anchor", "n"), "repeats-edges")
-    open_ = spread_join(equal, edges.select("anchor"), "anchor", "key", counts=edges)
-    places = repeated.select("content", "first", "last", F.lit(None).cast("long").alias("anchor"), F.lit(0).cast("long").alias("n")).unionByName(
-        open_.select("one.content", "one.first", "one.last", "anchor", "n")
-    )
-    touched = places.groupBy("content").agg(F.collect_set(F.struct("first", "last", "anchor", "n")).alias("at"))
-
-    def field(name: str, kept) -> Column:
-        return F.transform(F.filter("at", kept), lambda x: x[name])
-
-    whole_cell, compared = (lambda x: x["anchor"].isNull()), (lambda x: x["anchor"].isNotNull())
-    touched = touched.select(
-        "content", field("first", whole_cell).alias("d_first"), field("last", whole_cell).alias("d_last"),
-        field("first", compared).alias("o_first"), field("last", compared).alias("o_last"), field("anchor", compared).alias("o_anchor"), field("n", compared).alias("o_copies"),
-    )
-    texts = docs.select(F.unhex(F.md5(text)).alias("content"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
-    with workers.small_batches(spark):
-        texts = materialise(spread_join(texts, touched, "content", "row", counts=copies).drop("row"), "repeats-texts")
-        found = texts.where(F.size("o_first") > 0).select("content", "text", "o_first", "o_last", "o_anchor", "o_copies")
-        windows = materialise(found.mapInPandas(lambda it: _windows(it, words), "content binary, start long, anchor long, window long, copies long"), "repeats-windows")
-
-        # rows of one content are copies of one place
-        windows = windows.withColumn("key", F.struct("anchor", "window"))
-        counted = windows.groupBy("key", "content", "start").agg(F.max("copies").alias("copies")).groupBy("key").agg(F.sum("copies").alias("n")).where("n > 1")
-        counted = materialise(counted, "repeats-counted")
-        lone = windows.where("copies = 1")
-        answers = spread_join(lone, counted.select("key"), "key", "content", counts=counted).groupBy("content").agg(F.collect_set("start").alias("starts"))
+    with workers.small_batches(spark), shuffles_freed(spark), scratch_scope(spark) as steps:
+        with scratch_scope(spark):
+            scanned = scan(docs, words, anchor_words, digest)
+            rows = materialise(scanned.select("doc_id", "content", "n_words", "kept"), "repeats-rows", stays=True)
+            copies = materialise(rows.groupBy("content").agg(F.count("*").alias("n")), "repeats-copies", stays=True)
+            own = scanned.select("content", F.inline(F.arrays_zip("anchor", "cell", "first", "last")))
+            shared = materialise(own.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "repeats-anchors")
+            seeds = materialise(spread_join(own, shared.select("anchor"), "anchor", "content", counts=shared), "repeats-seeds", scope=steps)
+        cut = _cut_texts(docs, copies, _touched(seeds, steps), words, digest)
 
         several = copies.where("n > 1")
-        cut_from = texts.select("content", "text", "d_first", "d_last").join(several.select("content"), "content", "left_anti").join(answers, "content", "left")
-        cut = materialise(cut_from.mapInPandas(lambda it: _cut(it, words, digest), "content binary, n_removed long, kept string, spans array<struct<start:long,end:long>>"), "repeats-cut")
-
-    none = F.array().cast("array<struct<start:long,end:long>>")
-    answer = cut.select("content", "n_removed", F.col("kept").alias("rest"), "spans", F.lit(False).alias("whole")).unionByName(
-        several.select("content", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("rest"), none.alias("spans"), F.lit(True).alias("whole"))
-    )
-    joined = spread_join(rows.select("doc_id", "content", "n_words", "kept"), answer, "content", "doc_id", counts=copies, how="left")
+        none = F.array().cast("array<struct<start:long,end:long>>")
+        answer = cut.select("content", "n_removed", F.col("kept").alias("rest"), "spans", F.lit(False).alias("whole")).unionByName(
+            several.select("content", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("rest"), none.alias("spans"), F.lit(True).alias("whole"))
+        )
+        joined = spread_join(rows.select("doc_id", "content", "n_words", "kept"), answer, "content", "doc_id", counts=copies, how="left")
     all_gone = F.coalesce("whole", F.lit(False)) & (F.col("n_words") >= words)
     all_words = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
     return joined.select(

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from babelyard.llm import repeats
+from babelyard.llm import repeats, tables
 
 
 def brute(texts: list[str | None], words: int) -> list[tuple[int, int, str]]:
@@ -24,6 +26,11 @@ def brute(texts: list[str | None], words: int) -> list[tuple[int, int, str]]:
     return out
 
 
+def written(spark) -> set[str]:
+    """The tables in the scratch folder, with their numbers."""
+    return {p.name for p in Path(tables.scratch_root(spark).removeprefix("file://")).glob("repeats-*")}
+
+
 def got(docs, words: int, anchor: int = 3, digest: bool = False):
     rows = repeats.remove_repeats(docs, words, anchor, digest).collect()
     return Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in rows), rows
@@ -82,6 +89,23 @@ def test_session_setting_stays(make_docs, spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_steps_leave_neither_tables_nor_shuffle_files(make_docs, spark):
+    def shuffled():
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {f for f in held.split() if "/shuffle_" in f}
+
+    tables_before, files_before = written(spark), shuffled()
+    setting = spark.conf.get(tables.CLEANUP_CONF)
+    passage = " ".join(f"p{k}" for k in range(40))
+    repeats.remove_repeats(make_docs([f"{passage} own{k} {passage[:60]}" for k in range(50)]), 10, 4)
+    assert sorted(name.rsplit("-", 1)[0] for name in written(spark) - tables_before) == ["repeats-copies", "repeats-cut", "repeats-rows"]
+    end = time.time() + 20  # files are deleted in the background
+    while shuffled() - files_before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - files_before
+    assert spark.conf.get(tables.CLEANUP_CONF) == setting
+
+
 def test_least_places():
     rng = np.random.default_rng(1)
     for width in range(1, 12):
