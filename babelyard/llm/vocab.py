@@ -37,6 +37,8 @@ def whole_words(vocabulary: str) -> list[str]:
 #: Letters whose lower case and composed form are the same for every library.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 PLAIN = re.compile(f"[{LETTERS}]+|[^{LETTERS} \t\n\r\f\v]+")
+#: PLAIN for lower-cased ASCII texts.
+PLAIN_ASCII = re.compile("[a-z]+|[^a-z \t\n\r\f\v]+")
 WORD = re.compile(f"[{LETTERS}]+")
 #: What makes a cut between letters and other characters unsafe: contractions, letters outside LETTERS, special tokens.
 UNSAFE = re.compile("['ªµºİ\u0180-\U0010ffff]|<\\|")
@@ -109,41 +111,37 @@ class CachedEncoder:
 
     def parts(self, text: str) -> list[str]:
         if text.isascii():
-            safe = "'" not in text and "<|" not in text
-        else:
-            safe = UNSAFE.search(text) is None
-        if not safe:
-            return SPACE.split(text)
-        return PLAIN.findall(text.lower() if text.isascii() else text)
-
-    def learn(self, parts: set[str]) -> None:
+            return SPACE.split(text) if "'" in text or "<|" in text else PLAIN_ASCII.findall(text.lower())
+        return SPACE.split(text) if UNSAFE.search(text) else PLAIN.findall(text)
+
+    def learn(self, parts: set[str]) -> set[str]:
+        """Those of the parts that were not known, which now are."""
         import numpy as np
 
-        new = [p for p in parts if p not in self.known]
         if self.bytes > self.most_bytes:
             self.known, self.bytes = {}, 0
-            new = list(parts)
-        plain = [p for p in new if WORD.fullmatch(p)] if self.words.usable else []
+        new = parts.difference(self.known)
+        plain = [p for p in new if (p.isalpha() if p.isascii() else WORD.fullmatch(p))] if self.words.usable else []
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             self.known.update(zip(some, self.words.encode(some), strict=True))
-        rest = [p for p in new if p not in self.known]
+        rest = list(new.difference(plain))
         for at in range(0, len(rest), 4096):
             some = rest[at : at + 4096]
             for part, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[part] = np.array(coded.ids, dtype="<u4").tobytes()
         self.bytes += self.ENTRY * len(new) + 3 * sum(map(len, new))
+        return new
 
     def encode(self, texts: list[str | None], group: int = 64):
         """Yields each text's ids, in order."""
         for at in range(0, len(texts), group):
             parts = [self.parts(t) if t else [] for t in texts[at : at + group]]
-            own_parts = {p for own in parts for p in own}
-            self.learn(own_parts)
+            new = self.learn(set().union(*parts))
             get = self.known.__getitem__
             for own in parts:
                 yield b"".join(map(get, own))
-            for p in own_parts:
+            for p in new:  # a long part is never kept, so it is among the new ones
                 if len(p) > self.LONGEST_KEPT:
                     del self.known[p]
                     self.bytes -= self.ENTRY + 3 * len(p)

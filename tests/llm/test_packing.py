@@ -97,6 +97,17 @@ def test_words_coded_alike(tokenizer):
         assert got == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
 
 
+def test_only_new_parts_are_worked_on():
+    coder = vocab.CachedEncoder(vocab.read_text(vocab.vocabulary_path()))
+    long = "x" * 65
+    first = list(coder.encode([f"one two {long}", "two 3!"]))
+    assert coder.learn({"one", "two", "3!"}) == set() and long not in coder.known
+    assert coder.learn({"two", "four", "4"}) == {"four", "4"}
+    assert list(coder.encode([f"one two {long}", "two 3!"])) == first
+    every = "".join(map(chr, range(128))) * 2 + "aB1 c-D"
+    assert vocab.PLAIN_ASCII.findall(every.lower()) == vocab.PLAIN.findall(every.lower())
+
+
 def test_repeated_rows_are_dealt_to_many_groups(make_docs):
     docs = make_docs([(None, "")] * 3000 + [(k, f"text {k}") for k in range(500)])
     rows = packing.pack_documents(docs, group_docs=256).collect()
