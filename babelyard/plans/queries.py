@@ -591,7 +591,7 @@ def catalogue_files(spark, sf_dir):
     messages = docs.select(F.lit("").alias("project"), F.col("lang").alias("locale"), F.col("doc_id").cast("string").alias("key"), F.col("text").alias("value"))
     adapters = spark.createDataFrame([("", "next-i18next")], "project string, name string")
     root = f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
-    done = catalogues.write_catalogues(catalogues.with_paths(messages, adapters), root)
+    done = catalogues.write_projects(messages, adapters, root)
     return catalogues.read_catalogues(spark, root, done).select("file", "locale", "key", F.sha2("value", 256).alias("value_hash"))
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from babelyard.sources import catalogues, files
+from babelyard.plans import queries
+from babelyard.sources import catalogues, files, scratch
 
 MESSAGES = "project string, locale string, key string, value string, name string, file string, n long, total long"
 STORE, COPY = "src/i18n/messages/{}.json", "public/locales/{}/common.json"
@@ -115,6 +117,99 @@ def test_large_file_by_many_tasks(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_disk(spark, tmp_path, monkeypatch):
+    """Before files are put together there are no shuffle files and each message is written once; afterwards the parts are gone."""
+    join, seen = catalogues._join, {}
+
+    def shuffled():
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {f for f in held.split() if "/shuffle_" in f}
+
+    def watched(spark, system, joins):
+        folder = Path(joins[0][0].toUri().getPath()).parent.parent
+        size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+        end = time.time() + 20  # files are deleted in the background
+        while shuffled() - files_before and time.time() < end:
+            time.sleep(0.2)
+        seen["shuffled"], seen["parts"] = shuffled() - files_before, size()
+        join(spark, system, joins)
+        seen["joined"], seen["files"] = size(), sum(n for _, parts in joins for _, n in parts)
+
+    monkeypatch.setattr(catalogues, "_join", watched)
+    docs = spark.range(5_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4_000, "en").otherwise("de").alias("lang"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 10).alias("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    conf, files_before = {k: spark.conf.get(k, None) for k in (scratch.CLEANUP_CONF, scratch.ADVISORY_CONF)}, shuffled()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert queries.catalogue_files(spark, str(tmp_path)).distinct().count() == 10_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert not seen["shuffled"]
+    assert seen["files"] > 2 * 640 * 5_000 and seen["parts"] < 0.6 * seen["files"] and seen["joined"] < 1.1 * seen["files"]
+    assert {k: spark.conf.get(k, None) for k in conf} == conf
+
+
+def test_projects_are_written_as_their_rows_would_be(spark, make, tmp_path, monkeypatch):
+    """Adapters named twice, without layout, of projects without messages; the same files, byte by byte, in either way."""
+    rows = [(p, loc, f"k{i}", f"{p}{loc}{i}") for p in ("", "a", "b", "c/d", "é %") for loc in ("en", "pt-BR") for i in range(3)] + [("b", "../up", "k", "v")]
+    adapters = [("a", "next-intl"), ("b", "next-i18next"), ("b", "next-intl"), ("b", None), ("c/d", "next-i18next"), ("é %", "next-i18next"), ("gone", "next-i18next"), (None, "next-i18next")]
+    held = lambda root: {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*.json")}
+    own, named = make(rows, adapters)
+    done = catalogues.write_projects(own, named, str(tmp_path / "once"))
+    assert done == catalogues.write_catalogues(catalogues.with_paths(own, named), str(tmp_path / "rows"))
+    assert set(done) == set(held(tmp_path / "once")) and held(tmp_path / "once") == held(tmp_path / "rows") and len(done) == 10 + 6
+    assert held(tmp_path / "once")["b/" + COPY.format("en")] == held(tmp_path / "once")["b/" + STORE.format("en")]
+    # where stretches can't be put together, one task writes a file
+    monkeypatch.setattr(catalogues, "_joins", lambda system, path: False)
+    monkeypatch.setattr(catalogues, "_join", lambda spark, system, joins: pytest.fail("a file in parts") if joins else None)
+    assert catalogues.write_catalogues(catalogues.with_paths(own, named), str(tmp_path / "whole")) == done
+    assert held(tmp_path / "whole") == held(tmp_path / "rows")
+    # where tasks can't write to a place in a file, rows are dealt for each file
+    monkeypatch.setattr(catalogues, "_write", lambda messages, root, also: (messages.count(), also))
+    monkeypatch.setattr(catalogues, "_local", lambda system: False)
+    assert catalogues.write_projects(own, named, str(tmp_path / "other")) == (3 * (4 + 2 * 2 + 2 * 2 + 6 + 2), {})
+
+
+def test_a_key_of_many_rows(spark, tmp_path, monkeypatch):
+    """Its greatest value is taken before rows are dealt; nulls, and the ends of a file, among such keys."""
+    monkeypatch.setattr(catalogues, "HOT", 10)
+    rows = [("f.json", k, None if v is None else f"{v}{i:03}") for k, v, n in (("a", "x", 300), ("b", "y", 2), ("c", None, 300), ("d", "z", 11)) for i in range(n)]
+    own = spark.createDataFrame([*rows, ("g.json", "a", "only")], "file string, key string, value string").repartition(3)
+    counts = own.groupBy("file", "key").agg(F.count("*").alias("n"))
+    assert catalogues._thinned(own, counts).count() == 1 + 2 + 1 + 1 + 1
+    assert [r.n for r in catalogues.catalogue_lines(own).where("file = 'f.json'").orderBy("n").collect()] == [1, 2, 3, 4]
+    assert catalogues.write_catalogues(own, str(tmp_path)) == ["f.json", "g.json"]
+    assert (tmp_path / "f.json").read_text() == '{\n  "a": "x299",\n  "b": "y001",\n  "c": null,\n  "d": "z010"\n}\n'
+    assert (tmp_path / "g.json").read_text() == '{\n  "a": "only"\n}\n'
+
+
+def test_keys_that_change_from_read_to_read(spark, tmp_path):
+    """An entry that only the ends know isn't made up."""
+    old = spark.createDataFrame([("f.json", "a", "v"), ("f.json", "b", "w")], "file string, key string, value string")
+    seen = catalogues.written
+    try:
+        catalogues.written = lambda df, name: seen(df.unionByName(spark.createDataFrame([("f.json", "c", 1)], df.schema)), name)
+        with pytest.raises(Exception, match="read again"):
+            catalogues.write_catalogues(old, str(tmp_path))
+    finally:
+        catalogues.written = seen
+    assert list(tmp_path.rglob("*.json")) == []
+
+
+def test_a_part_is_placed_again(tmp_path):
+    """A task that is run again where its part has gone; a part that never was isn't passed over."""
+    part, wholes = tmp_path / "part-0", [tmp_path / "a", tmp_path / "b"]
+    part.write_text("xyz")
+    for w in wholes:
+        w.write_text("")
+    piece = (str(part), [(str(w), 2 * k) for k, w in enumerate(wholes)])
+    for _ in range(2):
+        catalogues._place(piece)
+        assert [w.read_bytes() for w in wholes] == [b"xyz", b"\0\0xyz"] and not part.exists()
+    with pytest.raises(FileNotFoundError):
+        catalogues._place((f"{part}1", piece[1]))
+
+
 def test_a_store_joins_parts(spark, tmp_path):
     """The call for stores that join files themselves, here on the one such system that needs no cluster."""
     jvm, names = spark.sparkContext._jvm, "abc"
